@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .staging import fresh
 from .words import Words, mix, pieces
@@ -175,7 +176,7 @@ def score(docs: DataFrame, machine: Machine, metadata: tuple[str, ...] = ("n_cha
             got = m.score(*features(batch.column("text"), [batch.column(x) for x in metadata]), batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*names, out])
 
-    return docs.mapInArrow(run, docs.schema.add(out, "double"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
