@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality, sharding
+from . import exact_dedup, quality, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_sharding": sharding.op2_sharding,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op8_quality": quality.op8_quality,
     }
 

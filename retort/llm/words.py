@@ -62,13 +62,13 @@ def ranged(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
 
 
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a string array; a null text has none.
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a string array; a null text has none. ``space``: the bytes between words.
 
     starts, ends: byte ranges in ``bytes``; first: for each row, the index of its first word
     (one more entry ends the last row); hash: 64 bits for each word.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, space: np.ndarray = SPACE):
         n = len(texts)
         if pa.types.is_string(texts.type):
             kind = np.int32
@@ -83,7 +83,7 @@ class Words:
         raw = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data is not None and len(data) else np.zeros(0, np.uint8)
         self.offsets = at - at[0]
         self.bytes = LOWER[raw] if lower else raw
-        solid = ~SPACE[raw]
+        solid = ~space[raw]
         begin, end = solid.copy(), solid.copy()
         if len(raw):
             begin[1:] &= ~solid[:-1]
