@@ -167,6 +167,21 @@ def priced_patterns(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> list
     return out
 
 
+def inverted(a: np.ndarray) -> np.ndarray:
+    """Inverse by Gauss-Jordan steps on whole rows; threads of a BLAS would only wait for each other here."""
+    n = len(a)
+    both = np.concatenate([a, np.eye(n)], axis=1)
+    for i in range(n):
+        k = i + int(np.abs(both[i:, i]).argmax())
+        both[[i, k]] = both[[k, i]]
+        both[i] /= both[i, i]
+        factor = both[:, i].copy()
+        factor[i] = 0
+        rows = np.flatnonzero(factor)
+        both[rows] -= np.outer(factor[rows], both[i])
+    return both[:, n:]
+
+
 def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 5e-4, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows) and how often each is used (reals), by simplex with priced columns.
 
@@ -176,37 +191,41 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: flo
     """
     basis = np.diag(capacity // sizes).astype(float)
     inverse = np.diag(1 / np.diag(basis))
-    x = inverse @ demand
+    x = demand / np.diag(basis)
     bound, center, pull = 0.0, np.asarray(sizes / capacity), 0.8
-    for _ in range(rounds):
-        dual = inverse.sum(0)
+    dual = inverse.sum(0)
+    for step in range(rounds):
         if x.sum() - bound <= gap * x.sum():
             break
         priced = pull * center + (1 - pull) * dual  # duals swing; prices stay near those of the best bound
         columns = priced_patterns(sizes, priced, capacity)
-        reach = float(priced @ demand) / columns[0][0]
+        reach = float((priced * demand).sum()) / columns[0][0]
         if reach > bound:
             bound, center = reach, priced / columns[0][0]
         entered = 0
         for _, column in columns:
-            if inverse.sum(0) @ column <= 1 + 1e-9:
+            used = np.flatnonzero(column)
+            gain = float((dual[used] * column[used]).sum()) - 1
+            if gain <= 1e-9:
                 continue
             entered += 1
-            move = inverse @ column
+            move = (inverse[:, used] * column[used]).sum(1)
             ratio = np.where(move > 1e-9, x / np.where(move > 1e-9, move, 1), np.inf)
             out = int(np.argmin(ratio))
             x = np.maximum(x - ratio[out] * move, 0)
             x[out] = ratio[out]
             basis[:, out] = column
             pivot = inverse[out] / move[out]
+            dual = dual - gain * pivot
             inverse -= np.outer(move, pivot)
             inverse[out] = pivot
-        if entered:
-            inverse = np.linalg.inv(basis)  # against rounding errors
-            x = np.maximum(inverse @ demand, 0)
-        elif pull == 0:
+        if step % 20 == 19:
+            inverse = inverted(basis)  # against rounding errors
+            x, dual = np.maximum((inverse * demand).sum(1), 0), inverse.sum(0)
+        if not entered and pull == 0:
             break
         pull = 0.8 if entered else 0.0
+    x = np.maximum((inverted(basis) * demand).sum(1), 0)
     return basis.T.astype(np.int64), x
 
 
