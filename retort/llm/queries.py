@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality, sharding, toxicity
+from . import exact_dedup, near_dedup, packing, quality, sharding, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_sharding": sharding.op2_sharding,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_near_dedup": near_dedup.op5_near_dedup,
         "op6_packing": packing.op6_packing,
         "op8_quality": quality.op8_quality,
     }
