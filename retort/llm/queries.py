@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, packing, quality, sharding, toxicity
+from . import decontamination, exact_dedup, near_dedup, packing, quality, sharding, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_near_dedup": near_dedup.op5_near_dedup,
         "op6_packing": packing.op6_packing,
+        "op7_decontamination": decontamination.op7_decontamination,
         "op8_quality": quality.op8_quality,
     }
 
