@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, near_dedup, packing, quality, sharding, toxicity
+from . import decontamination, exact_dedup, near_dedup, packing, quality, sharding, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_packing": packing.op6_packing,
         "op7_decontamination": decontamination.op7_decontamination,
         "op8_quality": quality.op8_quality,
+        "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     }
 
 
