@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, near_dedup, packing, quality, sharding, substring_dedup, toxicity
+from . import decontamination, exact_dedup, near_dedup, packing, quality, sharding, substring_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_url_filter": url_filter.op1_url_filter,
         "op2_sharding": sharding.op2_sharding,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_toxicity": toxicity.op4_toxicity,
