@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, near_dedup, packing, quality, sharding, substring_dedup, toxicity, url_filter
+from . import decontamination, exact_dedup, near_dedup, packing, pii, quality, sharding, substring_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_decontamination": decontamination.op7_decontamination,
         "op8_quality": quality.op8_quality,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+        "op10_pii": pii.op10_pii,
     }
 
 
