@@ -204,3 +204,9 @@ def _apart(buckets: DataFrame, roots: DataFrame, stage: Staging, name: str) -> D
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=80)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` that stay: of every component the one with the least id."""
+    kept = near_dedup(docs, id_col, **options).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
