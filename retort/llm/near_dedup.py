@@ -15,6 +15,8 @@ from .words import Words, mix, pieces
 
 U = np.uint64
 EMPTY = np.iinfo(np.uint64).max
+#: A shingle is rare if so many rows hold it at most.
+RARE = 8
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -133,9 +135,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signatures give buckets; with 32 bands of 4 values a pair of similarity 0.8 shares a bucket
     but for 5 in 10^8 cases. All links inside a bucket matter only for the component, so a
     bucket's members are first held against its least member, then, where that leaves several
-    components in a bucket, against the member with most links so far, and only what is still
-    apart is compared pair by pair, each pair once and never inside one component. Every link is
-    verified on whole sets.
+    components in a bucket, against the member with the smallest share of rare shingles. What is
+    still apart is compared pair by pair, each pair once, never inside one component, and only if
+    the pair shares a rare shingle or its sets are large enough beside their rare shingles (exact
+    bounds, so no link is lost). Every link is verified on whole sets.
 
     Cases: without words or text a row has no shingle and is linked with nothing; equal sets
     are linked; rows with one id are one vertex; a null id has a null component and stays; an
@@ -163,24 +166,23 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = components(links[0], stage, "components-0")
     apart = _apart(buckets, roots, stage, "apart-0")
 
-    degree = links[0].select(F.col("u").alias("id")).unionAll(links[0].select(F.col("v").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
-    ranked = apart.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    hubs = ranked.groupBy("band").agg(F.max(F.struct("degree", F.col("id").alias("hub"), F.col("root").alias("hub_root"))).alias("h")).select("band", "h.hub", "h.hub_root")
+    apart = _with_rare(apart, sets, stage)
+    hubs = apart.groupBy("band").agg(F.max(F.struct(((F.col("n_shingles") - F.col("rare")) / F.col("n_shingles")).alias("share"), F.col("id").alias("hub"), F.col("root").alias("hub_root"))).alias("h")).select("band", "h.hub", "h.hub_root")
     second = apart.join(hubs, "band").filter("root <> hub_root").select(F.col("id").alias("u"), F.col("hub").alias("v"), "n_shingles").distinct()
     tried.append(stage.put(near(second.join(sizes, "v")).join(tried[0], ["u", "v"], "left_anti"), "pairs-1"))
     links.append(stage.put(verified(tried[1], sets, percent), "links-1"))
-    roots = components(links[0].unionAll(links[1]), stage, "components-1")
-    apart = _apart(buckets, roots, stage, "apart-1")
+    so_far = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    roots = components(so_far.unionAll(links[1]), stage, "components-1")
+    apart = _apart(apart.drop("root"), roots, stage, "apart-1")
 
-    x, y = apart.alias("x"), apart.alias("y")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & (100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles")))
-    rest = rest.select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct()
     done = tried[0].unionAll(tried[1]).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    rest = _by_bound(apart, percent).unionAll(_by_rare(apart, stage, percent)).distinct()
     tried.append(stage.put(rest.join(done, ["u", "v"], "left_anti"), "pairs-2"))
     links.append(stage.put(verified(tried[2], sets, percent), "links-2"))
     stage.drop("sets")
     same = known.join(classes, ["one", "two", "n_shingles"]).filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    roots = components(links[0].unionAll(links[1]).unionAll(links[2]).unionAll(same), stage, "components-2")
+    so_far = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    roots = components(so_far.unionAll(links[2]).unionAll(same), stage, "components-2")
     out = signed.select("id", "n_shingles").join(roots, F.col("id") == F.col("node"), "left").withColumn("component_id", F.coalesce("root", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
@@ -196,12 +198,58 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
 def _apart(buckets: DataFrame, roots: DataFrame, stage: Staging, name: str) -> DataFrame:
     """Members of the buckets that still hold several components."""
-    rooted = buckets.join(roots, F.col("id") == F.col("node"), "left").select("band", "id", "n_shingles", F.coalesce("root", "id").alias("root"))
+    rooted = buckets.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
     rooted = stage.put(rooted, f"{name}-rooted")
     several = rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("band")
     return stage.put(rooted.join(several, "band"), name)
 
 
+def _with_rare(apart: DataFrame, sets: DataFrame, stage: Staging) -> DataFrame:
+    """``apart`` with ``rare``: how many shingles of the row at most RARE rows of ``apart`` hold."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held = np.frombuffer(batch.column("members")[i].as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), batch.column("id")[i].as_py())), pa.array(held)], ["id", "shingle"])
+
+    members = apart.select("id").distinct().join(sets, "id").mapInArrow(explode, "id long, shingle long")
+    members = stage.put(members, "members")
+    few = members.groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") <= RARE)
+    rare = stage.put(members.join(few, "shingle"), "rare")
+    stage.drop("members")
+    counts = rare.groupBy("id").agg(F.count("*").alias("rare"))
+    return stage.put(apart.join(counts, "id", "left").withColumn("rare", F.coalesce("rare", F.lit(0))), "apart-rare")
+
+
+def _by_rare(apart: DataFrame, stage: Staging, percent: int) -> DataFrame:
+    """Pairs of different components that share a rare shingle: lists of at most RARE ids, each list once."""
+    spark = apart.sparkSession
+    rare = spark.read.parquet(f"{stage.root}/rare").filter("n > 1")
+    lists = rare.groupBy("shingle").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
+    each = lists.select(F.posexplode("ids").alias("p", "u"), "ids").select("u", F.explode(F.expr("slice(ids, p + 2, size(ids))")).alias("v")).distinct()
+    own = apart.select("id", "n_shingles", "root").distinct()
+    x, y = (own.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("root").alias(f"r_{c}")) for c in "uv")
+    both = each.join(x, "u").join(y, "v").filter(f"r_u <> r_v and 100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)")
+    return both.select("u", "v")
+
+
+def _by_bound(apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in one bucket that can be similar enough without sharing a
+    rare shingle: what they share is then at most the rest of either. A row whose rest is too
+    small even for the bucket's shortest row meets none."""
+    least = apart.groupBy("band").agg(F.min("n_shingles").alias("least_n"))
+    rest = F.col("n_shingles") - F.col("rare")
+    able = apart.withColumn("rest", rest).join(least, "band").filter(100 * F.col("rest") >= percent * (F.col("least_n") + F.col("rare")))
+    several = able.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("band")
+    able = able.join(several, "band").select("band", "id", "n_shingles", "root", "rest")
+    x, y = able.alias("x"), able.alias("y")
+    shared = F.least("x.rest", "y.rest")
+    possible = 100 * shared >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles") - shared)
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & possible)
+    return met.select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct()
+
+
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=80)
 
