@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,6 +34,11 @@ class Staging:
         df.write.mode("error").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def sweep(self) -> None:
+        """Lets Spark delete the shuffle files of finished writes now, not at some later collection."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str = "") -> None:
         """Deletes a table that no later result reads."""
         jvm = self.spark.sparkContext._jvm

@@ -88,19 +88,24 @@ def repeated_windows(docs: DataFrame, stage: Staging, k: int, m: int, bits: int
 
     found = T.StructType([docs.schema["_id"], docs.schema["_t"], *T._parse_datatype_string("start int, mini long, path long, edges array<long>").fields])
     record = stage.put(docs.select("_id", "_t", "text").mapInArrow(records, found), "records")
-    path = record.groupBy("mini", "path").agg(F.min(F.struct("_id", "_t", "start")).alias("source"), F.min("edges").alias("edges"))
+    stage.sweep()
+    path = record.groupBy("mini", "path").agg(F.min(F.struct("_id", "start")).alias("source"), F.min("edges").alias("edges"))
     path = stage.put(path, "paths")
-    edge = path.select("mini", "path", "source", F.posexplode("edges").alias("i", "edge"))
-    edge = edge.select("mini", "path", "edge", "i", F.col("source._id").alias("_id"), F.col("source._t").alias("_t"), (F.col("source.start") + F.col("i")).alias("at"))
-    least = edge.groupBy("mini", "edge").agg(F.min(F.struct("_id", "_t", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    stage.sweep()
+    record = stage.put(record.select("_id", "_t", "start", "mini", "path", F.size("edges").alias("n")), "occurrences")
+    stage.drop("records")
+    several = path.groupBy("mini").agg(F.count("*").alias("n")).filter("n > 1").select("mini")  # else no edge is in two paths
+    edge = path.join(several, "mini").select("mini", "path", "source", F.posexplode("edges").alias("i", "edge"))
+    edge = edge.select("mini", "path", "edge", "i", F.col("source._id").alias("_id"), (F.col("source.start") + F.col("i")).alias("at"))
+    least = edge.groupBy("mini", "edge").agg(F.min(F.struct("_id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = edge.join(least, ["mini", "edge"]).filter(~(F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("at") == F.col("first.at"))))
-    masks = later.groupBy("mini", "path").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
+    masks = stage.put(later.groupBy("mini", "path").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask")), "masks")
+    stage.sweep()
     judged = path.select("mini", "path", "source").join(masks, ["mini", "path"], "left")
-    judged = stage.put(judged.select("mini", "path", F.col("source._id").alias("s_id"), F.col("source.start").alias("s_start"), F.coalesce("mask", F.lit(0).cast("long")).alias("mask")), "judged")
-    all_of = F.expr("shiftleft(1L, size(edges)) - 1")
+    judged = judged.select("mini", "path", F.col("source._id").alias("s_id"), F.col("source.start").alias("s_start"), F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
     back = record.join(judged, ["mini", "path"])
     is_source = F.col("_id").eqNullSafe(F.col("s_id")) & (F.col("start") == F.col("s_start"))
-    back = back.select("_id", "_t", "start", F.when(is_source, F.col("mask")).otherwise(all_of).alias("mask")).filter("mask <> 0")
+    back = back.select("_id", "_t", "start", F.when(is_source, F.col("mask")).otherwise(F.expr("shiftleft(1L, n) - 1")).alias("mask")).filter("mask <> 0")
     return back.groupBy("_id", "_t").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))  # no longer than the text
 
 
@@ -134,8 +139,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stage = Staging(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_t"), F.col(text_col).alias("text"))
     spans = stage.put(repeated_windows(source, stage, k, m), "spans")
-    for name in ("minimizers", "records", "paths", "judged"):
+    for name in ("minimizers", "occurrences", "paths", "masks"):
         stage.drop(name)
+    stage.sweep()
     s, g = source.alias("s"), spans.alias("g")
     rows = s.join(g, F.col("s._id").eqNullSafe(F.col("g._id")) & (F.col("s._t") == F.col("g._t")), "left").select("s._id", "s.text", "g.spans")
 
