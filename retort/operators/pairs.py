@@ -24,7 +24,7 @@ def pair_join(x: DataFrame, y: DataFrame, x_id: str, y_id: str, x_vec: str, y_ve
         both = right.crossJoin(F.broadcast(left))
     else:
         n = F.lit(blocks)
-        both = left.withColumn("_b", F.pmod(F.xxhash64("i"), n)).join(right.withColumn("_b", F.explode(F.sequence(F.lit(0), n - 1)).cast("bigint")), "_b")
+        both = left.withColumn("_b", F.pmod(F.xxhash64("i"), n)).join(right.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), (n - 1).cast("bigint")))), "_b")
     return both.select("i", "j", value(F.col("_x"), F.col("_y")).alias(name))
 
 

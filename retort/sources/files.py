@@ -25,7 +25,7 @@ def read_sdf(spark: SparkSession, path: str) -> DataFrame:
 
 def sdf_block(title: Column, atoms: Column, bonds: Column) -> Column:
     """A V2000 block of atoms and bonds as ``read_sdf`` gives them."""
-    place = lambda v: F.lpad(F.format_number(v, "0.0000"), 10, " ")
+    place = lambda v: F.lpad(F.format_string("%.4f", v), 10, " ")
     pad = lambda v, n=3: F.lpad(v.cast("string"), n, " ")
     atom = lambda a: F.concat(place(a["x"]), place(a["y"]), place(a["z"]), F.lit(" "), F.rpad(a["symbol"], 3, " "), F.lit(" 0  0  0  0  0  0  0  0  0  0  0  0"))
     bond = lambda b: F.concat(pad(b["i"] + 1), pad(b["j"] + 1), pad(b["order"]), F.lit("  0"))
