@@ -84,7 +84,8 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
 
     A fixed rule decides where one fits. Elsewhere the page's template does: bad labels of its
     branch (label 0), smoothed by the host's share, itself smoothed by the corpus's, each with
-    the weight of ``strength`` labelled pages, block it at ``reject`` or more.
+    the weight of ``strength`` labelled pages, block it at ``reject`` or more, if the branch has
+    a bad label of its own.
 
     Cases: a null url or one without ``://`` has empty host and path and one template of its
     own; unlabelled pages count for the shape of the tree only; without labels nothing is
@@ -104,18 +105,18 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     leaves = merged(tree, stage)
     hosts = leaves.groupBy("host").agg(((F.sum("bad") + strength * overall) / (F.sum("known") + strength)).alias("_host_share"))
     branches = leaves.groupBy("host", "branch").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known")).join(hosts, "host")
-    impure = branches.select("host", "branch", ((F.col("bad") + strength * F.col("_host_share")) / (F.col("known") + strength)).alias("impurity"))
-    judged = leaves.select("host", "template", "branch").join(impure, ["host", "branch"]).select("host", "template", "impurity")
+    impure = branches.select("host", "branch", ((F.col("bad") + strength * F.col("_host_share")) / (F.col("known") + strength)).alias("impurity"), (F.col("bad") > 0).alias("seen_bad"))
+    judged = leaves.select("host", "template", "branch").join(impure, ["host", "branch"]).select("host", "template", "impurity", "seen_bad")
     return _verdicts(rows, tree, judged, stage, rules, id_col, reject)
 
 
 def _verdicts(rows: DataFrame, tree: DataFrame, judged: DataFrame, stage: Staging, rules, id_col: str, reject: float) -> DataFrame:
     """Carries the judgement of templates back to the pages by their shaped segments."""
-    by_parts = tree.join(judged, ["host", "template"]).select(F.col("host").alias("_h"), F.concat_ws("/", "_parts").alias("_k"), "template", "impurity")
+    by_parts = tree.join(judged, ["host", "template"]).select(F.col("host").alias("_h"), F.concat_ws("/", "_parts").alias("_k"), "template", "impurity", "seen_bad")
     keyed = rows.withColumn("_key", F.concat_ws("/", shaped(DEPTH)))
     out = keyed.join(by_parts, (F.col("host") == F.col("_h")) & (F.col("_key") == F.col("_k")), "left")
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
-    method = F.when(F.col("impurity") >= reject, F.lit("block")).otherwise(F.lit("allow"))
+    method = F.when(F.col("seen_bad") & (F.col("impurity") >= reject), F.lit("block")).otherwise(F.lit("allow"))
     return out.select(F.col("_id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "template", "impurity")
 
 
