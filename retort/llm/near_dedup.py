@@ -166,7 +166,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = components(links[0], stage, "components-0")
     apart = _apart(buckets, roots, stage, "apart-0")
 
-    apart = _with_rare(apart, sets, stage)
+    apart, rare = _with_rare(apart, sets, stage)
     hubs = apart.groupBy("band").agg(F.max(F.struct(((F.col("n_shingles") - F.col("rare")) / F.col("n_shingles")).alias("share"), F.col("id").alias("hub"), F.col("root").alias("hub_root"))).alias("h")).select("band", "h.hub", "h.hub_root")
     second = apart.join(hubs, "band").filter("root <> hub_root").select(F.col("id").alias("u"), F.col("hub").alias("v"), "n_shingles").distinct()
     tried.append(stage.put(near(second.join(sizes, "v")).join(tried[0], ["u", "v"], "left_anti"), "pairs-1"))
@@ -176,7 +176,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     apart = _apart(apart.drop("root"), roots, stage, "apart-1")
 
     done = tried[0].unionAll(tried[1]).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    rest = _by_bound(apart, percent).unionAll(_by_rare(apart, stage, percent)).distinct()
+    rest = _by_bound(apart, percent).unionAll(_by_rare(apart, rare, percent)).distinct()
     tried.append(stage.put(rest.join(done, ["u", "v"], "left_anti"), "pairs-2"))
     links.append(stage.put(verified(tried[2], sets, percent), "links-2"))
     stage.drop("sets")
@@ -204,8 +204,9 @@ def _apart(buckets: DataFrame, roots: DataFrame, stage: Staging, name: str) -> D
     return stage.put(rooted.join(several, "band"), name)
 
 
-def _with_rare(apart: DataFrame, sets: DataFrame, stage: Staging) -> DataFrame:
-    """``apart`` with ``rare``: how many shingles of the row at most RARE rows of ``apart`` hold."""
+def _with_rare(apart: DataFrame, sets: DataFrame, stage: Staging) -> tuple[DataFrame, DataFrame]:
+    """``apart`` with ``rare``: how many shingles of the row at most RARE rows of ``apart`` hold;
+    and (shingle, id, n) of those shingles, n rows holding each."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,14 +220,12 @@ def _with_rare(apart: DataFrame, sets: DataFrame, stage: Staging) -> DataFrame:
     rare = stage.put(members.join(few, "shingle"), "rare")
     stage.drop("members")
     counts = rare.groupBy("id").agg(F.count("*").alias("rare"))
-    return stage.put(apart.join(counts, "id", "left").withColumn("rare", F.coalesce("rare", F.lit(0))), "apart-rare")
+    return stage.put(apart.join(counts, "id", "left").withColumn("rare", F.coalesce("rare", F.lit(0))), "apart-rare"), rare
 
 
-def _by_rare(apart: DataFrame, stage: Staging, percent: int) -> DataFrame:
+def _by_rare(apart: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a rare shingle: lists of at most RARE ids, each list once."""
-    spark = apart.sparkSession
-    rare = spark.read.parquet(f"{stage.root}/rare").filter("n > 1")
-    lists = rare.groupBy("shingle").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
+    lists = rare.filter("n > 1").groupBy("shingle").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
     each = lists.select(F.posexplode("ids").alias("p", "u"), "ids").select("u", F.explode(F.expr("slice(ids, p + 2, size(ids))")).alias("v")).distinct()
     own = apart.select("id", "n_shingles", "root").distinct()
     x, y = (own.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("root").alias(f"r_{c}")) for c in "uv")
