@@ -29,7 +29,7 @@ class Encoder:
     looked up in a table of bounded size; other texts and new chunks go to the tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

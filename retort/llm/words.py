@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,7 +126,10 @@ class Words:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of whole rows with about ``most`` bytes of text, so memory follows the longest row."""
+    """Slices of whole rows with about ``most`` bytes of text, so memory follows the longest row.
+
+    At the end the worker gives freed memory back, as it stays for later tasks of other operators.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -138,3 +142,8 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1
             hi = min(hi, batch.num_rows, lo + 20_000)
             yield batch.slice(lo, hi - lo)
             lo = hi
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another libc
+        pass
