@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import sys
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,29 +74,35 @@ class Encoder:
                 lo = hi
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        heads: set[str] = set()
-        rest: set[str] = set()
+        for table in (self.heads, self.rest):
+            if len(table) > self.most:  # the first half stays: usual words come early
+                for w in list(islice(table, self.most // 2, None)):
+                    del table[w]
+        known, heads, rest = self.rest.get, set(), set()
+        found: list[tuple[list[str], list[bytes | None]] | None] = []
         for t in texts:
             if t and self.chunked and not self.odd.search(t):
                 words = t.split(" ")
-                heads.add(words[0])
-                rest.update(words[1:])
-                split.append(words)
+                ids = list(map(known, words))
+                ids[0] = self.heads.get(words[0])
+                if None in ids:
+                    if ids[0] is None:
+                        heads.add(words[0])
+                    rest.update(w for w, x in zip(words[1:], ids[1:], strict=True) if x is None)
+                found.append((words, ids))
             else:
-                split.append(None)
-        for table in (self.heads, self.rest):
-            if len(table) > self.most:
-                table.clear()
+                found.append(None)
         self._learn(self.heads, heads, "")
         self._learn(self.rest, rest, " ")
         out = []
-        get = self.rest.__getitem__
-        for t, words in zip(texts, split, strict=True):
-            if words is not None:
-                out.append(self.heads[words[0]] + b"".join(map(get, words[1:])))
-            else:
+        for t, pair in zip(texts, found, strict=True):
+            if pair is None:
                 out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if t else b"")
+                continue
+            words, ids = pair
+            if None in ids:
+                ids = [x if x is not None else self.rest[w] if i else self.heads[w] for i, (w, x) in enumerate(zip(words, ids, strict=True))]
+            out.append(b"".join(ids))
         for table, words in ((self.heads, heads), (self.rest, rest)):
             for w in [w for w in words if len(w) > 64]:
                 table.pop(w, None)
