@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .staging import Staging, bitmap, in_bitmap
-from .words import Words, mix, pieces
+from .words import Words, pieces
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -83,35 +84,45 @@ def _may_hold(batch: pa.RecordBatch) -> np.ndarray:
     return np.diff(total[w.offsets]) > 0
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, stage: Staging, min_contexts: int, min_probability: float, min_npmi: float) -> DataFrame:
+def disclosing_terms(scanned: DataFrame, docs: DataFrame, stage: Staging, min_contexts: int, min_probability: float, min_npmi: float) -> DataFrame:
     """(entity, term): terms whose presence tells which protected value a document holds.
 
-    Joint counts are over different contexts of an entity, so copies of one passage count once;
-    a term's own count is over all documents. With P(entity | term) at least ``min_probability``
-    and normalised pointwise mutual information at least ``min_npmi`` the term discloses.
+    All counts are of documents (rows with a word at least): those that hold the entity and the
+    term, the entity, the term, and all. A pair in fewer than ``min_contexts`` documents does not
+    count. With P(entity | term) at least ``min_probability`` and normalised pointwise mutual
+    information at least ``min_npmi`` the term discloses.
     """
-    joint = found.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= min_contexts)
-    joint = stage.put(joint, "joint")
-    entities = found.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    pairs = F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))
+    joint = scanned.select(F.explode(pairs).alias("x")).groupBy("x.entity", "x.term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= min_contexts)
+    # A term near values in so many documents is in as many at least: an exact bound that spares counting usual words.
+    near = scanned.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("_m"))
+    joint = stage.put(joint.join(near, "term").filter(F.col("n_et") / F.col("_m") >= min_probability).drop("_m"), "joint")
+    entities = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     table = docs.sparkSession.sparkContext.broadcast(bitmap(joint.select("term").distinct(), "term", 22))  # 2**22 bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[int] = Counter()
         for batch in pieces(batches):
             w = Words(batch.column("text"), lower=True)
-            h = w.hash
-            some = in_bitmap(table.value, h)
-            one = np.unique(np.column_stack([w.rows()[some].astype(np.uint64), h[some]]), axis=0)
+            some = in_bitmap(table.value, w.hash)
+            one = np.unique(np.column_stack([w.rows()[some].astype(np.uint64), w.hash[some]]), axis=0)
             seen, n = np.unique(one[:, 1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
+            held.update(dict(zip(seen.view(np.int64).tolist(), n.tolist(), strict=True)))
+            if len(held) > 200_000:
+                yield counted(held)
+                held.clear()
+        yield counted(held)
+
+    def counted(held: Counter[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(held.values(), pa.int64())], ["term", "n"])
 
     frequency = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    total = docs.count()
+    total = docs.filter(F.col("text").rlike(_WORD.pattern)).count()
     both = joint.join(frequency, "term").join(entities, "entity")
     p_et = F.col("n_et") / F.lit(float(max(total, 1)))
-    n_t = F.greatest("n_t", "n_et")
-    pmi = F.log(F.col("n_et") * F.lit(float(max(total, 1))) / (n_t * F.greatest("n_e", "n_et")))
+    pmi = F.log(F.col("n_et") * F.lit(float(max(total, 1))) / (F.col("n_t") * F.col("n_e")))
     npmi = F.when(p_et < 1, pmi / -F.log(p_et)).otherwise(F.lit(1.0))
-    return both.filter((F.col("n_et") / n_t >= min_probability) & (npmi >= min_npmi)).select("entity", "term")
+    return both.filter((F.col("n_et") / F.col("n_t") >= min_probability) & (npmi >= min_npmi)).select("entity", "term")
 
 
 def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 8, min_contexts: int = 3, min_probability: float = 0.5, min_npmi: float = 0.5) -> DataFrame:
@@ -135,6 +146,7 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
             counts = np.zeros((batch.num_rows, len(KINDS)), np.int64)
             spans: list[list[str]] = [[] for _ in range(batch.num_rows)]
             near: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            held: list[list[int]] = [[] for _ in range(batch.num_rows)]
             for i in np.flatnonzero(_may_hold(batch)).tolist():
                 text = texts[i].as_py()
                 base = base_spans(text)
@@ -146,27 +158,26 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
                 words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
                 begins = np.array([a for a, _ in words])
                 entity = _hash([f"{k}:{v}".encode() for k, _, _, v in base])
+                held[i] = np.unique(entity.view(np.int64)).tolist()
                 for (_, a, b, _), e in zip(base, entity.view(np.int64).tolist(), strict=True):
                     lo, hi = int(np.searchsorted(begins, a, side="right")) - 1, int(np.searchsorted(begins, b))
                     around = [j for j in range(max(0, lo - reach), min(len(words), hi + reach)) if not any(words[j][0] < y and x < words[j][1] for _, x, y, _ in base)]
                     if not around:
                         continue
                     terms = _hash([text[words[j][0] : words[j][1]].encode() for j in around])
-                    with np.errstate(over="ignore"):
-                        context = int(mix(terms, 31).sum(dtype=np.uint64).view(np.int64))
-                    near[i] += [{"entity": e, "term": t, "context": context, "a": words[j][0], "b": words[j][1]} for j, t in zip(around, terms.view(np.int64).tolist(), strict=True)]
-            kind = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
-            columns = [batch.column("_id"), batch.column("_t"), *(pa.array(counts[:, k]) for k in range(len(KINDS))), pa.array(spans, pa.list_(pa.string())), pa.array(near, kind)]
-            yield pa.RecordBatch.from_arrays(columns, ["_id", "_t", *(f"n_{k}" for k in KINDS), "base", "near"])
-
-    extra = ", ".join(f"n_{k} long" for k in KINDS) + ", base array<string>, near array<struct<entity: long, term: long, context: long, a: int, b: int>>"
+                    near[i] += [{"entity": e, "term": t, "a": words[j][0], "b": words[j][1]} for j, t in zip(around, terms.view(np.int64).tolist(), strict=True)]
+            kind = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
+            columns = [batch.column("_id"), batch.column("_t"), *(pa.array(counts[:, k]) for k in range(len(KINDS))), pa.array(spans, pa.list_(pa.string())), pa.array(near, kind), pa.array(held, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "_t", *(f"n_{k}" for k in KINDS), "base", "near", "entities"])
+
+    extra = ", ".join(f"n_{k} long" for k in KINDS) + ", base array<string>, near array<struct<entity: long, term: long, a: int, b: int>>, entities array<long>"
     schema = T.StructType([source.schema["_id"], source.schema["_t"], *T._parse_datatype_string(extra).fields])
     scanned = stage.put(source.mapInArrow(scan, schema), "scanned")
     found = scanned.select("_id", "_t", F.explode("near").alias("x")).select("_id", "_t", "x.*")
-    terms = disclosing_terms(found, source, stage, min_contexts, min_probability, min_npmi)
+    terms = disclosing_terms(scanned, source, stage, min_contexts, min_probability, min_npmi)
     added = found.join(terms, ["entity", "term"]).select("_id", "_t", "a", "b").distinct()
     added = added.groupBy("_id", "_t").agg(F.collect_set(F.concat_ws(":", F.lit("term"), "a", "b")).alias("terms"))  # at most the words near its values
-    s, t = scanned.drop("near").alias("s"), added.alias("t")
+    s, t = scanned.drop("near", "entities").alias("s"), added.alias("t")
     joined = s.join(t, F.col("s._id").eqNullSafe(F.col("t._id")) & F.col("s._t").eqNullSafe(F.col("t._t")), "left").select("s.*", "t.terms")
     rank = lambda x: F.struct(F.get(F.split(x, ":"), F.lit(1)).cast("int").alias("a"), F.array_position(F.array(*[F.lit(k) for k in (*KINDS, "term")]), F.get(F.split(x, ":"), F.lit(0))).alias("k"), x.alias("s"))
     every = F.transform(F.array_sort(F.transform(F.concat("base", F.coalesce("terms", F.array().cast("array<string>"))), rank)), lambda x: x.s)

@@ -214,6 +214,21 @@ def test_pii_terms_and_sanitising(spark):
     assert len(rows(pii.pii(odd(spark)))) == 12 and pii.pii(frame(spark, [])).collect() == []
 
 
+def terms_of(texts, row):
+    return {texts[i][int(a) : int(b)] for i in [row["doc_id"]] for k, a, b in (s.split(":") for s in row["spans"].split(",") if s) if k == "term"}
+
+
+def test_pii_counts_copies_alike_on_both_sides(spark):
+    copied = "first ahab sent ahab@sea.org a letter"
+    texts = [copied] * 30 + ["then ahab asked ahab@sea.org again", "old ahab told ahab@sea.org nothing"]  # three contexts, one of them copied
+    texts += [f"text {i} of many -- ishmael ishmael@sea.org" for i in range(5)]  # one signature
+    texts += [f"plain words {i} and no more" for i in range(40)]
+    got = {r["doc_id"]: r for r in rows(pii.pii(frame(spark, texts)))}
+    assert all("ahab" in terms_of(texts, got[i]) for i in range(32))
+    assert all("ishmael" in terms_of(texts, got[i]) for i in range(32, 37))
+    assert all(got[i]["spans"] == "" for i in range(37, 77))
+
+
 def test_packing_round_trip(spark):
     texts = [None, "", "a  b \n c ", LONG * 2, "<|endoftext|> x"] + corpus(7, 40)
     path = public_tokenizers.path("byte_bpe_50k.json")
