@@ -87,49 +87,94 @@ def _may_hold(batch: pa.RecordBatch) -> np.ndarray:
 def disclosing_terms(scanned: DataFrame, docs: DataFrame, stage: Staging, min_contexts: int, min_probability: float, min_npmi: float) -> DataFrame:
     """(entity, term): terms whose presence tells which protected value a document holds.
 
-    All counts are of documents (rows with a word at least): those that hold the entity and the
-    term, the entity, the term, and all. A pair in fewer than ``min_contexts`` documents does not
-    count. With P(entity | term) at least ``min_probability`` and normalised pointwise mutual
-    information at least ``min_npmi`` the term discloses.
+    Candidates are the pairs that stand near each other anywhere. All counts are of whole documents
+    (rows with a word at least): those that hold the entity and the term, the entity, the term, and
+    all. A pair in fewer than ``min_contexts`` documents does not count. With P(entity | term) at
+    least ``min_probability`` and normalised pointwise mutual information at least ``min_npmi`` the
+    term discloses.
     """
-    pairs = F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))
-    joint = scanned.select(F.explode(pairs).alias("x")).groupBy("x.entity", "x.term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= min_contexts)
-    # A term near values in so many documents is in as many at least: an exact bound that spares counting usual words.
+    entities = stage.put(scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= min_contexts), "entities")
+    # A term near values in so many documents is in as many at least, and no pair is in more than
+    # its entity: an exact bound that spares counting usual words.
     near = scanned.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("_m"))
-    joint = stage.put(joint.join(near, "term").filter(F.col("n_et") / F.col("_m") >= min_probability).drop("_m"), "joint")
-    entities = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    table = docs.sparkSession.sparkContext.broadcast(bitmap(joint.select("term").distinct(), "term", 22))  # 2**22 bits
+    pairs = F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))
+    joint = scanned.select(F.explode(pairs).alias("x")).select("x.*").distinct().join(entities, "entity").join(near, "term")
+    joint = stage.put(joint.filter(F.col("n_e") / F.col("_m") >= min_probability).drop("_m"), "joint")
+    context = docs.sparkSession.sparkContext
+    terms, values = (context.broadcast(bitmap(joint.select(c).distinct(), c, 22)) for c in ("term", "entity"))  # 2**22 bits each
+    pairs = context.broadcast(bitmap(joint.select(F.col("entity").bitwiseXOR(F.col("term")).alias("pair")), "pair", 24))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[int] = Counter()
+        held: Counter[tuple[int | None, int]] = Counter()
         for batch in pieces(batches):
             w = Words(batch.column("text"), lower=True)
-            some = in_bitmap(table.value, w.hash)
+            some = in_bitmap(terms.value, w.hash)
             one = np.unique(np.column_stack([w.rows()[some].astype(np.uint64), w.hash[some]]), axis=0)
+            first = np.searchsorted(one[:, 0], np.arange(batch.num_rows + 1))
             seen, n = np.unique(one[:, 1], return_counts=True)
-            held.update(dict(zip(seen.view(np.int64).tolist(), n.tolist(), strict=True)))
+            for t, k in zip(seen.view(np.int64).tolist(), n.tolist(), strict=True):
+                held[None, t] += k
+            for i in np.flatnonzero(_may_hold(batch) & (np.diff(first) > 0)).tolist():
+                base = base_spans(batch.column("text")[i].as_py())
+                if base:
+                    entity = np.unique(_hash([f"{k}:{v}".encode() for k, _, _, v in base]))
+                    here = np.ascontiguousarray(one[first[i] : first[i + 1], 1])
+                    for e in entity[in_bitmap(values.value, entity)]:
+                        held.update((int(e.view(np.int64)), t) for t in here[in_bitmap(pairs.value, here ^ e)].view(np.int64).tolist())
+                    if len(held) > 200_000:
+                        yield counted(held)
+                        held.clear()
             if len(held) > 200_000:
                 yield counted(held)
                 held.clear()
         yield counted(held)
 
-    def counted(held: Counter[int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(held.values(), pa.int64())], ["term", "n"])
+    def counted(held: Counter[tuple[int | None, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([e for e, _ in held], pa.int64()), pa.array([t for _, t in held], pa.int64()), pa.array(held.values(), pa.int64())], ["entity", "term", "n"])
 
-    frequency = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    counts = docs.select("text").mapInArrow(count, "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
+    counts = stage.put(counts, "counts")
     total = docs.filter(F.col("text").rlike(_WORD.pattern)).count()
-    both = joint.join(frequency, "term").join(entities, "entity")
+    frequency = counts.filter("entity is null").select("term", F.col("n").alias("n_t"))
+    both = joint.join(counts.filter("entity is not null").withColumnRenamed("n", "n_et"), ["entity", "term"]).filter(F.col("n_et") >= min_contexts).join(frequency, "term")
     p_et = F.col("n_et") / F.lit(float(max(total, 1)))
     pmi = F.log(F.col("n_et") * F.lit(float(max(total, 1))) / (F.col("n_t") * F.col("n_e")))
     npmi = F.when(p_et < 1, pmi / -F.log(p_et)).otherwise(F.lit(1.0))
     return both.filter((F.col("n_et") / F.col("n_t") >= min_probability) & (npmi >= min_npmi)).select("entity", "term")
 
 
+def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(_id, _t, a, b): every place of one of ``terms`` in every text, but for words that touch a protected value."""
+    table = docs.sparkSession.sparkContext.broadcast(bitmap(terms, "term", 22))  # 2**22 bits
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            w = Words(batch.column("text"), lower=True)
+            some = in_bitmap(table.value, w.hash)
+            may, at, places = _may_hold(batch), [], []
+            for i in np.unique(w.rows()[some]).tolist():
+                text = batch.column("text")[i].as_py()
+                base = base_spans(text) if may[i] else []
+                words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+                for j in np.flatnonzero(some[w.first[i] : w.first[i + 1]]).tolist():
+                    a, b = words[j]
+                    if not any(a < y and x < b for _, x, y, _ in base):
+                        at.append(i)
+                        places.append((int(w.hash[w.first[i] + j].view(np.int64)), a, b))
+            columns = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("_id", "_t")]
+            columns += [pa.array([p[k] for p in places], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "_t", "term", "a", "b"])
+
+    schema = T.StructType([docs.schema["_id"], docs.schema["_t"], *T._parse_datatype_string("term long, a int, b int").fields])
+    return docs.mapInArrow(find, schema).join(terms, "term", "left_semi").select("_id", "_t", "a", "b")
+
+
 def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 8, min_contexts: int = 3, min_probability: float = 0.5, min_npmi: float = 0.5) -> DataFrame:
     """One row for each row of ``docs``: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, all_spans.
 
-    Terms are words within ``reach`` words of a protected value; those that disclose it (see
-    ``disclosing_terms``) become spans of kind ``term`` wherever they stand that near to it.
+    A word within ``reach`` words of a protected value anywhere may be a term; one that discloses
+    the value (see ``disclosing_terms``) becomes a span of kind ``term`` wherever it stands, in all
+    texts, with the value or without.
     base_sha256 is over the fixed kinds alone, spans holds all (kind:start:end in code points,
     end exclusive), all_spans the same as an array for ``sanitise``.
 
@@ -165,18 +210,17 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
                     if not around:
                         continue
                     terms = _hash([text[words[j][0] : words[j][1]].encode() for j in around])
-                    near[i] += [{"entity": e, "term": t, "a": words[j][0], "b": words[j][1]} for j, t in zip(around, terms.view(np.int64).tolist(), strict=True)]
-            kind = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
+                    near[i] += [{"entity": e, "term": t} for t in terms.view(np.int64).tolist()]
+            kind = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64())]))
             columns = [batch.column("_id"), batch.column("_t"), *(pa.array(counts[:, k]) for k in range(len(KINDS))), pa.array(spans, pa.list_(pa.string())), pa.array(near, kind), pa.array(held, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["_id", "_t", *(f"n_{k}" for k in KINDS), "base", "near", "entities"])
 
-    extra = ", ".join(f"n_{k} long" for k in KINDS) + ", base array<string>, near array<struct<entity: long, term: long, a: int, b: int>>, entities array<long>"
+    extra = ", ".join(f"n_{k} long" for k in KINDS) + ", base array<string>, near array<struct<entity: long, term: long>>, entities array<long>"
     schema = T.StructType([source.schema["_id"], source.schema["_t"], *T._parse_datatype_string(extra).fields])
     scanned = stage.put(source.mapInArrow(scan, schema), "scanned")
-    found = scanned.select("_id", "_t", F.explode("near").alias("x")).select("_id", "_t", "x.*")
-    terms = disclosing_terms(scanned, source, stage, min_contexts, min_probability, min_npmi)
-    added = found.join(terms, ["entity", "term"]).select("_id", "_t", "a", "b").distinct()
-    added = added.groupBy("_id", "_t").agg(F.collect_set(F.concat_ws(":", F.lit("term"), "a", "b")).alias("terms"))  # at most the words near its values
+    terms = stage.put(disclosing_terms(scanned, source, stage, min_contexts, min_probability, min_npmi).select("term").distinct(), "terms")
+    added = occurrences(source, terms)
+    added = added.groupBy("_id", "_t").agg(F.collect_set(F.concat_ws(":", F.lit("term"), "a", "b")).alias("terms"))  # at most the words of a text
     s, t = scanned.drop("near", "entities").alias("s"), added.alias("t")
     joined = s.join(t, F.col("s._id").eqNullSafe(F.col("t._id")) & F.col("s._t").eqNullSafe(F.col("t._t")), "left").select("s.*", "t.terms")
     rank = lambda x: F.struct(F.get(F.split(x, ":"), F.lit(1)).cast("int").alias("a"), F.array_position(F.array(*[F.lit(k) for k in (*KINDS, "term")]), F.get(F.split(x, ":"), F.lit(0))).alias("k"), x.alias("s"))

@@ -229,6 +229,20 @@ def test_pii_counts_copies_alike_on_both_sides(spark):
     assert all(got[i]["spans"] == "" for i in range(37, 77))
 
 
+def test_pii_marks_terms_wherever_they_stand(spark):
+    gap = lambda i: " ".join(f"g{i}x{j}" for j in range(12))
+    texts = [f"case {i} queequeg queequeg@sea.org end" for i in range(2)]
+    texts += [f"queequeg {gap(i)} queequeg@sea.org" for i in range(2, 5)]  # counts only over whole documents
+    texts += [f"é queequeg {gap(5)} Queequeg", f"{gap(6)} other case end"] + [f"plain words {i} case end" for i in range(30)]
+    docs = frame(spark, texts)
+    got = {r["doc_id"]: r for r in rows(pii.pii(docs))}
+    assert all(terms_of(texts, got[i]) == {"queequeg"} for i in range(5))
+    assert got[5]["spans"] == f"term:2:10,term:{len(texts[5]) - 8}:{len(texts[5])}"
+    assert all(got[i]["spans"] == "" for i in range(6, 37))
+    clean = {r["doc_id"]: r["text"] for r in rows(pii.sanitise(docs))}
+    assert not any("queequeg" in t.lower() for t in clean.values()) and clean[6] == texts[6]
+
+
 def test_packing_round_trip(spark):
     texts = [None, "", "a  b \n c ", LONG * 2, "<|endoftext|> x"] + corpus(7, 40)
     path = public_tokenizers.path("byte_bpe_50k.json")
