@@ -21,7 +21,9 @@ from .pairs import knn_join
 
 
 def _const(values) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    """Numbers as one literal that folds, not an expression each: a 64 x 64 matrix has 4,096."""
+    held = ",".join(repr(float(v)) for v in values)
+    return F.split(F.lit(held), ",").cast("array<double>") if held else F.array().cast("array<double>")
 
 
 def _sum(values: Column) -> Column:

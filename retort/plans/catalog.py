@@ -231,10 +231,8 @@ def ad_knn(spark, sf_dir):
 def _matrix_domain(make: Callable) -> Query:
     def run(spark, sf_dir):
         train, test = _train_test(spark, sf_dir)
-        first = F.slice("x", 1, 8).alias("x")
-        m = make(train.select("vec_id", first))
-        scored = m.predict(m.score(test.select("vec_id", first), "x"), "x")
-        return scored.select("vec_id", "inside")
+        m = make(train)
+        return m.predict(test, "x").select("vec_id", "inside")
 
     return run
 

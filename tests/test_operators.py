@@ -99,3 +99,33 @@ def test_fasta_and_tables(spark, tmp_path):
     assert got == {("CC", "a", 1.0), ("CC", "b", None), ("C", "a", 0.0), ("C", "b", 2.0)}
     (tmp_path / "s.json").write_text('{"train": [0, 1], "test": [2]}')
     assert {tuple(r) for r in files.read_splits(spark, str(tmp_path / "s.json")).collect()} == {("train", 0), ("train", 1), ("test", 2)}
+
+
+def test_matrix_domains_use_the_whole_vector(spark, tmp_path):
+    from retort.functions.moments import f_quantile
+    from retort.plans import catalog
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(400, 64)).astype(np.float32)
+    label = np.arange(400) % 10
+    x[label >= 5, 8:] *= rng.choice([0.3, 1, 1.5], size=(200, 1))  # what tells is behind the first eight numbers
+    spark.createDataFrame([(i, x[i].tolist(), int(label[i])) for i in range(400)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    x = x.astype(float)
+    train, test, ids = x[label < 5], x[label >= 5], np.flatnonzero(label >= 5).tolist()
+    n, d = train.shape
+    form = lambda rows, m: np.einsum("ij,jk,ik->i", rows, np.linalg.pinv(m), rows)
+    mean, cov = train.mean(0), np.cov(train.T)
+    low, width = train.min(0), np.ptp(train, 0)
+    scaled = lambda rows: np.column_stack([2 * (rows - low) / width - 1, np.ones(len(rows))])
+    axes = np.linalg.eigh(cov)[1]
+    inner, outer = (train - mean) @ axes, (test - mean) @ axes
+    want = {
+        "ad_leverage": form(test, train.T @ train) <= 3 * (d + 1) / n,
+        "ad_hotelling_t2": form(test - mean, cov) <= d * (n - 1) * (n + 1) / (n * (n - d)) * f_quantile(0.1, d, n - d),
+        "ad_pca_box": ((outer >= inner.min(0) - 1e-9) & (outer <= inner.max(0) + 1e-9)).all(1),
+        "ad_topkat": form(scaled(test), scaled(train).T @ scaled(train)) < 5 * d / (2 * n),
+    }
+    for name, verdict in want.items():
+        got = {r["vec_id"]: r["inside"] for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
+        assert got == dict(zip(ids, verdict.tolist(), strict=True)), name
+    assert len({v.tobytes() for v in want.values()}) > 1 and any(0 < v.sum() < len(v) for v in want.values())
