@@ -97,6 +97,16 @@ def threshold_join(spark, sf_dir):
     return pairs.tanimoto_join(v.filter(F.col("vec_id") % EVERY == 0), v, "vec_id", "vec_id", "bits", "bits", 0.4).select("i", "j", F.round("similarity", 6).alias("similarity"))
 
 
+def threshold_links(spark, sf_dir):
+    """(vec_id, class_id, n_links): all vectors against all. Equal bit vectors are a class, named by
+    its least id; n_links counts the other vectors with similarity at least 0.4."""
+    v = vectors(spark, sf_dir).select("vec_id", "bits")
+    classes = v.groupBy("bits").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("size"))
+    met = pairs.tanimoto_join(classes, classes.withColumn("who", F.struct("class_id", "size")), "class_id", "who", "bits", "bits", 0.4)
+    links = met.groupBy(F.col("i").alias("class_id")).agg((F.sum("j.size") - 1).alias("n_links"))
+    return v.join(classes, "bits").join(links, "class_id").select("vec_id", "class_id", "n_links")
+
+
 def lingo_names(spark, sf_dir):
     return lingo(table(spark, sf_dir, "part"), "p_partkey", "p_name")
 
@@ -308,7 +318,7 @@ def _all() -> tuple[dict[str, Query], dict[str, str]]:
     q, s = _similarity_queries()
     for name in rules.RULE_SETS:
         q[f"filter_{name}"], s[f"filter_{name}"] = _filter_query(name)
-    q |= {"lingo": lingo_names, "folded_shingles": folded_words, "knn_tanimoto": knn_tanimoto, "tanimoto_threshold_join": threshold_join, "metrics_confusion": confusion, "metrics_regression": regression, "metrics_ranking": ranking, "metrics_screening": screening}
+    q |= {"lingo": lingo_names, "folded_shingles": folded_words, "knn_tanimoto": knn_tanimoto, "tanimoto_threshold_join": threshold_join, "tanimoto_threshold_links": threshold_links, "metrics_confusion": confusion, "metrics_regression": regression, "metrics_ranking": ranking, "metrics_screening": screening}
     q |= {"ad_bounding_box": ad_bounding_box, "ad_centroid": ad_centroid, "ad_response_range": ad_response_range, "ad_knn": ad_knn}
     q |= {f"ad_{f.__name__}": _matrix_domain(lambda t, f=f: f(t, "x")) for f in (domain.leverage, domain.hotelling_t2, domain.pca_box, domain.topkat)}
     q |= {"split_group_fill": split_groups, "split_time": split_time, "split_randomized_groups": split_randomized, "split_maxmin": split_maxmin, "split_stratified_maxmin": split_stratified, "split_butina": split_butina}

@@ -129,3 +129,18 @@ def test_matrix_domains_use_the_whole_vector(spark, tmp_path):
         got = {r["vec_id"]: r["inside"] for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
         assert got == dict(zip(ids, verdict.tolist(), strict=True)), name
     assert len({v.tobytes() for v in want.values()}) > 1 and any(0 < v.sum() < len(v) for v in want.values())
+
+
+def test_threshold_links_of_all_vectors(spark, tmp_path):
+    from retort.plans import catalog
+
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(120, 64)).astype(np.float32)
+    x[60:90], x[90:93] = x[:30], -1  # classes of two, and one of three empty vectors
+    spark.createDataFrame([(i + 1, x[i].tolist(), 0) for i in range(120)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    bits = (x > 0).astype(int)
+    both = bits @ bits.T
+    union = bits.sum(1)[:, None] + bits.sum(1) - both
+    links = (np.where(union == 0, 1, both / np.maximum(union, 1)) >= 0.4).sum(1) - 1
+    want = {(i + 1, min(j + 1 for j in range(120) if (bits[j] == bits[i]).all()), int(links[i])) for i in range(120)}
+    assert {tuple(r) for r in catalog.queries()["tanimoto_threshold_links"](spark, str(tmp_path)).collect()} == want
