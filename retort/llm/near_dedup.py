@@ -6,17 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .staging import Staging
+from .staging import Staging, bitmap, in_bitmap
 from .words import Words, mix, pieces
 
 U = np.uint64
 EMPTY = np.iinfo(np.uint64).max
-#: A shingle is rare if so many rows hold it at most.
-RARE = 8
+#: A shingle is rare if so many rows of large buckets hold it at most.
+RARE = 16
+#: Buckets of so many members at most are compared pair by pair.
+SMALL = 8
+#: So many rows of a bucket meet one copy of its hub's set.
+ROWS_PER_COPY = 512
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -25,7 +29,7 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     starts, hashes = w.windows(k)
     cut = np.searchsorted(starts, w.first)
     short = np.flatnonzero((w.counts > 0) & (w.counts < k))
-    whole = dict(zip(short.tolist(), w.ranges(w.first[short], w.first[short + 1]).tolist(), strict=True))
+    whole = dict(zip(short.tolist(), w.whole(short).tolist(), strict=True))
     out = []
     for i in range(len(texts)):
         if i in whole:
@@ -87,58 +91,88 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
+def digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit digests of each whole set."""
+    with np.errstate(over="ignore"):
+        one = np.array([mix(s, 90).sum(dtype=np.uint64) for s in sets], np.uint64)
+    two = np.array([np.bitwise_xor.reduce(mix(s, 91)) if len(s) else 0 for s in sets], np.uint64)
+    return one.view(np.int64), two.view(np.int64)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, size: int, rows: int) -> DataFrame:
-    """(id, n_shingles, set_id, bands): set_id is a 64-bit pair of digests of the whole set."""
+    """(id, n, one, two, bands): size, digests and band hashes of each row's set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col):
             sets = shingle_sets(batch.column(text_col), k)
             keys = band_keys(superminhash(sets, size), rows).view(np.int64)
-            with np.errstate(over="ignore"):
-                one = np.array([mix(s, 90).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                two = np.array([np.bitwise_xor.reduce(mix(s, 91)) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+            one, two = digests(sets)
             cut = np.arange(len(sets) + 1, dtype=np.int32) * keys.shape[1]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(id_col), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), pa.ListArray.from_arrays(cut, pa.array(keys.ravel()))],
-                ["id", "n_shingles", "one", "two", "bands"],
+                ["id", "n", "one", "two", "bands"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, "id long, n_shingles long, one long, two long, bands array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, "id long, n long, one long, two long, bands array<long>")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(id, one, members) of the rows with a wanted id; a bitmap of fixed size may let others pass."""
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("id").alias("h")), "h"))  # 2**26 bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text_col):
+            batch = batch.filter(pa.array(in_bitmap(held.value, batch.column("_h").to_numpy().view(np.uint64))))
+            sets = shingle_sets(batch.column(text_col), k)
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(digests(sets)[0]), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "one", "members"])
+
+    rows = docs.filter(F.col(id_col).isNotNull()).select(id_col, text_col, F.xxhash64(id_col).alias("_h"))
+    return rows.mapInArrow(run, "id long, one long, members binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) whose whole sets meet 100 * shared >= percent * union."""
+    """Pairs (u, u1, v, v1, salt) of sets with ``shared`` and ``linked``: 100 * shared >= percent * union.
+
+    (v, v1) may stand in many pairs; its set is sent once for each salt, so no task gets them all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            both, link = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
             a, b = batch.column("a"), batch.column("b")
             for i in range(batch.num_rows):
                 x, y = np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64)
                 if len(x) > len(y):
                     x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                shared = int((y[at] == x).sum()) if len(y) else 0
-                keep.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+                if len(x):
+                    at = np.searchsorted(y, x)
+                    at[at == len(y)] = 0
+                    both[i] = int((y[at] == x).sum())
+                    link[i] = both[i] > 0 and 100 * both[i] >= percent * (len(x) + len(y) - both[i])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("u", "u1", "v", "v1")), pa.array(both), pa.array(link)], ["u", "u1", "v", "v1", "shared", "linked"])
 
-    first = pairs.join(sets.select(F.col("id").alias("u"), F.col("members").alias("a")), "u")
-    both = first.join(sets.select(F.col("id").alias("v"), F.col("members").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    mine = sets.select(F.col("id").alias("u"), F.col("one").alias("u1"), F.col("members").alias("a"))
+    theirs = sets.select(F.col("id").alias("v"), F.col("one").alias("v1"), F.col("members").alias("b"))
+    copies = pairs.select("v", "v1", "salt").distinct().join(theirs, ["v", "v1"])
+    both = pairs.join(mine, ["u", "u1"]).join(copies, ["v", "v1", "salt"])
+    return both.select("u", "u1", "v", "v1", "a", "b").mapInArrow(run, "u long, u1 long, v long, v1 long, shared long, linked boolean")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, size: int = 128, rows: int = 4) -> DataFrame:
+def _fits(x: str, y: str, percent: int) -> Column:
+    """Sets of sizes x and y can be similar enough at all."""
+    return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, size: int = 130, rows: int = 5) -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles, component_id, kept.
 
-    Texts with one set of shingles form a class, and only its least id goes on. Bands of the
-    signatures give buckets; with 32 bands of 4 values a pair of similarity 0.8 shares a bucket
-    but for 5 in 10^8 cases. All links inside a bucket matter only for the component, so a
-    bucket's members are first held against its least member, then, where that leaves several
-    components in a bucket, against the member with the smallest share of rare shingles. What is
-    still apart is compared pair by pair, each pair once, never inside one component, and only if
-    the pair shares a rare shingle or its sets are large enough beside their rare shingles (exact
-    bounds, so no link is lost). Every link is verified on whole sets.
+    Texts with one set of shingles form a class that goes on as one vertex. Bands of the
+    signatures give buckets; with 26 bands of 5 values a pair of similarity 0.8 shares a bucket
+    but for 3 in 10^5 cases. All links inside a bucket matter only for the component, so its
+    members are first held against its hub, the member that meets most others. Where several
+    components are left, small buckets are compared pair by pair; in larger ones a pair must
+    share a rare shingle, or its sizes, its rare shingles and what it shares with the hub must
+    allow a link (exact bounds, so none is lost). Every link is verified on whole sets.
 
     Cases: without words or text a row has no shingle and is linked with nothing; equal sets
     are linked; rows with one id are one vertex; a null id has a null component and stays; an
@@ -148,105 +182,92 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("percent must be 1 to 100, k at least 1 and size at least rows")
     stage = Staging(docs.sparkSession)
     signed = stage.put(signatures(docs, id_col, text_col, k, size, rows), "signatures")
-    known = signed.filter("id is not null and n_shingles > 0")
-    classes = stage.put(known.groupBy("one", "two", "n_shingles").agg(F.min("id").alias("rep")), "classes")
-    heads = known.join(classes.select(F.col("rep").alias("id"), "one", "two").distinct(), ["id", "one", "two"], "left_semi").dropDuplicates(["id", "one", "two"])
-    bands = heads.select("id", "n_shingles", F.explode("bands").alias("band"))
-    crowded = bands.groupBy("band").agg(F.min("id").alias("center"), F.max("id").alias("other")).filter("center <> other").select("band", "center")
-    buckets = stage.put(bands.join(crowded, "band").distinct(), "buckets")
-    near = lambda p: p.filter(f"100 * least(n_shingles, m) >= {percent} * greatest(n_shingles, m)").select("u", "v").distinct()
-    sizes = buckets.select(F.col("id").alias("v"), F.col("n_shingles").alias("m")).distinct()
-
-    wanted = buckets.select("id").distinct()
-    sets = stage.put(_sets(docs.join(wanted.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, text_col, k), "sets")
-
-    stars = buckets.filter("id <> center").select(F.col("id").alias("u"), F.col("center").alias("v"), "n_shingles").distinct()
-    tried = [stage.put(near(stars.join(sizes, "v")), "pairs-0")]
-    links = [stage.put(verified(tried[0], sets, percent), "links-0")]
-    roots = components(links[0], stage, "components-0")
-    apart = _apart(buckets, roots, stage, "apart-0")
-
-    apart, rare = _with_rare(apart, sets, stage)
-    hubs = apart.groupBy("band").agg(F.max(F.struct(((F.col("n_shingles") - F.col("rare")) / F.col("n_shingles")).alias("share"), F.col("id").alias("hub"), F.col("root").alias("hub_root"))).alias("h")).select("band", "h.hub", "h.hub_root")
-    second = apart.join(hubs, "band").filter("root <> hub_root").select(F.col("id").alias("u"), F.col("hub").alias("v"), "n_shingles").distinct()
-    tried.append(stage.put(near(second.join(sizes, "v")).join(tried[0], ["u", "v"], "left_anti"), "pairs-1"))
-    links.append(stage.put(verified(tried[1], sets, percent), "links-1"))
-    so_far = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    roots = components(so_far.unionAll(links[1]), stage, "components-1")
-    apart = _apart(apart.drop("root"), roots, stage, "apart-1")
-
-    done = tried[0].unionAll(tried[1]).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    rest = _by_bound(apart, percent).unionAll(_by_rare(apart, rare, percent)).distinct()
-    tried.append(stage.put(rest.join(done, ["u", "v"], "left_anti"), "pairs-2"))
-    links.append(stage.put(verified(tried[2], sets, percent), "links-2"))
-    stage.drop("sets")
-    same = known.join(classes, ["one", "two", "n_shingles"]).filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    so_far = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    roots = components(so_far.unionAll(links[2]).unionAll(same), stage, "components-2")
-    out = signed.select("id", "n_shingles").join(roots, F.col("id") == F.col("node"), "left").withColumn("component_id", F.coalesce("root", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    known = signed.filter("id is not null and n > 0")
+    classes = stage.put(known.groupBy("one", "two", "n").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "classes")
+    bands = classes.select("id", "one", "n", F.explode("bands").alias("band"))
+    sizes = bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+    buckets = stage.put(bands.join(sizes, "band"), "buckets")
+    crowd = buckets.groupBy("id", "one").agg(F.sum("size").alias("crowd"))
+    hubs = buckets.join(crowd, ["id", "one"]).groupBy("band").agg(F.max(F.struct("crowd", "id", "one", "n")).alias("h"))
+    hubs = hubs.select("band", F.col("h.id").alias("hub"), F.col("h.one").alias("hub1"), F.col("h.n").alias("hub_n"))
+    members = buckets.join(hubs, "band").filter("id <> hub or one <> hub1")
+    members = stage.put(members, "members")
+    sets = stage.put(_sets(docs, buckets.select("id").distinct(), id_col, text_col, k), "sets")
 
+    salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / ROWS_PER_COPY)).alias("salt")
+    stars = members.filter(_fits("n", "hub_n", percent)).select(F.col("id").alias("u"), F.col("one").alias("u1"), F.col("hub").alias("v"), F.col("hub1").alias("v1"), salt)
+    stars = stars.groupBy("u", "u1", "v", "v1").agg(F.max("salt").alias("salt"))
+    stars = stage.put(verified(stars, sets, percent), "stars")
+    roots = components(stars.filter("linked").select("u", "v"), stage, "components-0")
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text_col):
-            sets = shingle_sets(batch.column(text_col), k)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "members"])
+    rooted = members.filter("size > 2").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+    rooted = stage.put(rooted, "rooted")
+    several = rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("band")
+    apart = stage.put(rooted.join(several, "band"), "apart")
+    small = apart.filter(F.col("size") <= SMALL)
+    x, y = small.alias("x"), small.alias("y")
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & F.expr("x.id < y.id and x.root <> y.root") & _fits("x.n", "y.n", percent))
+    met = met.select(*_ends())
+    large = apart.filter(F.col("size") > SMALL)
+    rest = met.unionAll(_in_large(large, stars, roots, sets, stage, percent)).distinct().withColumn("salt", F.lit(0).cast("long"))
+    links = stage.put(verified(stage.put(rest, "pairs"), sets, percent), "links").filter("linked").select("u", "v")
+
+    same = known.join(classes.select("one", "two", "n", F.col("id").alias("rep")), ["one", "two", "n"]).filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    so_far = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    roots = components(so_far.unionAll(links).unionAll(same), stage, "components-1")
+    for name in ("classes", "buckets", "members", "sets", "stars", "rooted", "apart", "pairs", "links", "components-0"):
+        stage.drop(name)
+    out = signed.select("id", "n").join(roots, F.col("id") == F.col("node"), "left").withColumn("component_id", F.coalesce("root", "id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
-    return docs.select(id_col, text_col).mapInArrow(run, "id long, members binary")
 
+def _ends() -> list[Column]:
+    return [F.col("x.id").alias("u"), F.col("x.one").alias("u1"), F.col("y.id").alias("v"), F.col("y.one").alias("v1")]
 
-def _apart(buckets: DataFrame, roots: DataFrame, stage: Staging, name: str) -> DataFrame:
-    """Members of the buckets that still hold several components."""
-    rooted = buckets.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
-    rooted = stage.put(rooted, f"{name}-rooted")
-    several = rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("band")
-    return stage.put(rooted.join(several, "band"), name)
 
+def _in_large(large: DataFrame, stars: DataFrame, roots: DataFrame, sets: DataFrame, stage: Staging, percent: int) -> DataFrame:
+    """Pairs (u, u1, v, v1) of different components in large buckets that may be similar enough.
 
-def _with_rare(apart: DataFrame, sets: DataFrame, stage: Staging) -> tuple[DataFrame, DataFrame]:
-    """``apart`` with ``rare``: how many shingles of the row at most RARE rows of ``apart`` hold;
-    and (shingle, id, n) of those shingles, n rows holding each."""
+    A pair shares a rare shingle, or what it shares lies in the rest of either set; that is at
+    most what the smaller share of the hub's set holds, and what either has of its rest beyond
+    the hub. Two members tied to the hub are in its component, so one of each pair is not.
+    """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 held = np.frombuffer(batch.column("members")[i].as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), batch.column("id")[i].as_py())), pa.array(held)], ["id", "shingle"])
-
-    members = apart.select("id").distinct().join(sets, "id").mapInArrow(explode, "id long, shingle long")
-    members = stage.put(members, "members")
-    few = members.groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") <= RARE)
+                own = [pa.array(np.full(len(held), batch.column(c)[i].as_py(), np.int64)) for c in ("id", "one", "n", "root")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(held)], ["id", "one", "n", "root", "shingle"])
+
+    tied = roots.select(F.col("node").alias("hub"), F.col("root").alias("tied"))
+    hubs = large.select("hub", "hub1", "hub_n").distinct().join(tied, "hub", "left").withColumn("hub_root", F.coalesce("tied", "hub")).drop("tied")
+    hubs = stage.put(hubs, "hubs")
+    ids = large.select("id", "one", "n", "root").unionAll(hubs.select("hub", "hub1", "hub_n", "hub_root")).distinct()
+    members = stage.put(ids.join(sets, ["id", "one"]).mapInArrow(explode, "id long, one long, n long, root long, shingle long"), "shingles")
+    few = members.groupBy("shingle").agg(F.count("*").alias("f")).filter(F.col("f") <= RARE)
     rare = stage.put(members.join(few, "shingle"), "rare")
-    stage.drop("members")
-    counts = rare.groupBy("id").agg(F.count("*").alias("rare"))
-    return stage.put(apart.join(counts, "id", "left").withColumn("rare", F.coalesce("rare", F.lit(0))), "apart-rare"), rare
-
-
-def _by_rare(apart: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a rare shingle: lists of at most RARE ids, each list once."""
-    lists = rare.filter("n > 1").groupBy("shingle").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
-    each = lists.select(F.posexplode("ids").alias("p", "u"), "ids").select("u", F.explode(F.expr("slice(ids, p + 2, size(ids))")).alias("v")).distinct()
-    own = apart.select("id", "n_shingles", "root").distinct()
-    x, y = (own.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("root").alias(f"r_{c}")) for c in "uv")
-    both = each.join(x, "u").join(y, "v").filter(f"r_u <> r_v and 100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)")
-    return both.select("u", "v")
-
-
-def _by_bound(apart: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one bucket that can be similar enough without sharing a
-    rare shingle: what they share is then at most the rest of either. A row whose rest is too
-    small even for the bucket's shortest row meets none."""
-    least = apart.groupBy("band").agg(F.min("n_shingles").alias("least_n"))
-    rest = F.col("n_shingles") - F.col("rare")
-    able = apart.withColumn("rest", rest).join(least, "band").filter(100 * F.col("rest") >= percent * (F.col("least_n") + F.col("rare")))
-    several = able.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("band")
-    able = able.join(several, "band").select("band", "id", "n_shingles", "root", "rest")
-    x, y = able.alias("x"), able.alias("y")
-    shared = F.least("x.rest", "y.rest")
-    possible = 100 * shared >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles") - shared)
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & possible)
-    return met.select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct()
+    stage.drop("shingles")
+    x, y = rare.filter("f > 1").alias("x"), rare.filter("f > 1").alias("y")
+    by_rare = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & F.expr("x.id < y.id and x.root <> y.root") & _fits("x.n", "y.n", percent)).select(*_ends()).distinct()
+
+    counts = rare.groupBy("id", "one").agg(F.count("*").alias("r"))
+    of_hub = counts.select(F.col("id").alias("hub"), F.col("one").alias("hub1"), F.col("r").alias("hub_r"))
+    hubs = hubs.join(of_hub, ["hub", "hub1"], "left")
+    near = stars.select(F.col("u").alias("id"), F.col("u1").alias("one"), F.col("v").alias("hub"), F.col("v1").alias("hub1"), "shared")
+    each = large.select("hub", "hub1", "id", "one", "n", "root").distinct().join(counts, ["id", "one"], "left").join(near, ["id", "one", "hub", "hub1"], "left")
+    each = each.join(hubs, ["hub", "hub1"]).withColumn("r", F.coalesce("r", F.lit(0))).withColumn("rest", F.col("n") - F.col("r"))
+    each = each.withColumn("s", F.coalesce("shared", F.least("n", "hub_n"))).withColumn("q", F.col("n") - F.col("s") - F.greatest(F.lit(0), F.col("r") - F.coalesce("hub_r", F.lit(0))))
+    each = each.withColumn("q", F.when(F.col("shared").isNull(), F.col("rest")).otherwise(F.col("q")))  # not held against the hub: no bound
+    least = large.groupBy("hub", "hub1").agg(F.min("n").alias("least_n"))
+    able = each.join(least, ["hub", "hub1"]).filter(100 * F.col("rest") >= percent * (F.col("least_n") + F.col("r")))
+    able = stage.put(able.select("hub", "hub1", "hub_root", "id", "one", "n", "root", "rest", "s", "q"), "able")
+    x, y = able.filter("root <> hub_root").alias("x"), able.alias("y")
+    shared = F.expr("least(x.rest, y.rest, least(x.s, y.s) + least(x.q, y.q))")
+    possible = 100 * shared >= percent * (F.col("x.n") + F.col("y.n") - shared)
+    on = F.expr("x.hub = y.hub and x.hub1 = y.hub1 and x.root <> y.root and (x.id < y.id or y.root = y.hub_root)")
+    by_bound = x.join(y, on & possible & _fits("x.n", "y.n", percent))
+    return by_rare.unionAll(by_bound.select(*_ends()))
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
@@ -254,6 +275,10 @@ def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: of every component the one with the least id."""
-    kept = near_dedup(docs, id_col, **options).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of ``docs`` that stay: of every component the one with the least id.
+
+    Cases are those of ``near_dedup``: rows without words and rows with a null id all stay, of
+    repeated rows with one id all stay; an empty table gives an empty table; all columns are kept.
+    """
+    dropped = near_dedup(docs, id_col, **options).filter("not kept").select(F.col(id_col).alias("_dropped_id")).distinct()
+    return docs.join(dropped, docs[id_col] == dropped["_dropped_id"], "left_anti")

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Odd multipliers of the rolling hashes, and their inverses modulo 2**64.
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C13, 0xD6E8FEB86659FD93
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SYMBOL = np.random.default_rng(20240229).integers(1, 2**64, 256, dtype=np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+#: Keeps the lowest 0 to 8 bytes of eight.
+LOW_BYTES = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -30,43 +32,55 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n at least."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        inverse = pow(base, -1, 2**64)
-        both = []
-        for b in (base, inverse):
-            with np.errstate(over="ignore"):
-                out = np.full(size, U(b), dtype=np.uint64)
-                out[0] = U(1)
-                both.append(np.multiply.accumulate(out))
-        have = _POWERS[base] = (both[0], both[1])
-    return have
-
-
-def rolling(values: np.ndarray, base: int) -> np.ndarray:
-    """Prefix sums from which the hash of any range follows (see ranged)."""
-    out = np.zeros(len(values) + 1, dtype=np.uint64)
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of pairs in order: a non-linear step, so no pattern of repeated parts cancels out."""
     with np.errstate(over="ignore"):
-        np.cumsum(values * powers(base, len(values) + 1)[0][: len(values)], out=out[1:])
+        return mix(left * U(0xD6E8FEB86659FD93) + right, 5)
+
+
+def runs(values: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every k consecutive values, by their first: halves are joined, so log2(k) steps serve."""
+    n = len(values) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    part, width, out, have = values, 1, None, 0
+    while True:
+        if k & width:
+            out = part[:n] if out is None else joined(out, part[have : have + n])
+            have += width
+        if have == k:
+            return out
+        part = joined(part[:-width], part[width:])
+        width *= 2
+
+
+def eight_bytes(padded: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; ``padded`` ends with eight more bytes."""
+    return np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def hashes_of(padded: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64 bits for each byte range: a keyed non-linear step for every eight bytes, BLAKE2 for long ones."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64), 1 + 16 * salt)
+    eight, live, at = eight_bytes(padded), np.flatnonzero(size <= LONG_WORD), 0
+    while len(live):
+        left = np.minimum(size[live] - at, 8)
+        block = eight[starts[live] + at] & LOW_BYTES[left]
+        out[live] = mix(out[live] ^ block, 2 + at)
+        at += 8
+        live = live[size[live] > at]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        digest = hashlib.blake2b(padded[starts[i] : ends[i]].tobytes(), digest_size=8, key=b"%d" % salt).digest()
+        out[i] = int.from_bytes(digest, "little")
     return out
 
 
-def ranged(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (prefix[ends] - prefix[starts]) * powers(base, len(prefix) + 1)[1][starts]
-
-
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a string array; a null text has none. ``space``: the bytes between words.
 
     starts, ends: byte ranges in ``bytes``; first: for each row, the index of its first word
-    (one more entry ends the last row); hash: 64 bits for each word.
+    (one more entry ends the last row); hash: 64 bits for each word. Nothing outlives the batch.
     """
 
     def __init__(self, texts: pa.Array, lower: bool = False, space: np.ndarray = SPACE):
@@ -83,16 +97,26 @@ class Words:
         at = np.frombuffer(offsets, dtype=kind)[texts.offset : texts.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
         raw = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data is not None and len(data) else np.zeros(0, np.uint8)
         self.offsets = at - at[0]
-        self.bytes = LOWER[raw] if lower else raw
+        self.padded = np.zeros(len(raw) + 8, np.uint8)
+        if lower:
+            np.take(LOWER, raw, out=self.padded[: len(raw)])
+        else:
+            self.padded[: len(raw)] = raw
+        self.bytes = self.padded[: len(raw)]
         solid = ~space[raw]
-        begin, end = solid.copy(), solid.copy()
+        edge = solid.copy()
+        full = self.offsets[1:] > self.offsets[:-1]
+        if len(raw):
+            edge[1:] &= ~solid[:-1]
+            heads = self.offsets[:-1][full]
+            edge[heads] = solid[heads]
+        self.starts = np.flatnonzero(edge)
         if len(raw):
-            begin[1:] &= ~solid[:-1]
-            end[:-1] &= ~solid[1:]
-            full = self.offsets[1:] > self.offsets[:-1]
-            heads, tails = self.offsets[:-1][full], self.offsets[1:][full] - 1
-            begin[heads], end[tails] = solid[heads], solid[tails]
-        self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+            edge[:] = solid
+            edge[:-1] &= ~solid[1:]
+            tails = self.offsets[1:][full] - 1
+            edge[tails] = solid[tails]
+        self.ends = np.flatnonzero(edge) + 1
         self.first = np.searchsorted(self.starts, self.offsets)
         self._hash: np.ndarray | None = None
 
@@ -103,23 +127,36 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            h = ranged(rolling(SYMBOL[self.bytes], BYTE_BASE), self.starts, self.ends, BYTE_BASE)
-            self._hash = mix(h, 1) ^ mix((self.ends - self.starts).astype(np.uint64), 2)
+            self._hash = hashes_of(self.padded, self.starts, self.ends)
         return self._hash
 
+    def other_hash(self) -> np.ndarray:
+        """A second hash of each word, independent of ``hash``."""
+        return hashes_of(self.padded, self.starts, self.ends, 1)
+
     def rows(self) -> np.ndarray:
         """The row of each word."""
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
 
-    def windows(self, k: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """First words of all runs of k words within one row, and the runs' hashes."""
+    def room(self, k: int) -> np.ndarray:
+        """First words of all runs of k words within one row."""
         last = np.repeat(self.first[1:], self.counts)
-        starts = np.flatnonzero(np.arange(len(last)) + k <= last)
-        return starts, self.ranges(starts, starts + k, salt)
+        last -= np.arange(len(last))
+        return np.flatnonzero(last >= k)
 
-    def ranges(self, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-        prefix = rolling(mix(self.hash, 3 + salt), WORD_BASE)
-        return mix(ranged(prefix, starts, ends, WORD_BASE), 4 + salt) ^ (ends - starts).astype(np.uint64)
+    def windows(self, k: int, salt: int = 0, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """First words of all runs of k words within one row, and the runs' hashes."""
+        starts = self.room(k)
+        every = runs(mix(self.hash if hashes is None else hashes, 3 + salt), k)
+        return starts, every[starts]
+
+    def whole(self, rows: np.ndarray, salt: int = 0) -> np.ndarray:
+        """Hash of all words of each of ``rows``, in steps as many as their longest has words."""
+        out, count = mix(self.counts[rows].astype(np.uint64), 40 + salt), self.counts[rows]
+        for j in range(int(count.max(initial=0))):
+            live = count > j
+            out[live] = joined(out[live], self.hash[self.first[rows[live]] + j])
+        return out
 
     def word(self, i: int) -> bytes:
         return self.bytes[self.starts[i] : self.ends[i]].tobytes()
@@ -142,6 +179,11 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1
             hi = min(hi, batch.num_rows, lo + 20_000)
             yield batch.slice(lo, hi - lo)
             lo = hi
+    release()
+
+
+def release() -> None:
+    """Returns freed memory of this worker to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
