@@ -7,18 +7,21 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests), a local one."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, a local one if all runs on
+    this machine (tests), else an error: executors elsewhere would not see it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     there = spark.sparkContext.getCheckpointDir()
     if there:
         return there
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="retort-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -54,17 +57,16 @@ def numbered(df: DataFrame, stage: Staging, name: str, keys: list[str], order: l
     """
     total = df.count()
     buckets = max(1, -(-total // rows_per_bucket))
-    spread = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    from pyspark.sql import Window
-
-    local = spread.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)).cast("long") - 1)
+    b, r, n, s = (unused(df, x) for x in ("_b", "_r", "_n", "_s"))
+    spread = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    local = spread.withColumn(r, F.row_number().over(Window.partitionBy(*keys, b).orderBy(*order)).cast("long") - 1)
     local = stage.put(local, f"{name}-local")
-    counts = local.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "_b"]]
+    counts = local.groupBy(*keys, b).agg(F.count("*").alias(n))
+    before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, b, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(s))
+    on = [F.col(f"l.`{k}`").eqNullSafe(F.col(f"s.`{k}`")) for k in [*keys, b]]
     joined = local.alias("l").join(starts.alias("s"), on)
-    return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._r") + F.col("s._s")).alias(out))
+    return joined.select(*[F.col(f"l.`{c}`") for c in df.columns], (F.col(f"l.{r}") + F.col(f"s.{s}")).alias(out))
 
 
 def bitmap(hashes: DataFrame, column: str, bits: int = 26) -> np.ndarray:
@@ -81,6 +83,11 @@ def bitmap(hashes: DataFrame, column: str, bits: int = 26) -> np.ndarray:
     return table
 
 
+def bits_for(hashes: DataFrame, most: int = 28) -> int:
+    """Bits of a bitmap with eight bits a row, 2**20 to 2**most."""
+    return min(most, max(20, (8 * hashes.count()).bit_length()))
+
+
 def in_bitmap(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     slot = hashes & np.uint64(len(table) * 64 - 1)
     return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
@@ -98,5 +105,12 @@ def fresh(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores behind as no column of ``df`` has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
