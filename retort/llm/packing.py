@@ -5,14 +5,13 @@ from __future__ import annotations
 import json
 import os
 import re
-import sys
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,91 +21,61 @@ from .words import pieces
 WIDTH = 8  # tokens in a unit of length
 
 
+#: Fixed values of byte-level BPE files: the pattern of pieces, and the bytes that stand for themselves.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+ITSELF = (*range(33, 127), *range(161, 173), *range(174, 256))
+
+
+def byte_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Ids by the bytes of each token, if the file is plain byte-level BPE whose ids follow its merges; else None."""
+    model, pre = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    odd = [model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")]
+    if not plain or any(odd) or spec.get("normalizer") is not None:
+        return None
+    others = [b for b in range(256) if b not in ITSELF]
+    byte_of = {chr(b): b for b in ITSELF} | {chr(256 + i): b for i, b in enumerate(others)}
+    vocabulary = model["vocab"]
+    made = [vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    if min(made, default=0) < 0 or made != sorted(set(made)):
+        return None
+    added = {t["content"] for t in spec.get("added_tokens") or []}
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if t not in added and all(c in byte_of for c in t)}
+    return ranks if len(made) + 256 == len(ranks) else None
+
+
 class Encoder:
-    """Little-endian uint32 ids of whole texts.
+    """Little-endian uint32 ids of whole texts by a tokenizer file, without added special tokens.
 
-    With a byte-level pre-tokenizer a space before a non-space always begins a new piece, so a
-    text without other white space after a space splits there, and the ids of its chunks are
-    looked up in a table of bounded size; other texts and new chunks go to the tokenizer.
+    Plain byte-level BPE goes through a faster encoder of the same ids; other files, and texts
+    that hold an added token, through the tokenizer itself.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
-        self.chunked = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
-        for token, i in vocabulary.items():  # a byte-level token has a character for each byte
-            self.bytes_of[i] = len(token)
-        self.most, self.heads, self.rest = most, {}, {}
-        self.odd = re.compile(r" \s")
-
-    @classmethod
-    def cached(cls, path: str) -> Encoder:
-        """One for each Python worker, kept from task to task."""
-        held = sys.__dict__.setdefault("_retort_encoders", {})
-        if path not in held:
-            held[path] = cls(path)
-        return held[path]
-
-    def _learn(self, table: dict[str, bytes], words: set[str], prefix: str) -> None:
-        new = [w for w in words if w not in table]
-        if prefix and "" in words:
-            table[""] = np.array(self.tokenizer.encode(prefix, add_special_tokens=False).ids, "<u4").tobytes()
-            new = [w for w in new if w]
-        if not prefix:
-            for w in new:
-                table[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-            return
-        for at in range(0, len(new), 2048):  # one text for many chunks; bytes tell where each ends
-            part = new[at : at + 2048]
-            ids = np.array(self.tokenizer.encode("".join(prefix + w for w in part), add_special_tokens=False).ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([1 + len(w.encode()) for w in part])) + 1
-            held, lo = ids.tobytes(), 0
-            for w, hi in zip(part, ends.tolist(), strict=True):
-                table[w] = held[4 * lo : 4 * hi]
-                lo = hi
-
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        for table in (self.heads, self.rest):
-            if len(table) > self.most:  # the first half stays: usual words come early
-                for w in list(islice(table, self.most // 2, None)):
-                    del table[w]
-        known, heads, rest = self.rest.get, set(), set()
-        found: list[tuple[list[str], list[bytes | None]] | None] = []
-        for t in texts:
-            if t and self.chunked and not self.odd.search(t):
-                words = t.split(" ")
-                ids = list(map(known, words))
-                ids[0] = self.heads.get(words[0])
-                if None in ids:
-                    if ids[0] is None:
-                        heads.add(words[0])
-                    rest.update(w for w, x in zip(words[1:], ids[1:], strict=True) if x is None)
-                found.append((words, ids))
-            else:
-                found.append(None)
-        self._learn(self.heads, heads, "")
-        self._learn(self.rest, rest, " ")
-        out = []
-        for t, pair in zip(texts, found, strict=True):
-            if pair is None:
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if t else b"")
-                continue
-            words, ids = pair
-            if None in ids:
-                ids = [x if x is not None else self.rest[w] if i else self.heads[w] for i, (w, x) in enumerate(zip(words, ids, strict=True))]
-            out.append(b"".join(ids))
-        for table, words in ((self.heads, heads), (self.rest, rest)):
-            for w in [w for w in words if len(w) > 64]:
-                table.pop(w, None)
-        return out
+        ranks = byte_ranks(spec)
+        self.fast = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens") or []]
+        self.added = re.compile("|".join(added)) if added else None
+
+    def ids(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if self.fast is None or (self.added and self.added.search(text)):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, kept from task to task: the vocabulary only."""
+    return Encoder(path)
 
 
 def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -116,11 +85,11 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder.cached(path), np.array([end_id], "<u4").tobytes()
+        own, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in pieces(batches, text_col):
             row, start, length, crc, total, ids = [], [], [], [], [], []
-            for i, held in enumerate(encoder.batch(batch.column(text_col).to_pylist())):
-                held += end
+            for i, text in enumerate(batch.column(text_col)):
+                held = own.ids(text.as_py()) + end
                 for at in range(0, len(held), 4 * capacity):
                     part = held[at : at + 4 * capacity]
                     row.append(i)
@@ -316,8 +285,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, id_c
     r, t = ranked.alias("r"), F.broadcast(table).alias("t")  # a few rows a pattern
     placed = r.join(t, (F.col("r._class") == F.col("t._class")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
     placed = placed.select("r.*", (F.col("_base") + F.floor((F.col("_rank") - F.col("_lo")) / F.col("_each"))).cast("long").alias("sequence_id"))
-    from pyspark.sql import Window
-
+    stage.drop("pieces")
     order = Window.partitionBy("sequence_id").orderBy(F.col("_class").desc(), "_rank").rowsBetween(Window.unboundedPreceding, -1)
     out = placed.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)))
     return out.select(*[c for c in cut.columns if c != "_class"], "sequence_id", "offset")
