@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import Staging, fresh, numbered
+from .staging import Staging, fresh, numbered, unused
+
+#: A group with over this share of all rows is hot; there are fewer than HOT of them.
+HOT = 1000
 
 
 def lpt(sizes: list[int], shards: int) -> list[int]:
@@ -22,38 +27,90 @@ def lpt(sizes: list[int], shards: int) -> list[int]:
     return out
 
 
-def shard_lpt(docs: DataFrame, shards: int, size: Column, group: Column, bundles: int = 2048, order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def bulk_lpt(histogram: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, list[int]]]:
+    """For each (size, items) of the histogram, largest size first: how many of its items each shard gets.
+
+    The schedule is that of ``lpt``. Of many equal items each shard below the water level that all
+    of them together reach gets at once what it gets in any case; the heap deals out the rest.
+    """
+    load = np.zeros(shards, object)
+    for size, items in sorted(histogram, reverse=True):
+        given = [0] * shards
+        if size == 0:  # the least loaded shard stays so
+            given[min(range(shards), key=lambda s: (load[s], s))] = items
+            yield size, given
+            continue
+        left = items
+        if items > 2 * shards:
+            order = sorted(load)
+            level, below = 0, 0
+            for n in range(1, shards + 1):  # n lowest shards, filled to one level
+                below += order[n - 1]
+                level = (below + items * size) // n
+                if n == shards or level <= order[n]:
+                    break
+            for s in range(shards):
+                given[s] = max(0, (level - load[s]) // size - 1)
+            left -= sum(given)
+        heap = [(load[s] + given[s] * size, s) for s in range(shards)]
+        heapq.heapify(heap)
+        for _ in range(left):
+            now, s = heap[0]
+            given[s] += 1
+            heapq.heapreplace(heap, (now + size, s))
+        for now, s in heap:
+            load[s] = now
+        yield size, given
+
+
+def shard_lpt(docs: DataFrame, shards: int, size: Column, group: Column, order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Rows of ``docs`` with ``shard`` (0 to shards-1) and ``slot`` (gapless from 0 in a shard).
 
-    Rows with one value of ``group`` go to one shard. The schedule runs on the driver over a
-    bounded list: groups fall in classes by the bit length of their size, a class of at most
-    ``bundles`` groups is scheduled group by group, and a larger class as ``bundles`` hashed
-    bundles of whole groups. With 64 classes the list holds at most 64 * bundles items however
-    many rows there are, the schedule is exact LPT over its items, and loads differ by no more
-    than the smallest items put last.
+    Rows with one value of ``group`` go to one shard. The schedule is exact LPT at any size: the
+    driver gets how many groups have each total size (different sizes of B bytes in all are fewer
+    than the root of 2 B) and deals equal groups out in bulk; each group's rank among those of its
+    size then decides its shard, by a join with the table of ranks. Rows of a hot group find their
+    shard by a broadcast of fewer than HOT groups, the others by a join.
 
-    Cases: a null group value is a group of its own; null sizes count 0; an empty table
-    gives an empty table; rows equal in ``order`` get slots in an unspecified order; columns
-    named shard or slot are renamed to ``*_in``.
+    Cases: null group values are one group; null sizes count 0, negative ones are an error; an
+    empty table gives an empty table; rows equal in ``order`` get slots in an unspecified order;
+    columns named shard or slot are renamed to ``*_in``, others are kept as they are.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
     docs = fresh(docs, "shard", "slot")
-    stage = Staging(docs.sparkSession)
-    rows = docs.withColumn("_group", F.coalesce(F.xxhash64(group.cast("string"), F.lit(1)), F.lit(0))).withColumn("_size", F.coalesce(size.cast("long"), F.lit(0)))
+    spark, stage = docs.sparkSession, Staging(docs.sparkSession)
+    g, b = unused(docs, "_group"), unused(docs, "_size")
+    rows = docs.withColumns({g: F.coalesce(F.xxhash64(group.cast("string"), F.lit(1)), F.lit(0)), b: F.coalesce(size.cast("long"), F.lit(0))})
     rows = stage.put(rows, "rows")
-    groups = rows.groupBy("_group").agg(F.sum("_size").alias("_bytes"))
-    groups = groups.withColumn("_class", F.length(F.bin("_bytes")).cast("int"))
-    groups = stage.put(groups, "groups")
-    crowded = [r["_class"] for r in groups.groupBy("_class").count().filter(F.col("count") > bundles).collect()]  # at most 64 rows
-    key = F.when(F.col("_class").isin(crowded), F.pmod(F.xxhash64("_group", F.lit(7)), F.lit(bundles))).otherwise(F.col("_group"))
-    keyed = groups.withColumn("_key", key)
-    items = keyed.groupBy("_class", "_key").agg(F.sum("_bytes").alias("_bytes")).orderBy("_class", "_key").toArrow()
-    chosen = lpt(items.column("_bytes").to_pylist(), shards)
-    plan = docs.sparkSession.createDataFrame(pa.table({"_class": items.column("_class"), "_key": items.column("_key"), "shard": pa.array(chosen, pa.int32())}).to_pandas(), "_class int, _key bigint, shard int")
-    placed = keyed.join(F.broadcast(plan), ["_class", "_key"]).select("_group", "shard")  # at most 64 * bundles rows
-    dealt = rows.join(placed, "_group").select(*docs.columns, "shard")
-    return numbered(dealt, stage, "slots", ["shard"], list(order), "slot")
+    groups = stage.put(rows.groupBy(F.col(g).alias("_group")).agg(F.sum(b).alias("_bytes"), F.count("*").alias("_times")), "groups")
+    histogram = groups.groupBy("_bytes").agg(F.count("*").alias("n"), F.sum("_times").alias("rows")).toArrow()
+    sizes, counts = histogram.column("_bytes").to_pylist(), histogram.column("n").to_pylist()
+    if min(sizes, default=0) < 0:
+        raise ValueError("sizes must not be negative")
+    table: list[list[int]] = [[], [], [], []]
+    for total, given in bulk_lpt(zip(sizes, counts, strict=True), shards):
+        at = 0
+        for s, n in enumerate(given):
+            if n:
+                for column, x in zip(table, (total, at, at + n, s), strict=True):
+                    column.append(x)
+                at += n
+    plan = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in table], ["_bytes", "_lo", "_hi", "_shard"]))
+    plan = stage.put(plan, "plan")
+    ranked = numbered(groups, stage, "ranks", ["_bytes"], ["_group"], "_rank")
+    placed = ranked.join(plan, "_bytes").filter("_rank >= _lo and _rank < _hi").select("_group", "_shard", "_times")
+    placed = stage.put(placed, "placed")
+
+    hot = placed.filter(F.col("_times") > max(sum(histogram.column("rows").to_pylist()) / HOT, HOT)).select(F.col("_group").alias("_hot"), F.col("_shard").alias("_there"))  # fewer than HOT rows
+    own = F.when(F.col("h._hot").isNull(), F.col(f"d.{g}")).otherwise(F.xxhash64(*(f"d.`{c}`" for c in order)))  # hot rows need no partner and are spread
+    found = rows.alias("d").join(F.broadcast(hot).alias("h"), F.col(f"d.{g}") == F.col("h._hot"), "left")
+    found = found.select(F.struct(*(F.col(f"d.`{c}`") for c in docs.columns)).alias("row"), "h._there", own.alias("key"))
+    dealt = found.join(placed.select("_group", "_shard"), F.col("key") == F.col("_group"), "left").select("row.*", F.coalesce("_there", "_shard").cast("int").alias("shard"))
+    out = numbered(dealt, stage, "slots", ["shard"], list(order), "slot")
+    for name in ("rows", "groups", "plan", "ranks-local", "placed"):
+        stage.drop(name)
+    return out
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:
