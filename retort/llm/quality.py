@@ -129,11 +129,24 @@ def in_training(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata: tuple[str, ...] = ("n_chars",), max_rows: int = 20_000, **fit) -> Machine:
-    """Fits on at most ``max_rows`` labelled training rows (the smallest hashes of their ids)."""
+def within(docs: DataFrame, chosen: DataFrame, max_bytes: int) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text, ...) whose id is ``chosen`` (bounded by its caller), as far as
+    their texts in the order of a hash of the id come to ``max_bytes``."""
+    both = docs.join(F.broadcast(chosen), "doc_id")
+    sizes = both.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), F.xxhash64("doc_id", F.lit(6)).alias("h")).toArrow().sort_by([("h", "ascending"), ("n", "ascending")])
+    total = np.cumsum(sizes.column("n").to_numpy())
+    if not len(total) or total[-1] <= max_bytes:
+        return both
+    limit = sizes.column("h").to_numpy()[int(np.searchsorted(total, max_bytes, side="right"))]
+    return both.filter(F.xxhash64("doc_id", F.lit(6)) < F.lit(int(limit)))
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata: tuple[str, ...] | None = None, max_rows: int = 20_000, max_bytes: int = 48 << 20, **fit) -> Machine:
+    """Fits on at most ``max_rows`` labelled training rows and ``max_bytes`` of their text (the smallest hashes of their ids)."""
+    metadata = _metadata(docs, metadata)
     chosen = labels.filter(in_training() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("_y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "_y").limit(max_rows)
-    rows = docs.select("doc_id", "text", *metadata).join(F.broadcast(chosen), "doc_id")  # at most max_rows rows
+    rows = within(docs.select("doc_id", "text", *metadata), chosen, max_bytes)
     size = WORD_SLOTS + (STATS + 8 + len(metadata)) * BUCKETS
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,13 +171,19 @@ def _each(column: pa.ChunkedArray):
             yield chunk[i]
 
 
-def score(docs: DataFrame, machine: Machine, metadata: tuple[str, ...] = ("n_chars",), out: str = "score") -> DataFrame:
+def _metadata(docs: DataFrame, named: tuple[str, ...] | None) -> tuple[str, ...]:
+    """The metadata columns: those named, else n_chars where ``docs`` has it."""
+    return named if named is not None else tuple(c for c in ("n_chars",) if c in docs.columns)
+
+
+def score(docs: DataFrame, machine: Machine, metadata: tuple[str, ...] | None = None, out: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1 of the whole text.
 
     Cases: a null text scores like an empty one, from structure and metadata alone; null
     metadata has a bucket of its own; an untrained machine scores 0.5; equal rows score
     alike; an empty table gives an empty table; a column of that name becomes ``*_in``.
     """
+    metadata = _metadata(docs, metadata)
     docs = fresh(docs, out)
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w.astype(np.float32), machine.v.astype(np.float32)))  # WORD_SLOTS * (rank + 1) floats

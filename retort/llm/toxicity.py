@@ -7,14 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .quality import in_training
+from .quality import in_training, within
 from .staging import fresh
-from .words import BYTE_BASE, SYMBOL, Words, mix, pieces, ranged, rolling
+from .words import LOW_BYTES, Words, eight_bytes, mix, pieces
 
 NOT_LETTER = np.array([not (65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
 GRAMS = (5, 6, 7)
@@ -104,20 +105,20 @@ def _vocabulary(texts: pa.Array, rows_at_once: int = 200) -> tuple[np.ndarray, l
 
 def _grams(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, word and count of every byte gram of `` word ``."""
-    data = np.frombuffer(b"".join(b" " + x + b" " for x in words), np.uint8)
-    ends = np.cumsum([len(x) + 2 for x in words]) if words else np.zeros(0, np.int64)
-    word_of = np.repeat(np.arange(len(words)), [len(x) + 2 for x in words]) if words else np.zeros(0, np.int64)
-    prefix = rolling(SYMBOL[data], BYTE_BASE)
+    sizes = np.array([len(x) + 2 for x in words], np.int64)
+    data = np.frombuffer(b"".join(b" " + x + b" " for x in words) + bytes(8), np.uint8)
+    word_of, eight = np.repeat(np.arange(len(words)), sizes), eight_bytes(data)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(word_of))
     hashes, owners = [], []
     for k in GRAMS:
-        starts = np.flatnonzero(np.arange(len(data)) + k <= ends[word_of]) if len(data) else np.zeros(0, np.int64)
-        hashes.append(mix(ranged(prefix, starts, starts + k, BYTE_BASE), k))
+        starts = np.flatnonzero(left >= k)
+        hashes.append(mix(eight[starts] & LOW_BYTES[k], k))
         owners.append(word_of[starts])
     h, o = np.concatenate(hashes), np.concatenate(owners)
     return h, o, counts[o]
 
 
-def toxic_segments(toxic: pa.Array, ordinary: pa.Array, significance: float = 8.0, ratio: float = 10.0, most: int = 800) -> bytes:
+def toxic_words(toxic: pa.Array, ordinary: pa.Array, significance: float = 8.0, ratio: float = 10.0, most: int = 800) -> list[bytes]:
     """Words of the toxic texts that hold byte grams far more usual there than in ordinary texts
     (signed root of the likelihood ratio over ``significance``, rate over ``ratio`` times), rarest first."""
     ca, wa = _vocabulary(toxic)
@@ -137,15 +138,35 @@ def toxic_segments(toxic: pa.Array, ordinary: pa.Array, significance: float = 8.
     good = (a >= 8) & (np.sqrt(np.maximum(g, 0)) > significance) & (a / na > ratio * b / nb)
     words = np.unique(oa[good[place]])
     chosen = sorted(words, key=lambda i: (-ca[i], wa[i]))[:most]
-    return b" ".join([b"", *(wa[i] for i in reversed(chosen)), b""])
+    return [wa[i] for i in reversed(chosen)]
 
 
-def fit(texts: list[str | None], y: np.ndarray, window: int = 48, level: int = 12, dictionary: int = 16_384, toxic_bytes: int = 6_000) -> Model:
+def toxic_dictionary(toxic: pa.Array, ordinary: pa.Array, size: int, rows_at_once: int = 200) -> bytes:
+    """A zstandard dictionary trained on every place of a toxic word in the toxic texts.
+
+    Whole windows of toxic texts are mostly plain prose, and a dictionary of them learns that; so
+    the samples are what of each window is far more usual in toxic texts (toxic_words).
+    """
+    words = toxic_words(toxic, ordinary)
+    wanted = pa.array(words, pa.binary())
+    samples: list[bytes] = []
+    for lo in range(0, len(toxic), rows_at_once):
+        w = Words(toxic.slice(lo, rows_at_once), lower=True, space=NOT_LETTER)
+        held = pa.array([w.word(i) for i in range(len(w.starts))], pa.binary())
+        samples += [b" " + x + b" " for x in held.filter(pc.is_in(held, wanted)).to_pylist()]
+    try:
+        return zstandard.train_dictionary(size, samples, k=64, d=6).as_bytes()[-size:]
+    except zstandard.ZstdError:  # too few samples
+        return b" ".join([b"", *words, b""])[-size:]
+
+
+def fit(texts: list[str | None], y: np.ndarray, window: int = 48, level: int = 12, dictionary: int = 16_384, toxic_bytes: int = 4_096, log_odds: float = 0.0) -> Model:
     """Two thirds of the rows train the dictionaries, all calibrate the logistic score.
 
-    The ordinary dictionary is trained on windows of ordinary texts. The toxic one is what sets
-    toxic texts apart (toxic_segments) before the same base, so that windows of plain prose get
-    the same length under both and the difference comes from toxic wording.
+    The ordinary dictionary is trained on windows of ordinary texts, the toxic one on the wording
+    that sets toxic texts apart (toxic_dictionary). It stands before the ordinary one, so that
+    windows of plain prose get the same length under both and the difference comes from toxic
+    wording. ``log_odds``: by how much the rows overstate the odds of toxic texts.
     """
     order = sorted(range(len(texts)), key=lambda i: (int(mix(np.array([len(texts[i] or "") * 2 + int(y[i])], np.uint64), 9)[0]), texts[i] or ""))
     toxic = pa.array([texts[i] or "" for k, i in enumerate(order) if y[i] == 1 and k % 3], pa.string())
@@ -160,8 +181,8 @@ def fit(texts: list[str | None], y: np.ndarray, window: int = 48, level: int = 1
         base = zstandard.train_dictionary(dictionary, samples).as_bytes()[-dictionary:]
     except zstandard.ZstdError:  # too few samples
         base = b" ".join(samples)[-dictionary:]
-    marks = toxic_segments(toxic, plain)[-toxic_bytes:]
-    a, b = compressor(base, window, level), compressor(marks + base, window, level)
+    insults = toxic_dictionary(toxic, plain, toxic_bytes)
+    a, b = compressor(base, window, level), compressor(insults + base, window, level)
     x = np.concatenate([statistics(pa.array(texts[i : i + 200], pa.string()), a, b, window) for i in range(0, len(texts), 200)]) if texts else np.zeros((0, 3 + len(THRESHOLDS) + len(RATES)))
     means = x.mean(0) if len(x) else np.zeros(x.shape[1])
     scales = (x.std(0) if len(x) else np.zeros(x.shape[1])) + 1e-6
@@ -171,16 +192,27 @@ def fit(texts: list[str | None], y: np.ndarray, window: int = 48, level: int = 1
     for _ in range(25):  # Newton steps
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (p - y) + ridge * w)
-    return Model(base, marks + base, window, level, means, scales, w)
+    w[-1] -= log_odds
+    return Model(base, insults + base, window, level, means, scales, w)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_toxic: int = 2_000, max_ordinary: int = 5_000, **options) -> Model:
-    """Fits on at most ``max_toxic`` and ``max_ordinary`` labelled training rows, by the hash of their id."""
-    own = labels.filter(in_training()).select("doc_id", F.col(label).cast("int").alias("_y"))
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_toxic: int = 2_000, max_ordinary: int = 5_000, max_bytes: int = 48 << 20, **options) -> Model:
+    """Fits on at most ``max_toxic`` and ``max_ordinary`` labelled training rows, by the hash of their id.
+
+    Of these, rows after the first ``max_bytes`` of text are left out too, so the driver's memory
+    is bounded. The odds of the two classes among all labelled training rows are restored in the
+    calibration, so a score means the same at every size.
+    """
+    own = labels.filter(in_training() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("_y"))
+    every = {r["_y"]: r["count"] for r in own.groupBy("_y").count().collect()}  # two rows
     ranked = lambda v, most: own.filter(F.col("_y") == v).orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(most)
     chosen = ranked(1, max_toxic).unionAll(ranked(0, max_ordinary))
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "_y").toArrow()  # max_toxic + max_ordinary rows
-    return fit(got.column("text").to_pylist(), got.column("_y").to_numpy().astype(float), **options)
+    texts = docs.select("doc_id", "text")
+    got = within(texts, chosen, max_bytes).select("text", "_y").toArrow()
+    y = got.column("_y").to_numpy().astype(float)
+    used = {v: int((y == v).sum()) for v in (0, 1)}
+    over = np.log(used[1] * every[0] / (used[0] * every[1])) if all(used.values()) and len(every) == 2 else 0.0
+    return fit(got.column("text").to_pylist(), y, log_odds=float(over), **options)
 
 
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
