@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import Staging, text_or_empty
+from .staging import Staging, text_or_empty, unused
 
 #: What must agree for two texts to count as equal: the digest, then two independent checks.
 SAME = ("_sha", "_check", "_length")
@@ -68,10 +68,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     staying = verdicts.select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_hex")).distinct()
     normalise = options.get("normalise")
     text = text_or_empty(text_col)
-    rows = docs.withColumn("_hex2", F.sha2((normalise(text) if normalise else text).cast("binary"), 256))
-    on = rows[id_col].eqNullSafe(staying["_id"]) & (rows["_hex2"] == staying["_hex"])
+    own = unused(docs, "_hex2")
+    rows = docs.withColumn(own, F.sha2((normalise(text) if normalise else text).cast("binary"), 256))
+    on = rows[id_col].eqNullSafe(staying["_id"]) & (rows[own] == staying["_hex"])
     names = docs.columns
-    return rows.join(staying, on, "left_semi").dropDuplicates([id_col, "_hex2"]).select(*names)
+    return rows.join(staying, on, "left_semi").dropDuplicates([id_col, own]).select(*names)
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

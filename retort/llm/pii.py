@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .staging import Staging, bitmap, in_bitmap
+from .staging import Staging, bitmap, in_bitmap, unused
 from .words import Words, pieces
 
 KINDS = ("email", "ip", "card", "phone")
@@ -75,6 +75,15 @@ def _hash(values: list[bytes]) -> np.ndarray:
     return Words(pa.array([v.decode() for v in values], pa.string()), lower=True, space=np.zeros(256, bool)).hash
 
 
+def _free(begins: np.ndarray, ends: np.ndarray, base: list[tuple[str, int, int, str]]) -> np.ndarray:
+    """True for each word (sorted places) that touches no span of ``base`` (sorted by start)."""
+    if not base:
+        return np.ones(len(begins), bool)
+    reach = np.maximum.accumulate([b for _, _, b, _ in base])
+    before = np.searchsorted([a for _, a, _, _ in base], ends)  # spans that start before the word's end
+    return (before == 0) | (reach[before - 1] <= begins)
+
+
 def _may_hold(batch: pa.RecordBatch) -> np.ndarray:
     """Rows with a digit or an ``@``: no kind matches without one."""
     w = Words(batch.column("text"))
@@ -155,12 +164,11 @@ def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
             for i in np.unique(w.rows()[some]).tolist():
                 text = batch.column("text")[i].as_py()
                 base = base_spans(text) if may[i] else []
-                words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-                for j in np.flatnonzero(some[w.first[i] : w.first[i + 1]]).tolist():
-                    a, b = words[j]
-                    if not any(a < y and x < b for _, x, y, _ in base):
-                        at.append(i)
-                        places.append((int(w.hash[w.first[i] + j].view(np.int64)), a, b))
+                words = np.array([m.span() for m in _WORD.finditer(text)])
+                chosen = np.flatnonzero(some[w.first[i] : w.first[i + 1]] & _free(words[:, 0], words[:, 1], base))
+                for j, (a, b) in zip(chosen.tolist(), words[chosen].tolist(), strict=True):
+                    at.append(i)
+                    places.append((int(w.hash[w.first[i] + j].view(np.int64)), a, b))
             columns = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("_id", "_t")]
             columns += [pa.array([p[k] for p in places], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["_id", "_t", "term", "a", "b"])
@@ -200,17 +208,18 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
                 for kind, a, b, _ in base:
                     counts[i, KINDS.index(kind)] += 1
                     spans[i].append(f"{kind}:{a}:{b}")
-                words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-                begins = np.array([a for a, _ in words])
+                words = np.array([m.span() for m in _WORD.finditer(text)])
+                begins, change = words[:, 0], np.zeros(len(words) + 1, np.int64)
+                lows = np.searchsorted(begins, [a for _, a, _, _ in base], side="right") - 1 - reach
+                highs = np.searchsorted(begins, [b for _, _, b, _ in base]) + reach
+                np.add.at(change, np.maximum(lows, 0), 1)
+                np.add.at(change, np.minimum(highs, len(words)), -1)
+                place = np.flatnonzero((np.cumsum(change)[:-1] > 0) & _free(begins, words[:, 1], base))
+                own = _hash([text[a:b].encode() for a, b in words[place].tolist()]).view(np.int64)
                 entity = _hash([f"{k}:{v}".encode() for k, _, _, v in base])
                 held[i] = np.unique(entity.view(np.int64)).tolist()
-                for (_, a, b, _), e in zip(base, entity.view(np.int64).tolist(), strict=True):
-                    lo, hi = int(np.searchsorted(begins, a, side="right")) - 1, int(np.searchsorted(begins, b))
-                    around = [j for j in range(max(0, lo - reach), min(len(words), hi + reach)) if not any(words[j][0] < y and x < words[j][1] for _, x, y, _ in base)]
-                    if not around:
-                        continue
-                    terms = _hash([text[words[j][0] : words[j][1]].encode() for j in around])
-                    near[i] += [{"entity": e, "term": t} for t in terms.view(np.int64).tolist()]
+                for lo, hi, e in zip(np.searchsorted(place, lows).tolist(), np.searchsorted(place, highs).tolist(), entity.view(np.int64).tolist(), strict=True):
+                    near[i] += [{"entity": e, "term": t} for t in own[lo:hi].tolist()]
             kind = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64())]))
             columns = [batch.column("_id"), batch.column("_t"), *(pa.array(counts[:, k]) for k in range(len(KINDS))), pa.array(spans, pa.list_(pa.string())), pa.array(near, kind), pa.array(held, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["_id", "_t", *(f"n_{k}" for k in KINDS), "base", "near", "entities"])
@@ -219,6 +228,8 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     schema = T.StructType([source.schema["_id"], source.schema["_t"], *T._parse_datatype_string(extra).fields])
     scanned = stage.put(source.mapInArrow(scan, schema), "scanned")
     terms = stage.put(disclosing_terms(scanned, source, stage, min_contexts, min_probability, min_npmi).select("term").distinct(), "terms")
+    for name in ("entities", "joint", "counts"):
+        stage.drop(name)
     added = occurrences(source, terms)
     added = added.groupBy("_id", "_t").agg(F.collect_set(F.concat_ws(":", F.lit("term"), "a", "b")).alias("terms"))  # at most the words of a text
     s, t = scanned.drop("near", "entities").alias("s"), added.alias("t")
@@ -230,15 +241,21 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with its protected values generalised to ``[KIND]`` and disclosing terms to ``[TERM]``."""
+    """``docs`` with its protected values generalised to ``[KIND]`` and disclosing terms to ``[TERM]``.
+
+    Cases are those of ``pii``: null texts stay null, empty ones empty, repeated rows change alike,
+    rows with a null id too; an empty table gives an empty table; all columns are kept.
+    """
     spans = pii(docs, id_col, text_col, **options).filter("size(all_spans) > 0").select(F.col(id_col).alias("_i"), F.col("_t").alias("_h"), "all_spans").dropDuplicates(["_i", "_h"])
     names, where = docs.columns, docs.columns.index(text_col)
-    rows = docs.withColumn("_x", F.xxhash64(text_col)).alias("d").join(spans.alias("s"), F.col(f"d.{id_col}").eqNullSafe(F.col("s._i")) & (F.col("d._x") == F.col("s._h")), "left").select("d.*", "s.all_spans").drop("_x")
+    x, found = unused(docs, "_x"), unused(docs, "_spans")
+    rows = docs.withColumn(x, F.xxhash64(text_col)).alias("d").join(spans.alias("s"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("s._i")) & (F.col(f"d.{x}") == F.col("s._h")), "left")
+    rows = rows.select(*(F.col(f"d.`{c}`") for c in names), F.col("s.all_spans").alias(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
-            for i, spans in enumerate(batch.column("all_spans").to_pylist()):
+            for i, spans in enumerate(batch.column(found).to_pylist()):
                 if spans:
                     out, end = [], 0
                     for s in spans:
