@@ -16,15 +16,13 @@ BITS = 64
 
 
 def pack_bits(on: Column, width: int) -> Column:
-    """``array<boolean>`` of ``width`` entries as ``array<bigint>`` words, bit 0 first."""
-    words = []
-    for lo in range(0, width, BITS):
-        part = [F.when(F.element_at(on, i + 1), F.shiftleft(F.lit(1).cast("bigint"), i - lo)).otherwise(F.lit(0).cast("bigint")) for i in range(lo, min(lo + BITS, width))]
-        word = part[0]
-        for p in part[1:]:
-            word = word.bitwiseOR(p)
-        words.append(word)
-    return F.array(*words)
+    """``array<boolean>`` of ``width`` entries as ``array<bigint>`` words, bit 0 first; ``on`` is evaluated once."""
+    count = -(-width // BITS)
+    fold = lambda part: F.aggregate(F.reverse(part), F.lit(0).cast("bigint"), lambda w, b: F.shiftleft(w, 1).bitwiseOR(F.when(b, F.lit(1)).otherwise(F.lit(0)).cast("bigint")))
+    if count == 1:
+        return F.array(fold(F.slice(on, 1, width)))
+    words = F.transform(F.array(on), lambda v: F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: fold(F.slice(v, k * BITS + 1, F.least(F.lit(BITS), width - k * BITS)))))
+    return F.get(words, F.lit(0))
 
 
 def on_bits(words: Column) -> Column:
@@ -33,21 +31,45 @@ def on_bits(words: Column) -> Column:
     return F.flatten(F.transform(words, lambda w, k: F.transform(within(w), lambda i: k * BITS + i)))
 
 
-def _total(words: Column) -> Column:
+#: Vectors of so many words or counts at most are unrolled into generated code.
+UNROLLED = 64
+
+
+def ones(words: Column, width: int | None = None) -> Column:
+    """Number of set bits; ``width``, if given, in generated code."""
+    count = -(-width // BITS) if width else UNROLLED + 1
+    if count <= UNROLLED:
+        return sum((F.bit_count(F.get(words, F.lit(k))) for k in range(1, count)), F.bit_count(F.get(words, F.lit(0))))
     return F.aggregate(words, F.lit(0), lambda s, w: s + F.bit_count(w))
 
 
+def shared_ones(x: Column, y: Column, width: int | None = None) -> Column:
+    """Number of bits set in both."""
+    count = -(-width // BITS) if width else UNROLLED + 1
+    if count <= UNROLLED:
+        both = [F.bit_count(F.get(x, F.lit(k)).bitwiseAND(F.get(y, F.lit(k)))) for k in range(count)]
+        return sum(both[1:], both[0])
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a.bitwiseAND(b)), F.lit(0), lambda s, w: s + F.bit_count(w))
+
+
+def dot(x: Column, y: Column, width: int | None = None) -> Column:
+    """Inner product of ``array<double>``."""
+    if width and width <= UNROLLED:
+        parts = [F.get(x, F.lit(k)) * F.get(y, F.lit(k)) for k in range(width)]
+        return sum(parts[1:], parts[0])
+    return F.aggregate(F.zip_with(x, y, lambda p, q: (p * q).cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def bit_table(x: Column, y: Column, width: int) -> tuple[Column, Column, Column, Column]:
     """(both, only x, only y, neither) as doubles."""
-    both = _total(F.zip_with(x, y, lambda a, b: a.bitwiseAND(b))).cast("double")
-    only_x, only_y = _total(x) - both, _total(y) - both
+    both = shared_ones(x, y, width).cast("double")
+    only_x, only_y = ones(x, width) - both, ones(y, width) - both
     return both, only_x, only_y, F.lit(float(width)) - both - only_x - only_y
 
 
-def count_table(x: Column, y: Column) -> tuple[Column, Column, Column]:
+def count_table(x: Column, y: Column, width: int | None = None) -> tuple[Column, Column, Column]:
     """(x.y, x.x, y.y) of ``array<double>``."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: (p * q).cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(x, y), dot(x, x), dot(y, y)
+    return dot(x, y, width), dot(x, x, width), dot(y, y, width)
 
 
 def _over(top: Column, bottom: Column, empty: float) -> Column:

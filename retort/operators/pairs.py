@@ -7,25 +7,52 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import similarity
+
 #: A query side of at most so many rows is broadcast; a larger one is dealt out in blocks.
 BROADCAST_ROWS = 20_000
 
 
-def pair_join(x: DataFrame, y: DataFrame, x_id: str, y_id: str, x_vec: str, y_vec: str, value: Callable[[Column, Column], Column], name: str = "value", blocks: int = 64) -> DataFrame:
+def pair_join(x: DataFrame, y: DataFrame, x_id: str, y_id: str, x_vec: str, y_vec: str, value: Callable[[Column, Column], Column], name: str = "value", block_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(i, j, value) for every row of ``x`` with every row of ``y``.
 
     The result has a row for each pair by definition. A small ``x`` is broadcast after a count;
-    a larger one is cut into hashed blocks, every row of ``y`` is sent to each block once, and
-    pairs meet in an equi-join on the block, so no task holds all of ``x``.
+    a larger one is cut into hashed blocks of some ``block_rows`` rows, every row of ``y`` is sent
+    to each block once, and pairs meet in an equi-join on the block, so no task holds all of ``x``.
     """
     left = x.select(F.col(x_id).alias("i"), F.col(x_vec).alias("_x"))
     right = y.select(F.col(y_id).alias("j"), F.col(y_vec).alias("_y"))
-    if left.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        both = right.crossJoin(F.broadcast(left))
-    else:
-        n = F.lit(blocks)
-        both = left.withColumn("_b", F.pmod(F.xxhash64("i"), n)).join(right.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), (n - 1).cast("bigint")))), "_b")
-    return both.select("i", "j", value(F.col("_x"), F.col("_y")).alias(name))
+    return _crossed(left, right, block_rows).select("i", "j", value(F.col("_x"), F.col("_y")).alias(name))
+
+
+def _crossed(left: DataFrame, right: DataFrame, block_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Every row of ``left`` (with i) beside every row of ``right``, in blocks of ``left``."""
+    rows = left.count()
+    if rows <= block_rows:
+        return right.crossJoin(F.broadcast(left))
+    n = F.lit(-(-rows // block_rows)).cast("bigint")
+    dealt = right.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
+    return left.withColumn("_b", F.pmod(F.xxhash64("i"), n)).join(dealt, "_b").drop("_b")
+
+
+def bulk_similarity(x: DataFrame, y: DataFrame, x_id: str, y_id: str, vec: str, family: str, width: int, counts: bool = False) -> DataFrame:
+    """(i, j, similarity, distance) of all pairs by a family of ``similarity.BINARY`` or, for
+    ``counts``, ``similarity.COUNT``.
+
+    What belongs to one row (set bits, squared norm) is computed before the rows meet, what belongs
+    to a pair once in generated code.
+    """
+    own = (lambda c: similarity.dot(c, c, width)) if counts else (lambda c: similarity.ones(c, width))
+    left = x.select(F.col(x_id).alias("i"), F.col(vec).alias("_x"), own(F.col(vec)).cast("double").alias("_p"))
+    right = y.select(F.col(y_id).alias("j"), F.col(vec).alias("_y"), own(F.col(vec)).cast("double").alias("_q"))
+    both = (similarity.dot if counts else similarity.shared_ones)(F.col("_x"), F.col("_y"), width).cast("double")
+    met = _crossed(left, right).select("i", "j", "_p", "_q", both.alias("_a"))
+    if counts:
+        sim = similarity.COUNT[family](F.col("_a"), F.col("_p"), F.col("_q"))
+        return met.select("i", "j", sim.alias("similarity")).withColumn("distance", 1 - F.col("similarity"))
+    table = (F.col("_a"), F.col("_p") - F.col("_a"), F.col("_q") - F.col("_a"), F.lit(float(width)) - F.col("_p") - F.col("_q") + F.col("_a"))
+    out = met.select("i", "j", similarity.BINARY[family](*table).alias("similarity"), *([similarity.NORMALIZED[family](*table).alias("_n")] if family in similarity.NORMALIZED else []))
+    return out.select("i", "j", "similarity", (1 - F.col("_n" if family in similarity.NORMALIZED else "similarity")).alias("distance"))
 
 
 def knn_join(queries: DataFrame, rows: DataFrame, q_id: str, r_id: str, q_vec: str, r_vec: str, distance: Callable[[Column, Column], Column], k: int, exclude_self: bool = False) -> DataFrame:
@@ -41,20 +68,23 @@ def knn_join(queries: DataFrame, rows: DataFrame, q_id: str, r_id: str, q_vec: s
     return local.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("distance", "j"))).filter(F.col("rank") <= k).select("i", "j", "distance", "rank")
 
 
-def tanimoto_join(x: DataFrame, y: DataFrame, x_id: str, y_id: str, x_bits: str, y_bits: str, threshold: float) -> DataFrame:
+def tanimoto_join(x: DataFrame, y: DataFrame, x_id: str, y_id: str, x_bits: str, y_bits: str, threshold: float, width: int | None = None, rows_per_key: int = 20_000) -> DataFrame:
     """(i, j, similarity) of packed vectors with Tanimoto similarity at least ``threshold``.
 
     T(x, y) >= t needs t|x| <= |y| <= |x|/t, so a row of ``x`` only meets rows whose bit count is
-    in that range: an equi-join on the count of ``y``. Two empty vectors have similarity 1.
+    in that range: an equi-join on the count of ``y`` and a salt of it. The salt follows the most
+    usual count of ``y``, so a key holds some ``rows_per_key`` rows at most. Two empty vectors have
+    similarity 1.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    ones = lambda w: F.aggregate(w, F.lit(0), lambda s, v: s + F.bit_count(v))
-    left = x.select(F.col(x_id).alias("i"), F.col(x_bits).alias("_x")).withColumn("_p", ones(F.col("_x")))
-    right = y.select(F.col(y_id).alias("j"), F.col(y_bits).alias("_y")).withColumn("_q", ones(F.col("_y")))
+    left = x.select(F.col(x_id).alias("i"), F.col(x_bits).alias("_x"), similarity.ones(F.col(x_bits), width).alias("_p"))
+    right = y.select(F.col(y_id).alias("j"), F.col(y_bits).alias("_y"), similarity.ones(F.col(y_bits), width).alias("_q"))
+    most = right.groupBy("_q").count().agg(F.max("count")).first()[0] or 0
+    salts = F.lit(max(1, -(-most // rows_per_key))).cast("bigint")
     low, high = F.ceil(F.col("_p") * threshold - 1e-9).cast("int"), F.floor(F.col("_p") / threshold + 1e-9).cast("int")
-    spread = left.withColumn("_q", F.explode(F.sequence(low, high)))
-    both = F.aggregate(F.zip_with("_x", "_y", lambda a, b: a.bitwiseAND(b)), F.lit(0), lambda s, v: s + F.bit_count(v)).cast("double")
-    met = spread.join(right, "_q").withColumn("_a", both)
+    spread = left.withColumn("_q", F.explode(F.sequence(low, high))).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
+    met = spread.join(right.withColumn("_s", F.pmod(F.xxhash64("j"), salts)), ["_q", "_s"])
+    met = met.select("i", "j", "_p", "_q", similarity.shared_ones(F.col("_x"), F.col("_y"), width).cast("double").alias("_a"))
     union = F.col("_p") + F.col("_q") - F.col("_a")
-    return met.withColumn("similarity", F.when(union == 0, F.lit(1.0)).otherwise(F.try_divide("_a", union))).filter(F.col("similarity") >= threshold).select("i", "j", "similarity")
+    return met.select("i", "j", F.when(union == 0, F.lit(1.0)).otherwise(F.try_divide("_a", union)).alias("similarity")).filter(F.col("similarity") >= threshold)

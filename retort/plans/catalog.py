@@ -63,11 +63,11 @@ COUNT_SQL = {
 }
 
 
-def _bulk(column: str, sim: Callable, dist: Callable) -> Query:
+def _bulk(family: str, counts: bool) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         v = vectors(spark, sf_dir)
-        both = pairs.pair_join(v.filter(F.col("vec_id") % EVERY == 0), v, "vec_id", "vec_id", column, column, lambda x, y: F.struct(sim(x, y).alias("s"), dist(x, y).alias("d")))
-        return both.select("i", "j", F.round("value.s", 6).alias("similarity"), F.round("value.d", 6).alias("distance"))
+        both = pairs.bulk_similarity(v.filter(F.col("vec_id") % EVERY == 0), v, "vec_id", "vec_id", "counts" if counts else "bits", family, WIDTH, counts)
+        return both.select("i", "j", F.round("similarity", 6).alias("similarity"), F.round("distance", 6).alias("distance"))
 
     return run
 
@@ -75,10 +75,10 @@ def _bulk(column: str, sim: Callable, dist: Callable) -> Query:
 def _similarity_queries() -> tuple[dict[str, Query], dict[str, str]]:
     q, s = {}, {}
     for name in similarity.BINARY:
-        q[f"bulk_{name}_binary"] = _bulk("bits", lambda x, y, n=name: similarity.binary_similarity(n, x, y, WIDTH), lambda x, y, n=name: similarity.binary_distance(n, x, y, WIDTH))
+        q[f"bulk_{name}_binary"] = _bulk(name, False)
         s[f"bulk_{name}_binary"] = f"WITH {BITS_SQL} SELECT i, j, round(({BINARY_SQL[name]})::DOUBLE, 6) AS similarity, round((1 - ({NORMAL_SQL.get(name, BINARY_SQL[name])}))::DOUBLE, 6) AS distance FROM t"
     for name in similarity.COUNT:
-        q[f"bulk_{name}_count"] = _bulk("counts", lambda x, y, n=name: similarity.count_similarity(n, x, y), lambda x, y, n=name: similarity.count_distance(n, x, y))
+        q[f"bulk_{name}_count"] = _bulk(name, True)
         s[f"bulk_{name}_count"] = f"WITH {COUNTS_SQL} SELECT i, j, round(({COUNT_SQL[name]})::DOUBLE, 6) AS similarity, round((1 - ({COUNT_SQL[name]}))::DOUBLE, 6) AS distance FROM t"
     return q, s
 
@@ -93,16 +93,11 @@ def knn_tanimoto(spark, sf_dir):
 
 
 def threshold_join(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    return pairs.tanimoto_join(v.filter(F.col("vec_id") % EVERY == 0), v, "vec_id", "vec_id", "bits", "bits", 0.4).select("i", "j", F.round("similarity", 6).alias("similarity"))
-
-
-def threshold_links(spark, sf_dir):
     """(vec_id, class_id, n_links): all vectors against all. Equal bit vectors are a class, named by
     its least id; n_links counts the other vectors with similarity at least 0.4."""
     v = vectors(spark, sf_dir).select("vec_id", "bits")
     classes = v.groupBy("bits").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("size"))
-    met = pairs.tanimoto_join(classes, classes.withColumn("who", F.struct("class_id", "size")), "class_id", "who", "bits", "bits", 0.4)
+    met = pairs.tanimoto_join(classes, classes.withColumn("who", F.struct("class_id", "size")), "class_id", "who", "bits", "bits", 0.4, WIDTH)
     links = met.groupBy(F.col("i").alias("class_id")).agg((F.sum("j.size") - 1).alias("n_links"))
     return v.join(classes, "bits").join(links, "class_id").select("vec_id", "class_id", "n_links")
 
@@ -318,7 +313,7 @@ def _all() -> tuple[dict[str, Query], dict[str, str]]:
     q, s = _similarity_queries()
     for name in rules.RULE_SETS:
         q[f"filter_{name}"], s[f"filter_{name}"] = _filter_query(name)
-    q |= {"lingo": lingo_names, "folded_shingles": folded_words, "knn_tanimoto": knn_tanimoto, "tanimoto_threshold_join": threshold_join, "tanimoto_threshold_links": threshold_links, "metrics_confusion": confusion, "metrics_regression": regression, "metrics_ranking": ranking, "metrics_screening": screening}
+    q |= {"lingo": lingo_names, "folded_shingles": folded_words, "knn_tanimoto": knn_tanimoto, "tanimoto_threshold_join": threshold_join, "metrics_confusion": confusion, "metrics_regression": regression, "metrics_ranking": ranking, "metrics_screening": screening}
     q |= {"ad_bounding_box": ad_bounding_box, "ad_centroid": ad_centroid, "ad_response_range": ad_response_range, "ad_knn": ad_knn}
     q |= {f"ad_{f.__name__}": _matrix_domain(lambda t, f=f: f(t, "x")) for f in (domain.leverage, domain.hotelling_t2, domain.pca_box, domain.topkat)}
     q |= {"split_group_fill": split_groups, "split_time": split_time, "split_randomized_groups": split_randomized, "split_maxmin": split_maxmin, "split_stratified_maxmin": split_stratified, "split_butina": split_butina}
@@ -327,7 +322,7 @@ def _all() -> tuple[dict[str, Query], dict[str, str]]:
         "lingo": "WITH n AS (SELECT p_partkey, replace(replace(regexp_replace(p_name, '[1-9]', '0', 'g'), 'Cl', 'L'), 'Br', 'R') AS t FROM part), g AS (SELECT p_partkey, unnest(list_transform(range(1, greatest(length(t) - 2, 1)), lambda i: substr(t, i::INT, 4))) AS gram FROM n) SELECT p_partkey, (('0x' || right(sha1(gram), 3))::INT & 1023)::INT AS bit, count(*) AS count FROM g GROUP BY 1, 2",
         "folded_shingles": "WITH g AS (SELECT p_partkey, sha256(unnest(string_split(p_name, ' '))) AS h FROM part) SELECT p_partkey, (('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2])::BIGINT % 1024)::INT AS bit, count(*) AS count FROM g GROUP BY 1, 2",
         "knn_tanimoto": f"WITH {BITS_SQL}, d AS (SELECT i, j, round((1 - ({BINARY_SQL['tanimoto']}))::DOUBLE, 9) AS distance FROM t WHERE i <> j), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY distance, j)::INT AS rank FROM d) SELECT i, j, round(distance, 6) AS distance, rank FROM r WHERE rank <= 5",
-        "tanimoto_threshold_join": f"WITH {BITS_SQL} SELECT i, j, round(({BINARY_SQL['tanimoto']})::DOUBLE, 6) AS similarity FROM t WHERE ({BINARY_SQL['tanimoto']}) >= 0.4",
+        "tanimoto_threshold_join": f"WITH {V}, c AS (SELECT vec_id, b, list_sum(b) AS n, min(vec_id) OVER (PARTITION BY b) AS class_id FROM v), m AS (SELECT q.vec_id, q.class_id, q.n + r.n - list_inner_product(q.b, r.b) AS u, list_inner_product(q.b, r.b) AS a FROM c q, c r) SELECT vec_id, class_id, count(*) - 1 AS n_links FROM m WHERE CASE WHEN u = 0 THEN 1 ELSE a / u END >= 0.4 GROUP BY 1, 2",
         "metrics_confusion": CONFUSION_SQL, "metrics_regression": REGRESSION_SQL, "metrics_ranking": RANKING_SQL, "metrics_screening": SCREENING_SQL,
         "ad_bounding_box": AD_BOX_SQL, "ad_centroid": AD_CENTROID_SQL, "ad_response_range": AD_RESPONSE_SQL, "split_group_fill": SPLIT_GROUPS_SQL, "split_time": SPLIT_TIME_SQL, "molecule_topology": TOPOLOGY_SQL,
     }
