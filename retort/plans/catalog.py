@@ -11,6 +11,7 @@ from ..chem import fingerprints
 from ..functions import similarity
 from ..functions.shingles import fold_shingles, lingo
 from ..operators import domain, metrics, pairs, rules, splits
+from . import sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 WIDTH = 64
@@ -330,8 +331,8 @@ def _all() -> tuple[dict[str, Query], dict[str, str]]:
 
 
 def queries() -> dict[str, Query]:
-    return _all()[0]
+    return _all()[0] | sources.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _all()[1]
+    return _all()[1] | sources.SQL

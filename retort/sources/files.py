@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-
 def read_sdf(spark: SparkSession, path: str) -> DataFrame:
     """(title, atoms, bonds, block): one row for each molecule block of an SDF file or folder.
 
@@ -43,14 +42,26 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.regexp_extract("value", r"\A\s*(\S+)", 1).alias("seq_id"), F.regexp_replace(F.regexp_replace("value", r"\A[^\n]*\n?", ""), r"\s", "").alias("seq"))
 
 
+def numbered_rows(df: DataFrame, out: str = "row_id") -> DataFrame:
+    """Rows of files with their place from 0 without gaps: rows of a block of a file are numbered
+    by themselves and start where the blocks before it end, so no task holds more than a block."""
+    where = {"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id()}
+    rows = df.withColumns(where)
+    blocks = rows.groupBy("_file", "_at").agg(F.min("_id").alias("_first"), F.count("*").alias("_rows"))  # a row a block
+    before = Window.orderBy("_file", "_at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    return rows.join(starts, ["_file", "_at"]).withColumn(out, F.col("_start") + F.col("_id") - F.col("_first")).drop("_file", "_at", "_id", "_first", "_start")
+
+
 def read_table(spark: SparkSession, path: str, strings: str = "SMILES", labels: list[str] | None = None) -> DataFrame:
     """(row_id, text, task, y): a CSV with a molecule column, its label columns as a long table.
 
-    Missing and NaN labels become null. row_id is the row's place in the file.
+    Missing and NaN labels become null. row_id is the row's place in the file, or in a folder's
+    files by name.
     """
     df = spark.read.option("header", True).csv(path)
-    tasks = labels or [c for c in df.columns if c not in (strings, "aminoseq")]
-    wide = df.withColumn("row_id", F.monotonically_increasing_id())
+    tasks = labels or [c for c in df.columns if c not in ("SMILES", "aminoseq", strings)]
+    wide = numbered_rows(df)
     each = F.explode(F.array(*[F.struct(F.lit(t).alias("task"), F.col(f"`{t}`").cast("double").alias("y")) for t in tasks]))
     long = wide.select("row_id", F.col(strings).alias("text"), each.alias("l")).select("row_id", "text", "l.task", "l.y")
     return long.withColumn("y", F.when(~F.isnan("y"), F.col("y")))
