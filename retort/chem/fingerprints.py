@@ -13,10 +13,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.rules import RULE_SETS, apply_rules
 from . import descriptors as D
-from .smiles import Molecule, SmilesError, parse
+from . import properties as P
+from .rings import molecule
+from .smiles import Molecule
+from .substructure import by_text
 
 
 def number(*parts) -> int:
@@ -126,20 +131,17 @@ def fingerprint(df: DataFrame, id_col: str, smiles: str, kind: str = "circular",
         raise ValueError("unknown kind, size or errors")
     make = KINDS[kind]
 
+    def folded(m: Molecule) -> list[tuple[int, int]]:
+        slots: Counter = Counter()
+        for n, k in make(m, **options).items():
+            slots[n % fp_size] += k
+        return sorted(slots.items())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, bits, counts = [], [], []
-            for i, s in enumerate(b.column(1).to_pylist()):
-                try:
-                    found = make(parse(s or ""), **options)
-                except SmilesError:
-                    if errors == "raise":
-                        raise
-                    continue
-                slots: Counter = Counter()
-                for n, k in found.items():
-                    slots[n % fp_size] += k
-                for slot, k in sorted(slots.items()):
+            for i, found in enumerate(by_text(b, 1, folded, errors)):
+                for slot, k in found or ():
                     rows.append(i)
                     bits.append(slot)
                     counts.append(k if count else 1)
@@ -149,30 +151,39 @@ def fingerprint(df: DataFrame, id_col: str, smiles: str, kind: str = "circular",
     return df.select(id_col, smiles).mapInArrow(run, schema)
 
 
+#: All descriptors by name.
+DESCRIPTORS = {**D.DESCRIPTORS, **P.PROPERTIES}
+#: Names of descriptors in rules, where they differ.
+RULE_NAMES = {"mol_weight": "molecular_weight", "rings": "number_of_rings", "heavy_atoms": "heavy_atom_count"}
+
+
 def describe(df: DataFrame, id_col: str, smiles: str, names: tuple[str, ...] = tuple(D.DESCRIPTORS), errors: str = "null") -> DataFrame:
     """(id, one double a descriptor); a text that is no SMILES gives nulls or raises."""
+    makers = [DESCRIPTORS[RULE_NAMES.get(n, n)] for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[list[float | None]] = []
-            for s in b.column(1).to_pylist():
-                try:
-                    m = parse(s or "")
-                    rows.append([float(D.DESCRIPTORS[n](m)) for n in names])
-                except SmilesError:
-                    if errors == "raise":
-                        raise
-                    rows.append([None] * len(names))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], pa.float64()) for k in range(len(names)))], [id_col, *names])
+            rows = by_text(b, 1, lambda m: [float(f(m)) for f in makers], errors)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] if r else None for r in rows], pa.float64()) for k in range(len(names)))], [id_col, *names])
 
     schema = T.StructType([df.schema[id_col], *(T.StructField(n, T.DoubleType()) for n in names)])
     return df.select(id_col, smiles).mapInArrow(run, schema)
 
 
+def filter_molecules(df: DataFrame, id_col: str, smiles: str, rules: str, allow_one_violation: bool | None = None, return_type: str = "mol", errors: str = "null") -> DataFrame:
+    """A rule set applied to molecules in a text column: their descriptors are computed, only those
+    the rules ask for. Rows (id, text) as ``apply_rules`` returns them; what is no SMILES does not pass."""
+    chosen = RULE_SETS[rules]
+    names = tuple(dict.fromkeys(n for n, _, _ in chosen.rules))
+    described = describe(df.select(F.struct(id_col, smiles).alias("row"), F.col(smiles).alias("text")), "row", "text", names, errors)
+    out = apply_rules(described, chosen, allow_one_violation, return_type)
+    return out.select("row.*", *(c for c in out.columns if c != "row" and (c not in names or return_type == "condition_indicators")))
+
+
 def scaffold_key(smiles: str, generic: bool = False) -> str:
     """A key of the ring systems and linkers: side chains are cut off, the rest is hashed by
     neighbourhoods. Molecules without a ring share the empty key."""
-    m = parse(smiles)
+    m = molecule(smiles)
     near = m.neighbours
     keep = set(range(len(m.symbols)))
     while True:

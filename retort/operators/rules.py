@@ -83,8 +83,14 @@ def apply_rules(df: DataFrame, rules: RuleSet | str, allow_one_violation: bool |
     return out
 
 
-def pattern_filter(matches: DataFrame, id_col: str, hits: str = "hits", allow_one_violation: bool = False) -> DataFrame:
+def pattern_filter(matches: DataFrame, id_col: str, hits: str = "hits", allow_one_violation: bool = False, ids: DataFrame | None = None) -> DataFrame:
     """Substructure filters over (id, pattern, hits): a row passes without a matching pattern, or
-    with exactly one where that is allowed."""
-    n = F.sum((F.col(hits) > 0).cast("int"))
-    return matches.groupBy(id_col).agg(n.alias("n_matches"), (n <= (1 if allow_one_violation else 0)).alias("passed"))
+    with exactly one where that is allowed. Null hits are none. Rows of ``ids`` (all molecules)
+    that have no match pass; without ``ids`` only rows of ``matches`` are judged."""
+    n = F.sum((F.coalesce(F.col(hits), F.lit(0)) > 0).cast("int"))
+    counts = matches.groupBy(id_col).agg(n.alias("n_matches"))
+    if ids is not None:
+        every = ids.select(F.col(id_col).alias("_id")).distinct()
+        joined = every.join(counts, every["_id"].eqNullSafe(counts[id_col]), "left")
+        counts = joined.select(F.col("_id").alias(id_col), F.coalesce("n_matches", F.lit(0)).alias("n_matches"))
+    return counts.withColumn("passed", F.col("n_matches") <= (1 if allow_one_violation else 0))
