@@ -7,7 +7,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..memo import Memo
 from .staging import Staging, numbered
 from .words import pieces
 
@@ -54,9 +54,8 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         ranks = byte_ranks(spec)
@@ -68,14 +67,20 @@ class Encoder:
         if not text:
             return b""
         if self.fast is None or (self.added and self.added.search(text)):
+            if self.tokenizer is None:
+                from tokenizers import Tokenizer
+
+                self.tokenizer = Tokenizer.from_file(self.path)
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
-@lru_cache(maxsize=1)
+_ENCODERS = Memo(1)
+
+
 def encoder(path: str) -> Encoder:
-    """One for each Python worker, kept from task to task: the vocabulary only."""
-    return Encoder(path)
+    """One for each task: the vocabulary only."""
+    return _ENCODERS.get(path, Encoder)
 
 
 def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
