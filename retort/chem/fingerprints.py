@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.rules import RULE_SETS, apply_rules
+from ..operators.splits import group_fill_split, randomized_group_split
 from . import descriptors as D
 from . import properties as P
 from .rings import molecule
-from .smiles import Molecule
+from .smiles import Molecule, SmilesError, largest_fragment
 from .substructure import by_text
 
 
@@ -153,8 +154,8 @@ def fingerprint(df: DataFrame, id_col: str, smiles: str, kind: str = "circular",
 
 #: All descriptors by name.
 DESCRIPTORS = {**D.DESCRIPTORS, **P.PROPERTIES}
-#: Names of descriptors in rules, where they differ.
-RULE_NAMES = {"mol_weight": "molecular_weight", "rings": "number_of_rings", "heavy_atoms": "heavy_atom_count"}
+#: Other names of descriptors.
+RULE_NAMES = {"mol_weight": "molecular_weight", "rings": "number_of_rings", "heavy_atoms": "heavy_atom_count", "number_of_rotatable_bonds": "rotatable_bonds"}
 
 
 def describe(df: DataFrame, id_col: str, smiles: str, names: tuple[str, ...] = tuple(D.DESCRIPTORS), errors: str = "null") -> DataFrame:
@@ -180,10 +181,9 @@ def filter_molecules(df: DataFrame, id_col: str, smiles: str, rules: str, allow_
     return out.select("row.*", *(c for c in out.columns if c != "row" and (c not in names or return_type == "condition_indicators")))
 
 
-def scaffold_key(smiles: str, generic: bool = False) -> str:
+def scaffold_key(m: Molecule, generic: bool = False) -> str:
     """A key of the ring systems and linkers: side chains are cut off, the rest is hashed by
     neighbourhoods. Molecules without a ring share the empty key."""
-    m = molecule(smiles)
     near = m.neighbours
     keep = set(range(len(m.symbols)))
     while True:
@@ -197,3 +197,47 @@ def scaffold_key(smiles: str, generic: bool = False) -> str:
     for _ in range(len(keep)):
         now = {i: number(now[i], sorted((1 if generic else o, now[j]) for j, o in near[i] if j in keep)) for i in keep}
     return f"{number(sorted(now.values())):016x}"
+
+
+def scaffolds(df: DataFrame, id_col: str, smiles: str, out: str = "scaffold", generic: bool = False, errors: str = "raise") -> DataFrame:
+    """``df`` with the scaffold key of each molecule; null for a text that is no SMILES, if that does not raise."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+        for b in batches:
+            at = b.schema.get_field_index(smiles) if at is None else at
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(by_text(b, at, lambda m: scaffold_key(m, generic), errors), pa.string())], [*b.schema.names, out])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
+
+
+def scaffold_split(df: DataFrame, id_col: str, smiles: str, valid: int, test: int, generic: bool = False, seed: int | None = None) -> DataFrame:
+    """``df`` with ``subset``: whole scaffolds go to test, then valid, then train, the smallest
+    first, or in a seeded order of their own. Molecules without a ring share a scaffold."""
+    keyed = scaffolds(df, id_col, smiles, "_scaffold", generic)
+    if seed is None:
+        return group_fill_split(keyed, F.col("_scaffold"), id_col, valid, test).drop("_scaffold")
+    return randomized_group_split(keyed, F.col("_scaffold"), id_col, valid, test, seed).drop("_scaffold")
+
+
+def standardise(df: DataFrame, id_col: str, smiles: str, errors: str = "raise") -> DataFrame:
+    """``df`` with the largest part of each molecule in the place of the whole."""
+    if errors not in ("raise", "null"):
+        raise ValueError("errors must be raise or null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index(smiles)
+            texts = []
+            for t in b.column(at).to_pylist():
+                try:
+                    texts.append(largest_fragment(t or ""))
+                except SmilesError:
+                    if errors == "raise":
+                        raise
+                    texts.append(None)
+            columns = [*b.columns]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names)
+
+    return df.mapInArrow(run, df.schema)

@@ -11,16 +11,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def gram(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of rows, sum of the vectors and X'X. Each task sends one d x d matrix as rows that
-    are summed in the cluster; the driver gets d x d numbers at any input size."""
+def _rows(column: pa.Array) -> np.ndarray:
+    """The vectors of a list column that are not null, as a matrix over its flat values."""
+    held = column.drop_null()
+    if not len(held):
+        return np.zeros((0, 0))
+    flat = np.asarray(held.flatten().cast(pa.float64()).fill_null(float("nan")))
+    return flat.reshape(len(held), -1)
+
+
+def gram(df: DataFrame, vector: str, center: np.ndarray | None = None) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of rows, sum of the vectors and X'X, of vectors less ``center`` if given. Each task
+    sends one d x d matrix as rows that are summed in the cluster; the driver gets d x d numbers
+    at any input size."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n, s = None, 0, None
         for b in batches:
-            x = np.array([r for r in b.column(0).to_pylist() if r is not None], float)
+            x = _rows(b.column(0))
             if not len(x):
                 continue
+            if center is not None:
+                x = x - center
             total = x.T @ x if total is None else total + x.T @ x
             s = x.sum(0) if s is None else s + x.sum(0)
             n += len(x)
@@ -36,10 +48,19 @@ def gram(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
     return int(v[0]), v[1 : 1 + d], v[1 + d :].reshape(d, d)
 
 
-def covariance(n: int, total: np.ndarray, product: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Means and the sample covariance."""
-    mean = total / n
-    return mean, (product - n * np.outer(mean, mean)) / max(n - 1, 1)
+def means(df: DataFrame, vector: str) -> np.ndarray:
+    """The mean of each entry."""
+    rows = df.select(F.posexplode(vector).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).orderBy("i").collect()  # a row an entry
+    if not rows:
+        raise ValueError("no rows to fit on")
+    return np.array([r["m"] for r in rows], float)
+
+
+def covariance(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of rows, means and sample covariance; vectors are centered first, so data far from 0 lose nothing."""
+    middle = means(df, vector)
+    n, total, product = gram(df, vector, middle)
+    return n, middle + total / n, (product - np.outer(total, total) / n) / max(n - 1, 1)
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:

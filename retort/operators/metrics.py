@@ -6,9 +6,12 @@ a null label or prediction are left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.moments import beta_cdf
+from .running import running_sums
+
 
 def _clean(df: DataFrame, y: str, p: str) -> DataFrame:
     return df.filter(F.col(y).isNotNull() & F.col(p).isNotNull() & ~F.isnan(F.col(y).cast("double")) & ~F.isnan(F.col(p).cast("double")))
@@ -56,45 +59,69 @@ def _by_score(df: DataFrame, task: str, y: str, p: str) -> DataFrame:
     return clean.groupBy(F.col(task).alias("task"), F.col(p).cast("double").alias("s")).agg(F.sum(F.col(y).cast("double")).alias("pos"), F.sum(1.0 - F.col(y).cast("double")).alias("neg"))
 
 
-def auroc(df: DataFrame, task: str = "task", y: str = "y", p: str = "p") -> DataFrame:
-    """(task, auroc) by the rank sum with ties at half; null with one class only."""
-    below = Window.partitionBy("task").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    t = _by_score(df, task, y, p).withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
+def auroc(df: DataFrame, task: str = "task", y: str = "y", p: str = "p", constant_target: str = "null") -> DataFrame:
+    """(task, auroc) by the rank sum with ties at half. With one class only: null, 1.0 (``constant_target``
+    "pass"), or an error ("raise")."""
+    if constant_target not in ("null", "pass", "raise"):
+        raise ValueError("constant_target must be null, pass or raise")
+    t = running_sums(_by_score(df, task, y, p), ["task"], "s", {"under": F.col("neg")})
     sums = t.groupBy("task").agg(F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("n1"), F.sum("neg").alias("n0"))
-    return sums.select(F.col("task").alias(task), _div(F.col("u"), F.col("n1") * F.col("n0")).alias("auroc"))
+    alone = {"null": F.lit(None).cast("double"), "pass": F.lit(1.0), "raise": F.raise_error(F.lit("a task has one class only")).cast("double")}[constant_target]
+    area = F.when(F.col("n1") * F.col("n0") == 0, alone).otherwise(F.try_divide(F.col("u"), F.col("n1") * F.col("n0")))
+    return sums.select(F.col("task").alias(task), area.alias("auroc"))
 
 
 def auprc(df: DataFrame, task: str = "task", y: str = "y", p: str = "p") -> DataFrame:
     """(task, auprc): average precision over falling scores, ties together; null without positives."""
-    down = Window.partitionBy("task").orderBy(F.col("s").desc())
-    t = _by_score(df, task, y, p).withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
+    t = running_sums(_by_score(df, task, y, p), ["task"], "s", {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True)
+    t = t.withColumns({"tp": F.col("tp") + F.col("pos"), "fp": F.col("fp") + F.col("neg")})
     sums = t.groupBy("task").agg(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("a"), F.sum("pos").alias("n1"))
     return sums.select(F.col("task").alias(task), _div(F.col("a"), F.col("n1")).alias("auprc"))
 
 
 def _average_rank(df: DataFrame, task: str, value: str, out: str) -> DataFrame:
     counts = df.groupBy(F.col(task).alias("_k"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(out, F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2).drop("_n")
+    ranks = running_sums(counts, ["_k"], "_v", {"_before": F.col("_n")})
+    ranks = ranks.select("_k", "_v", (F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, (df[task].eqNullSafe(F.col("_k"))) & (df[value] == F.col("_v"))).drop("_k", "_v")
 
 
-def spearman(df: DataFrame, task: str = "task", y: str = "y", p: str = "p", equal_values_result: float = 1.0) -> DataFrame:
+ALTERNATIVES = ("two-sided", "less", "greater")
+
+
+def spearman(df: DataFrame, task: str = "task", y: str = "y", p: str = "p", equal_values_result: float = 1.0, alternative: str = "two-sided", p_value: bool = False) -> DataFrame:
     """(task, spearman): correlation of average ranks; ``equal_values_result`` where all values are
-    close to equal between label and prediction, null where one side is constant."""
+    close to equal between label and prediction, null where one side is constant.
+
+    With ``p_value`` beside it the probability of such a correlation by chance, from Student's
+    distribution with n - 2 degrees of freedom, for the given alternative.
+    """
+    if alternative not in ALTERNATIVES:
+        raise ValueError(f"alternative must be one of {ALTERNATIVES}")
     clean = _clean(df, y, p).select(F.col(task).alias("task"), F.col(y).cast("double").alias("y"), F.col(p).cast("double").alias("p"))
     ranked = _average_rank(_average_rank(clean, "task", "y", "ry"), "task", "p", "rp")
     close = F.min((F.abs(F.col("y") - F.col("p")) <= 1e-8 + 1e-5 * F.abs(F.col("p"))).cast("int"))
-    got = ranked.groupBy("task").agg(close.alias("close"), F.corr("ry", "rp").alias("rho"), F.min("y").alias("a"), F.max("y").alias("b"), F.min("p").alias("c"), F.max("p").alias("d"))
+    got = ranked.groupBy("task").agg(close.alias("close"), F.corr("ry", "rp").alias("rho"), F.count("*").alias("n"), F.min("y").alias("a"), F.max("y").alias("b"), F.min("p").alias("c"), F.max("p").alias("d"))
     rho = F.when(F.col("close") == 1, F.lit(float(equal_values_result))).when((F.col("a") == F.col("b")) | (F.col("c") == F.col("d")), F.lit(None)).otherwise(F.col("rho"))
-    return got.select(F.col("task").alias(task), rho.cast("double").alias("spearman"))
+    out = got.select(F.col("task").alias(task), rho.cast("double").alias("spearman"), "n")
+    if not p_value:
+        return out.drop("n")
+
+    def chance(r: float | None, n: int) -> float | None:
+        if r is None or n < 3:
+            return None
+        tail = 0.0 if abs(r) >= 1 else beta_cdf(1 - r * r, (n - 2) / 2, 0.5) / 2  # P(T >= |t|)
+        if alternative == "two-sided":
+            return 2 * tail
+        return tail if (r > 0) == (alternative == "greater") else 1 - tail
+
+    return out.withColumn("p_value", F.udf(chance, "double")("spearman", "n")).drop("n")  # a row a task
 
 
 def _ranked_actives(df: DataFrame, y: str, p: str) -> DataFrame:
     """First rank and number of actives of each score; ties favour actives, as with sorted (score, label)."""
     t = _clean(df, y, p).groupBy(F.col(p).cast("double").alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("long")).alias("pos"), F.min(F.col(y).isin(0, 1)).alias("ok"))
-    before = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return t.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)) + 1)
+    return running_sums(t, [], "s", {"_above": F.col("n")}, descending=True).withColumn("first", F.col("_above") + 1).drop("_above")
 
 
 def screening_metrics(df: DataFrame, y: str = "y", p: str = "p", fraction: float = 0.05, alpha: float = 20.0) -> DataFrame:
@@ -124,3 +151,19 @@ def mean_over_tasks(per_task: DataFrame, metric: str) -> DataFrame:
     """One row: the unweighted mean over tasks where the metric is defined; an error if it never is."""
     out = per_task.agg(F.avg(metric).alias(metric))
     return out.withColumn(metric, F.coalesce(F.col(metric), F.raise_error(F.lit("no task has a defined metric")).cast("double")))
+
+
+def positive_probability(df: DataFrame, probabilities: str, out: str = "p", positive: int = 1) -> DataFrame:
+    """``df`` with the probability of the positive class from an array column of class probabilities."""
+    checked = F.when(F.size(probabilities) > positive, F.get(probabilities, F.lit(positive))).otherwise(F.raise_error(F.lit("too few classes")).cast("double"))
+    return df.withColumn(out, F.when(F.col(probabilities).isNotNull(), checked))
+
+
+def aligned(labels: DataFrame, predictions: DataFrame, on: list[str], y: str = "y", p: str = "p") -> DataFrame:
+    """Labels beside predictions with the same keys; a key of one side only, or twice on a side, is an error."""
+    def counted(df: DataFrame, value: str, n: str) -> DataFrame:
+        return df.groupBy(*on).agg(F.first(value).alias(value), F.count("*").alias(n))
+
+    both = counted(labels, y, "_a").join(counted(predictions, p, "_b"), on, "full")
+    same = F.coalesce((F.col("_a") == 1) & (F.col("_b") == 1), F.lit(False))
+    return both.filter(F.when(same, F.lit(True)).otherwise(F.raise_error(F.lit("labels and predictions must have the same keys, each once")).cast("boolean"))).select(*on, y, p)

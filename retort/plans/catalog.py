@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..chem import fingerprints
 from ..functions import similarity
 from ..functions.shingles import fold_shingles, lingo
-from ..operators import domain, metrics, pairs, rules, splits
-from . import sources
+from ..operators import domain, metrics, pairs, splits
+from . import molecules, sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 WIDTH = 64
@@ -112,31 +112,6 @@ def folded_words(spark, sf_dir):
     return fold_shingles(part, "p_partkey", "s", 1024, count=True)
 
 
-#: Numbers of ``part`` in the place of descriptors, the same text in both engines.
-STAND_INS = {
-    "mol_weight": "p_retailprice / 4.0", "exact_weight": "p_retailprice / 4.0", "logp": "(p_partkey % 13) - 4", "hba": "p_partkey % 14", "hbd": "p_partkey % 7",
-    "lipinski_hba": "p_partkey % 14", "lipinski_hbd": "p_partkey % 7", "tpsa": "(p_partkey * 7) % 260", "rotatable_bonds": "p_size % 16", "rigid_bonds": "p_size % 40", "rings": "p_partkey % 8",
-    "max_ring_size": "p_partkey % 20", "carbons": "p_size", "heteroatoms": "p_partkey % 17", "non_carbon_ratio": "(p_partkey % 30) / 10.0", "charged_groups": "p_partkey % 6",
-    "formal_charge": "(p_partkey % 11) - 5", "stereo_centers": "p_partkey % 4", "atoms": "p_size * 2", "refractivity": "p_size * 4", "aromatic_bonds": "p_size % 20", "heavy_atoms": "p_size + 5",
-    "aromatic_rings": "p_partkey % 7", "fused_aromatic_rings": "p_partkey % 4", "heavy_metals": "p_partkey % 2", "charged_atoms": "p_partkey % 4",
-}
-
-
-def _filter_query(name: str) -> tuple[Query, str]:
-    chosen = rules.RULE_SETS[name]
-
-    def run(spark, sf_dir):
-        part = table(spark, sf_dir, "part")
-        described = part.select("p_partkey", *[F.expr(f"cast({STAND_INS[n]} as double)").alias(n) for n, _, _ in chosen.rules])
-        out = rules.apply_rules(described, name, return_type="condition_indicators")
-        return out.select("p_partkey", "passed", *[rules.rule_name(*r) for r in chosen.rules])
-
-    tests = [" AND ".join([f"({STAND_INS[n]})::DOUBLE >= {lo}"] * (lo is not None) + [f"({STAND_INS[n]})::DOUBLE <= {hi}"] * (hi is not None)) for n, lo, hi in chosen.rules]
-    kept = " + ".join(f"(CASE WHEN {t} THEN 1 ELSE 0 END)" for t in tests)
-    each = ", ".join(f"{t} AS {rules.rule_name(*r)}" for t, r in zip(tests, chosen.rules, strict=True))
-    return run, f"SELECT p_partkey, {kept} >= {len(tests) - int(chosen.lenient)} AS passed, {each} FROM part"
-
-
 def labelled(spark, sf_dir):
     """(task, y, p, s) in long form: two tasks, a hard prediction and a score from text length."""
     joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
@@ -234,15 +209,101 @@ def ad_knn(spark, sf_dir):
     return out.select("vec_id", F.round("score", 6).alias("score"), "inside")
 
 
-def _matrix_domain(make: Callable) -> Query:
+def _matrix_domain(make: Callable, score: bool = True, inside: bool = True) -> Query:
     def run(spark, sf_dir):
         train, test = _train_test(spark, sf_dir)
         m = make(train)
-        return m.predict(test, "x").select("vec_id", "inside")
+        out = m.predict(m.score(test, "x"), "x")
+        return out.select("vec_id", *([F.round("score", 6).alias("score")] if score else []), *(["inside"] if inside else []))
 
     return run
 
 
+def _inverse_sql(name: str, size: int) -> str:
+    """CTEs that invert the symmetric positive matrix ``m`` of the table ``name``(i, j, e) by elimination: inv(r) has its rows."""
+    rows = f"SELECT i, list(e ORDER BY j) AS r FROM {name} GROUP BY i"
+    start = f"list_concat(r, list_transform(range(1, {size + 1}), lambda j: CASE WHEN j = i THEN 1.0 ELSE 0.0 END::DOUBLE))"
+    pivot = "list_transform(a[k], lambda v: v / a[k][k])"
+    step = "list_transform(a, lambda r, i: CASE WHEN i = k THEN p ELSE list_transform(r, lambda v, j: v - r[k] * p[j]) END)"
+    return f"""s0 AS (SELECT list({start} ORDER BY i) AS a FROM ({rows})), e0(k, a) AS (SELECT 1, a FROM s0 UNION ALL SELECT k + 1, {step} FROM (SELECT k, a, {pivot} AS p FROM e0 WHERE k <= {size})),
+inv AS (SELECT list_transform(a, lambda r: r[{size + 1}:{2 * size}]) AS q FROM e0 WHERE k = {size + 1})"""
+
+
+_FORM = "list_inner_product({x}, list_transform(q, lambda r: list_inner_product(r, {x})))"
+_TRAIN_U = f"{V}, u AS (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(x) AS e FROM v WHERE label < 5)"
+AD_LEVERAGE_SQL = f"""WITH RECURSIVE {_TRAIN_U}, n AS (SELECT count(*)::DOUBLE AS n FROM v WHERE label < 5), m AS (SELECT a.i, b.i AS j, sum(a.e * b.e) AS e FROM u a JOIN u b USING (vec_id) GROUP BY a.i, b.i), {_inverse_sql("m", 64)},
+z AS (SELECT vec_id, {_FORM.format(x="x")} AS s FROM v, inv WHERE label >= 5) SELECT vec_id, round(s, 6) AS score, s <= 3 * 65 / n AS inside FROM z, n"""
+AD_HOTELLING_SQL = f"""WITH RECURSIVE {_TRAIN_U}, c AS (SELECT i, avg(e) AS c FROM u GROUP BY i), w AS (SELECT vec_id, i, e - c AS e FROM u JOIN c USING (i)),
+m AS (SELECT a.i, b.i AS j, sum(a.e * b.e) / (count(*) - 1) AS e FROM w a JOIN w b USING (vec_id) GROUP BY a.i, b.i), {_inverse_sql("m", 64)}, k AS (SELECT list(c ORDER BY i) AS middle FROM c),
+z AS (SELECT vec_id, list_transform(x, lambda e, i: e - middle[i]) AS x FROM v, k WHERE label >= 5) SELECT vec_id, round({_FORM.format(x="x")}, 6) AS score FROM z, inv"""
+AD_TOPKAT_SQL = f"""WITH RECURSIVE {_TRAIN_U}, c AS (SELECT i, min(e) AS lo, max(e) AS hi FROM u GROUP BY i), k AS (SELECT list(lo ORDER BY i) AS lo, list(hi ORDER BY i) AS hi FROM c), n AS (SELECT count(*)::DOUBLE AS n FROM v WHERE label < 5),
+y AS (SELECT vec_id, label, list_append(list_transform(x, lambda e, i: (2 * e - lo[i] - hi[i]) / (hi[i] - lo[i])), 1.0::DOUBLE) AS x FROM v, k), w AS (SELECT vec_id, unnest(range(1, 66)) AS i, unnest(x) AS e FROM y WHERE label < 5),
+m AS (SELECT a.i, b.i AS j, sum(a.e * b.e) AS e FROM w a JOIN w b USING (vec_id) GROUP BY a.i, b.i), {_inverse_sql("m", 65)}, z AS (SELECT vec_id, {_FORM.format(x="x")} AS s FROM y, inv WHERE label >= 5) SELECT vec_id, round(s, 6) AS score, s < 5 * 64 / (2 * n) AS inside FROM z, n"""
+AD_KNN_SQL = f"""WITH {V}, t AS (SELECT q.vec_id AS i, q.label AS l, r.vec_id AS j, list_inner_product(q.b, r.b) AS a, list_sum(q.b) + list_sum(r.b) - list_inner_product(q.b, r.b) AS o FROM v q, v r WHERE r.label < 5),
+d AS (SELECT i, l, j, round((1 - CASE WHEN o = 0 THEN 1 ELSE a / o END)::DOUBLE, 9) AS d FROM t), k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM d),
+f AS (SELECT quantile_cont(s, 0.95) AS f FROM (SELECT avg(d) AS s FROM k WHERE l < 5 AND rank IN (2, 3) GROUP BY i))
+SELECT i AS vec_id, round(s, 6) AS score, s <= f AS inside FROM (SELECT i, avg(d) AS s FROM k WHERE l >= 5 AND rank <= 3 AND i % {EVERY} = 0 GROUP BY i), f"""
+
+
+def ad_centroid_metrics(spark, sf_dir):
+    """A column for each metric but the plain one: the distance of every test vector to the training mean."""
+    v = vectors(spark, sf_dir)
+    bits = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: (x > 0).cast("double")).alias("x"))
+    out = v.filter("label >= 5").select("vec_id", "x").join(bits.select("vec_id", F.col("x").alias("bits")), "vec_id")
+    for name in CENTROID_SQL:
+        column, train = ("bits", bits) if name in BIT_METRICS else ("x", v)
+        out = domain.distance_to_centroid(train.filter("label < 5"), "x", 1.0, name).score(out, column, name)
+    return out.select("vec_id", *(F.round(name, 6).alias(name) for name in CENTROID_SQL))
+
+
+#: Metrics over entries that are 0 or not; the centroid of bits has hardly a 0.
+BIT_METRICS = ("hamming", "dice", "jaccard", "rogerstanimoto", "russellrao", "sokalmichener", "sokalsneath", "yule")
+def _against(x: str) -> str:
+    """CTEs b_x: sums of each test vector ``x`` against the mean of the training ones."""
+    return f"""c_{x} AS (SELECT list(m ORDER BY i) AS middle FROM (SELECT i, avg(e) AS m FROM (SELECT unnest(range(1, 65)) AS i, unnest({x}) AS e FROM v WHERE label < 5) GROUP BY i)), z_{x} AS (SELECT vec_id, unnest({x}) AS x, unnest(middle) AS c FROM v, c_{x} WHERE label >= 5),
+b_{x} AS (SELECT vec_id, sum((x <> 0 AND c <> 0)::INT)::DOUBLE AS t, sum((x <> 0 AND c = 0)::INT)::DOUBLE AS tf, sum((x = 0 AND c <> 0)::INT)::DOUBLE AS ft, sum((x = 0 AND c = 0)::INT)::DOUBLE AS f, sum((x <> c)::INT)::DOUBLE AS ne, sum((x <> c AND (x <> 0 OR c <> 0))::INT)::DOUBLE AS ne_any,
+corr(x, c) AS r, sum(abs(x-c)) AS man, max(abs(x-c)) AS che, sum((x-c)*(x-c)) AS sq, sum(abs(x+c)) AS plus, sum(CASE WHEN x = 0 AND c = 0 THEN 0 ELSE abs(x-c)/(abs(x)+abs(c)) END) AS can, sum(x*c)/sqrt(sum(x*x)*sum(c*c)) AS cos FROM z_{x} GROUP BY vec_id)"""
+
+
+CENTROID_SQL = {
+    "braycurtis": "man/plus", "canberra": "can", "chebyshev": "che", "cityblock": "man", "correlation": "1-r", "cosine": "1-cos", "euclidean": "sqrt(sq)", "sqeuclidean": "sq", "minkowski": "sqrt(sq)",
+    "hamming": "ne/64", "dice": "ne/(2*t+ne)", "jaccard": "ne_any/(t+tf+ft)", "rogerstanimoto": "2*(tf+ft)/(t+f+2*(tf+ft))", "russellrao": "1-t/64", "sokalmichener": "2*(tf+ft)/(t+f+2*(tf+ft))", "sokalsneath": "CASE WHEN t+tf+ft = 0 THEN 0 ELSE (tf+ft)/(0.5*t+tf+ft) END", "yule": "CASE WHEN tf*ft = 0 THEN 0 ELSE 2*tf*ft/(t*f+tf*ft) END",
+}
+
+
+def _members(spark, sf_dir: str) -> DataFrame:
+    """The numbers of a vector as the predictions of 64 members."""
+    return vectors(spark, sf_dir).select("vec_id", F.explode("x").alias("value"))
+
+
+def ad_ensemble_spread(spark, sf_dir):
+    return domain.ensemble_spread(_members(spark, sf_dir), "vec_id", "value").select("vec_id", F.round("score", 6).alias("score"), "inside")
+
+
+def ad_prob_std(spark, sf_dir):
+    out = domain.prob_std(_members(spark, sf_dir).withColumn("value", F.col("value") + F.col("vec_id") % 4), "vec_id", "value")
+    return out.select("vec_id", F.round("score", 6).alias("score"), "inside")
+
+
+#: The normal tail by Simpson's rule over 2,000 steps from 0.
+PROB_SQL = f"""WITH {V}, s AS (SELECT vec_id, avg(e) AS m, stddev_pop(e) AS d FROM (SELECT vec_id, unnest(x) + vec_id % 4 AS e FROM v) GROUP BY vec_id), z AS (SELECT vec_id, abs((0.5 - m) / d) AS z FROM s),
+i AS (SELECT vec_id, 0.5 - any_value(z) / 6000 / sqrt(2 * pi()) * sum((CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-(z * k / 2000) * (z * k / 2000) / 2)) AS t FROM z, (SELECT range AS k FROM range(2001)) GROUP BY vec_id)
+SELECT vec_id, round(t, 6) AS score, t <= 0.1 AS inside FROM i"""
+
+
+def ad_convex_hull(spark, sf_dir):
+    """Price and size of parts against the hull of the others of their brand's first kind."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.array(F.col("p_retailprice"), F.col("p_size").cast("double")).alias("x"))
+    inside = domain.convex_hull(p.filter("p_partkey % 50 = 0"), "x")
+    return inside(p.filter("p_partkey % 50 <> 0"), "x").select("p_partkey", "inside")
+
+
+#: A point is in a plane hull if no half turn around it is free of points.
+HULL_SQL = """WITH p AS (SELECT p_partkey, p_retailprice AS x, p_size::DOUBLE AS y FROM part), a AS (SELECT q.p_partkey, atan2(t.y - q.y, t.x - q.x) AS w, t.x = q.x AND t.y = q.y AS same FROM p q, p t WHERE q.p_partkey % 50 <> 0 AND t.p_partkey % 50 = 0),
+g AS (SELECT p_partkey, same, w, coalesce(lead(w) OVER k, first(w) OVER k + 2 * pi()) - w AS gap FROM a WINDOW k AS (PARTITION BY p_partkey ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT p_partkey, bool_or(same) OR max(gap) <= pi() + 1e-9 AS inside FROM g GROUP BY p_partkey"""
+
+
 def split_groups(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
     n = d.count()
@@ -286,53 +347,38 @@ def split_butina(spark, sf_dir):
     return splits.butina_split(v, "vec_id", "bits", n // 10, n // 5).select("vec_id", "subset")
 
 
-#: Small molecules whose descriptors are known.
-MOLECULES = ["CCO", "c1ccccc1", "CC(=O)Nc1ccc(O)cc1", "C1CC1", "c1cc[nH]c1", "C#N", "CC(C)(C)C", "CC(=O)Oc1ccccc1C(=O)O", "CN1C=NC2=C1C(=O)N(C(=O)N2C)C", "CCCCCC"]
-
-
-def molecules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(MOLECULES)), "mol_id long, smiles string")
-
-
-def descriptors(spark, sf_dir):
-    out = fingerprints.describe(molecules(spark), "mol_id", "smiles")
-    return out.select("mol_id", *[F.round(c, 4).alias(c) for c in out.columns if c != "mol_id"])
-
-
-TOPOLOGY_SQL = "SELECT * FROM (VALUES (0::BIGINT, 4.0::DOUBLE, 0.0::DOUBLE, 6.0::DOUBLE), (1, 27, 1, 24), (2, 166, 1, 50), (3, 3, 1, 12), (4, 15, 1, 20), (5, 1, 0, 2), (6, 16, 0, 20), (7, 246, 1, 60), (8, 258, 2, 76), (9, 35, 0, 18)) t(mol_id, wiener_index, number_of_rings, zagreb_index_m1)"
-
-
-def topology(spark, sf_dir):
-    return fingerprints.describe(molecules(spark), "mol_id", "smiles", ("wiener_index", "number_of_rings", "zagreb_index_m1"))
-
-
 def _fingerprint_query(kind: str) -> Query:
-    return lambda spark, sf_dir: fingerprints.fingerprint(molecules(spark), "mol_id", "smiles", kind, count=True)
+    return lambda spark, sf_dir: fingerprints.fingerprint(molecules.molecules(spark, sf_dir), "p_partkey", "smiles", kind, count=True)
 
 
 def _all() -> tuple[dict[str, Query], dict[str, str]]:
     q, s = _similarity_queries()
-    for name in rules.RULE_SETS:
-        q[f"filter_{name}"], s[f"filter_{name}"] = _filter_query(name)
     q |= {"lingo": lingo_names, "folded_shingles": folded_words, "knn_tanimoto": knn_tanimoto, "tanimoto_threshold_join": threshold_join, "metrics_confusion": confusion, "metrics_regression": regression, "metrics_ranking": ranking, "metrics_screening": screening}
     q |= {"ad_bounding_box": ad_bounding_box, "ad_centroid": ad_centroid, "ad_response_range": ad_response_range, "ad_knn": ad_knn}
-    q |= {f"ad_{f.__name__}": _matrix_domain(lambda t, f=f: f(t, "x")) for f in (domain.leverage, domain.hotelling_t2, domain.pca_box, domain.topkat)}
+    q |= {"ad_leverage": _matrix_domain(lambda t: domain.leverage(t, "x")), "ad_hotelling_t2": _matrix_domain(lambda t: domain.hotelling_t2(t, "x"), inside=False), "ad_topkat": _matrix_domain(lambda t: domain.topkat(t, "x"))}
+    q |= {"ad_pca_box": _matrix_domain(lambda t: domain.pca_box(t, "x"), score=False), "ad_ensemble_spread": ad_ensemble_spread, "ad_prob_std": ad_prob_std, "ad_convex_hull": ad_convex_hull}
+    q["ad_centroid_metrics"] = ad_centroid_metrics
+    plain = ", ".join(f"round(({e})::DOUBLE, 6) AS {name}" for name, e in CENTROID_SQL.items() if name not in BIT_METRICS)
+    bits = ", ".join(f"round(({e})::DOUBLE, 6) AS {name}" for name, e in CENTROID_SQL.items() if name in BIT_METRICS)
+    s["ad_centroid_metrics"] = f"WITH {V}, {_against('x')}, {_against('b')} SELECT * FROM (SELECT vec_id, {plain} FROM b_x) JOIN (SELECT vec_id, {bits} FROM b_b) USING (vec_id)"
+    s |= {"ad_leverage": AD_LEVERAGE_SQL, "ad_hotelling_t2": AD_HOTELLING_SQL, "ad_topkat": AD_TOPKAT_SQL, "ad_knn": AD_KNN_SQL, "ad_prob_std": PROB_SQL, "ad_convex_hull": HULL_SQL}
+    s["ad_ensemble_spread"] = f"WITH {V} SELECT vec_id, round(s, 6) AS score, s <= 1 AS inside FROM (SELECT vec_id, stddev_pop(e) AS s FROM (SELECT vec_id, unnest(x) AS e FROM v) GROUP BY vec_id)"
     q |= {"split_group_fill": split_groups, "split_time": split_time, "split_randomized_groups": split_randomized, "split_maxmin": split_maxmin, "split_stratified_maxmin": split_stratified, "split_butina": split_butina}
-    q |= {"molecule_descriptors": descriptors, "molecule_topology": topology} | {f"fingerprint_{k}": _fingerprint_query(k) for k in fingerprints.KINDS}
+    q |= {f"fingerprint_{k}": _fingerprint_query(k) for k in fingerprints.KINDS}
     s |= {
         "lingo": "WITH n AS (SELECT p_partkey, replace(replace(regexp_replace(p_name, '[1-9]', '0', 'g'), 'Cl', 'L'), 'Br', 'R') AS t FROM part), g AS (SELECT p_partkey, unnest(list_transform(range(1, greatest(length(t) - 2, 1)), lambda i: substr(t, i::INT, 4))) AS gram FROM n) SELECT p_partkey, (('0x' || right(sha1(gram), 3))::INT & 1023)::INT AS bit, count(*) AS count FROM g GROUP BY 1, 2",
         "folded_shingles": "WITH g AS (SELECT p_partkey, sha256(unnest(string_split(p_name, ' '))) AS h FROM part) SELECT p_partkey, (('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2])::BIGINT % 1024)::INT AS bit, count(*) AS count FROM g GROUP BY 1, 2",
         "knn_tanimoto": f"WITH {BITS_SQL}, d AS (SELECT i, j, round((1 - ({BINARY_SQL['tanimoto']}))::DOUBLE, 9) AS distance FROM t WHERE i <> j), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY distance, j)::INT AS rank FROM d) SELECT i, j, round(distance, 6) AS distance, rank FROM r WHERE rank <= 5",
         "tanimoto_threshold_join": f"WITH {V}, c AS (SELECT vec_id, b, list_sum(b) AS n, min(vec_id) OVER (PARTITION BY b) AS class_id FROM v), m AS (SELECT q.vec_id, q.class_id, q.n + r.n - list_inner_product(q.b, r.b) AS u, list_inner_product(q.b, r.b) AS a FROM c q, c r) SELECT vec_id, class_id, count(*) - 1 AS n_links FROM m WHERE CASE WHEN u = 0 THEN 1 ELSE a / u END >= 0.4 GROUP BY 1, 2",
         "metrics_confusion": CONFUSION_SQL, "metrics_regression": REGRESSION_SQL, "metrics_ranking": RANKING_SQL, "metrics_screening": SCREENING_SQL,
-        "ad_bounding_box": AD_BOX_SQL, "ad_centroid": AD_CENTROID_SQL, "ad_response_range": AD_RESPONSE_SQL, "split_group_fill": SPLIT_GROUPS_SQL, "split_time": SPLIT_TIME_SQL, "molecule_topology": TOPOLOGY_SQL,
+        "ad_bounding_box": AD_BOX_SQL, "ad_centroid": AD_CENTROID_SQL, "ad_response_range": AD_RESPONSE_SQL, "split_group_fill": SPLIT_GROUPS_SQL, "split_time": SPLIT_TIME_SQL,
     }
     return q, s
 
 
 def queries() -> dict[str, Query]:
-    return _all()[0] | sources.QUERIES
+    return _all()[0] | molecules.QUERIES | sources.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _all()[1] | sources.SQL
+    return _all()[1] | molecules.SQL | sources.SQL

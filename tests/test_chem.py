@@ -5,6 +5,8 @@ import pytest
 
 from retort.chem import descriptors as D
 from retort.chem import fingerprints as P
+from retort.chem import properties, smarts, substructure
+from retort.chem.rings import molecule
 from retort.chem.smiles import SmilesError, largest_fragment, parse
 
 
@@ -39,8 +41,8 @@ def test_distances_against_floyd():
 def test_fingerprints_ignore_atom_order():
     for kind in P.KINDS.values():
         assert kind(parse("OCC")) == kind(parse("CCO"))
-    assert P.scaffold_key("CCc1ccccc1") == P.scaffold_key("c1ccccc1O")
-    assert P.scaffold_key("CCO") == ""
+    assert P.scaffold_key(molecule("CCc1ccccc1")) == P.scaffold_key(molecule("C1=CC=CC=C1O"))
+    assert P.scaffold_key(molecule("CCO")) == ""
     assert largest_fragment("[Na+].CCO") == "CCO"
 
 
@@ -54,3 +56,51 @@ def test_describe_gives_nulls(spark):
     df = spark.createDataFrame([(1, "CCO"), (2, "not smiles"), (3, None)], "id long, s string")
     got = {r["id"]: r["wiener_index"] for r in P.describe(df, "id", "s", ("wiener_index",)).collect()}
     assert got == {1: 4.0, 2: None, 3: None}
+
+
+@pytest.mark.parametrize("text, rings, aromatic", [("C1=CC=CC=C1", [6], 6), ("CN1C=NC2=C1C(=O)N(C(=O)N2C)C", [5, 6], 9), ("C1=CC=C2C=CC=CC2=C1", [6, 6], 10), ("C1=CNC=C1", [5], 5), ("O=C1C=CC(=O)C=C1", [6], 0), ("c1cc2ccc3cccc4ccc(c1)c2c34", [6, 6, 6, 6], 16), ("C12C3C4C1C5C2C3C45", [4] * 5, 0)])
+def test_rings_and_aromaticity(text, rings, aromatic):
+    m = molecule(text)
+    assert sorted(map(len, m.rings)) == rings and sum(m.aromatic) == aromatic
+
+
+@pytest.mark.parametrize("smiles, logp, tpsa, flexible", [("CC(=O)Nc1ccc(O)cc1", 1.3506, 49.33, 1), ("CN1C=NC2=C1C(=O)N(C(=O)N2C)C", -1.0293, 61.82, 0), ("CC(=O)Oc1ccccc1C(=O)O", 1.3101, 63.6, 2), ("CC(C)CC1=CC=C(C=C1)C(C)C(=O)O", 3.0732, 37.3, 4), ("c1ncccc1[C@@H]2CCCN2C", 1.8483, 16.13, 1)])
+def test_known_properties(smiles, logp, tpsa, flexible):
+    m = molecule(smiles)
+    assert (round(properties.logp(m), 4), round(properties.tpsa(m), 2), properties.rotatable_bonds(m)) == (logp, tpsa, flexible)
+
+
+@pytest.mark.parametrize("smiles, j, k1, k2, k3", [("CC", 1, 2, 0, 0), ("CCO", 1.633, 2.96, 1.96, 1.96), ("O=C=O", 3.266, 2.38, 1.38, 1.38), ("c1ccccc1", 3, 3.412, 1.606, 0.582), ("CC(=O)O", 2.803, 3.47, 0.875, 1.156), ("CC(C)C", 2.324, 4, 1.333, 0), ("c1ccncc1", 3, 3.344, 1.553, 0.549)])
+def test_shape_indices(smiles, j, k1, k2, k3):
+    m = molecule(smiles)
+    got = [D.balaban_j_index(m), properties.kappa1_index(m), properties.kappa2_index(m), properties.kappa3_index(m)]
+    assert got == pytest.approx([j, k1, k2, k3], abs=1e-3)
+
+
+@pytest.mark.parametrize("text, smiles, n", [("[#6]", "c1ccccc1", 6), ("C(=O)O", "CC(=O)Oc1ccccc1C(=O)O", 2), ("[R2]", "c1ccc2ccccc2c1", 2), ("[r5]", "c1ccc2[nH]ccc2c1", 5), ("C=,#N", "CC#N", 1), ("[#6]!@[#6]", "CC1CC1", 1), ("[NX3;H2,H1;!$(NC=O)]", "CC(=O)NCCN", 1), ("C.O", "CO", 1), ("[x3]", "c1ccc2ccccc2c1", 2), ("[H]", "[H][H]", 2), ("[CH2X4]a", "CCc1ccccc1", 1), ("c1ccccc1", "c1ccc2ccccc2c1", 2)])
+def test_patterns(text, smiles, n):
+    assert smarts.pattern(text).count(smarts.View(molecule(smiles))) == n
+
+
+@pytest.mark.parametrize("text", ["", "[", "C(", "C)", "C1", "[Qq]", "[$(C]", "C?C"])
+def test_bad_patterns(text):
+    with pytest.raises((smarts.SmartsError, KeyError)):
+        smarts.pattern(text)
+
+
+def test_pattern_filter_of_molecules(spark):
+    df = spark.createDataFrame([(1, "CCO"), (2, "CC(=O)O"), (3, "C(=O)(O)CC(=O)O"), (4, "no molecule"), (5, None)], "id long, s string")
+    unwanted = [("acid", "C(=O)[OH]", 1, True), ("two", "[OH]", 2, True), ("flag", "[OH]", 1, False)]
+    run = lambda **o: {r["id"]: r["passed"] for r in substructure.filter_by_patterns(df, "id", "s", unwanted, return_type="indicators", errors="ignore", **o).collect()}
+    assert run() == {1: True, 2: False, 3: False, 4: False, 5: False}
+    assert run(allow_one_violation=True) == {1: True, 2: True, 3: False, 4: False, 5: False}
+    assert run(severity=1)[1] is False
+    with pytest.raises(Exception, match="unexpected"):
+        substructure.filter_by_patterns(df, "id", "s", unwanted).collect()
+
+
+def test_burden_matrix_of_wrong_input():
+    with pytest.raises(ValueError):
+        D.burden_matrix(molecule("O"), [1.0, 2.0, 3.0])
+    with pytest.raises(ValueError):
+        D.burden_matrix(molecule("[Rh-](Cl)(Cl)(Cl)(Cl)$[Rh-](Cl)(Cl)(Cl)Cl"))

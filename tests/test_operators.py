@@ -143,4 +143,4 @@ def test_threshold_links_of_all_vectors(spark, tmp_path):
     union = bits.sum(1)[:, None] + bits.sum(1) - both
     links = (np.where(union == 0, 1, both / np.maximum(union, 1)) >= 0.4).sum(1) - 1
     want = {(i + 1, min(j + 1 for j in range(120) if (bits[j] == bits[i]).all()), int(links[i])) for i in range(120)}
-    assert {tuple(r) for r in catalog.queries()["tanimoto_threshold_links"](spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in catalog.queries()["tanimoto_threshold_join"](spark, str(tmp_path)).collect()} == want
