@@ -1,4 +1,4 @@
-"""Graph fingerprints on own hashes: circular, atom pairs, torsions, linear paths; shapes from coordinates.
+"""Graph fingerprints on own hashes: circular, atom pairs, torsions, linear paths; rule filters and scaffolds of molecules.
 
 Feature numbers come from BLAKE2 over a written form, so they are the same everywhere but are
 not those of any other package.
@@ -10,7 +10,6 @@ import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,44 +85,32 @@ def linear_paths(m: Molecule, least: int = 1, most: int = 7) -> Counter:
     return out
 
 
-KINDS: dict[str, Callable[..., Counter]] = {"circular": circular, "atom_pairs": atom_pairs, "torsions": torsions, "linear_paths": linear_paths}
-
-
-def usr(coordinates: np.ndarray) -> list[float]:
-    """Mean, deviation and cube root of the third moment of distances to the center, the atom
-    nearest it, the atom farthest from it and the atom farthest from that one."""
-    x = np.asarray(coordinates, float)
-    if len(x) < 3:
-        raise ValueError("a shape needs three atoms")
-    to = lambda p: np.sqrt(((x - p) ** 2).sum(1))
-    center = to(x.mean(0))
-    nearest, farthest = x[center.argmin()], x[center.argmax()]
-    last = x[to(farthest).argmax()]
-    out = []
-    for d in (center, to(nearest), to(farthest), to(last)):
-        out += [float(d.mean()), float(d.std()), float(np.cbrt(((d - d.mean()) ** 3).mean()))]
+def layered(m: Molecule, least: int = 1, most: int = 7) -> Counter:
+    """Linear paths in layers that tell apart ever more: length, bond orders, elements, rings, ring sizes, aromaticity."""
+    order = {frozenset((i, j)): o for i, j, o in m.bonds}
+    sizes: list[list[int]] = [[] for _ in m.symbols]
+    for r in m.rings or ():
+        for a in r:
+            sizes[a].append(len(r))
+    cyclic = {frozenset(e) for r in m.rings or () for e in zip(r, r[1:] + r[:1], strict=True)}
+    layers = (
+        lambda a: 0, lambda a: m.symbols[a], lambda a: (m.symbols[a], bool(sizes[a])), lambda a: (m.symbols[a], min(sizes[a], default=0)), lambda a: (m.symbols[a], m.aromatic[a]),
+    )
+    out: Counter = Counter()
+    for bonds in range(least, most + 1):
+        for w in _walks(m, bonds + 1):
+            ties = [order[frozenset(e)] for e in zip(w, w[1:], strict=False)]
+            marks = [(o, frozenset(e) in cyclic) for o, e in zip(ties, zip(w, w[1:], strict=False), strict=True)]
+            for k, atom in enumerate(layers):
+                edges = [0] * bonds if k == 0 else marks if k == 3 else ties
+                key = [x for i, a in enumerate(w) for x in ([edges[i - 1]] if i else []) + [atom(a)]]
+                out[number(k, min(repr(key), repr(key[::-1])))] += 1
+            key = ties
+            out[number("order", min(repr(key), repr(key[::-1])))] += 1
     return out
 
 
-def electroshape(coordinates: np.ndarray, charges: np.ndarray, scaling: float = 25.0) -> list[float]:
-    """Moments of distances in space and scaled charge to five centroids."""
-    x = np.column_stack([np.asarray(coordinates, float), scaling * np.asarray(charges, float)])
-    if len(x) < 3:
-        raise ValueError("a shape needs three atoms")
-    to = lambda p: np.sqrt(((x - p) ** 2).sum(1))
-    c1 = x.mean(0)
-    c2 = x[to(c1).argmax()]
-    c3 = x[to(c2).argmax()]
-    a, b = c2 - c1, c3 - c1
-    cross = np.cross(a[:3], b[:3])
-    size = np.linalg.norm(cross)
-    c = np.linalg.norm(a) / 2 * (cross / size if size else cross)
-    q = x[:, 3]
-    out = []
-    for p in (c1, c2, c3, np.append(c1[:3] + c, q.max()), np.append(c1[:3] + c, q.min())):
-        d = to(p)
-        out += [float(d.mean()), float(d.std()), float(np.cbrt(((d - d.mean()) ** 3).mean()))]
-    return out
+KINDS: dict[str, Callable[..., Counter]] = {"circular": circular, "atom_pairs": atom_pairs, "torsions": torsions, "linear_paths": linear_paths, "layered": layered}
 
 
 def fingerprint(df: DataFrame, id_col: str, smiles: str, kind: str = "circular", fp_size: int = 2048, count: bool = False, errors: str = "raise", **options) -> DataFrame:

@@ -334,11 +334,11 @@ def split_randomized(spark, sf_dir):
 def split_maxmin(spark, sf_dir):
     v = vectors(spark, sf_dir).select("vec_id", "bits")
     n = v.count()
-    return splits.maxmin_split(v, "vec_id", "bits", n // 10, n // 20).select("vec_id", "subset")
+    return splits.maxmin_split(v, "vec_id", "bits", n // 20, n // 10, start=v.agg(F.min("vec_id")).first()[0]).select("vec_id", "subset")
 
 
 def split_stratified(spark, sf_dir):
-    return splits.stratified_maxmin_split(vectors(spark, sf_dir).select("vec_id", "bits", "label"), "vec_id", "bits", "label").select("vec_id", "subset")
+    return splits.stratified_maxmin_split(vectors(spark, sf_dir).select("vec_id", "bits", "label"), "vec_id", "bits", "label", 0.1, 0.1, from_least=True).select("vec_id", "subset")
 
 
 def split_butina(spark, sf_dir):
@@ -347,6 +347,27 @@ def split_butina(spark, sf_dir):
     return splits.butina_split(v, "vec_id", "bits", n // 10, n // 5).select("vec_id", "subset")
 
 
+def _apart(x: str, y: str) -> str:
+    """Tanimoto distance of two bit lists with their sums beside them."""
+    both = f"list_inner_product({x}, {y})"
+    return f"CASE WHEN list_sum({x}) + list_sum({y}) = {both} THEN 0 ELSE 1 - {both} / (list_sum({x}) + list_sum({y}) - {both}) END"
+
+
+#: Picks one after the other; near has the distance of each vector to the picks so far, -1 for those.
+SPLIT_MAXMIN_SQL = f"""WITH RECURSIVE {V}, a AS (SELECT list(b ORDER BY vec_id) AS vs, list(vec_id ORDER BY vec_id) AS ids, count(*) AS n FROM v),
+s(k, pick, near) AS (SELECT 1, 1::BIGINT, list_transform(vs, lambda b: 9.0::DOUBLE) FROM a UNION ALL SELECT k + 1, list_position(x, list_max(x))::BIGINT, x FROM (SELECT k, list_transform(near, lambda d, i: CASE WHEN i = pick OR d < 0 THEN -1.0 ELSE least(d, {_apart("vs[i]", "vs[pick]")}) END::DOUBLE) AS x FROM s, a WHERE k < n // 20 + n // 10)),
+p AS (SELECT ids[pick] AS vec_id, CASE WHEN k <= n // 20 THEN 'test' ELSE 'valid' END AS subset FROM s, a) SELECT vec_id, coalesce(subset, 'train') AS subset FROM v LEFT JOIN p USING (vec_id)"""
+SPLIT_STRATIFIED_SQL = f"""WITH RECURSIVE {V}, a AS (SELECT label, list(b ORDER BY vec_id) AS vs, list(vec_id ORDER BY vec_id) AS ids, greatest(1, floor(count(*) * 0.1))::BIGINT AS m FROM v GROUP BY label),
+s(label, k, pick, near) AS (SELECT label, 1, 1::BIGINT, list_transform(vs, lambda b: 9.0::DOUBLE) FROM a UNION ALL SELECT label, k + 1, list_position(x, list_max(x))::BIGINT, x FROM (SELECT s.label, k, list_transform(near, lambda d, i: CASE WHEN i = pick OR d < 0 THEN -1.0 ELSE least(d, {_apart("vs[i]", "vs[pick]")}) END::DOUBLE) AS x FROM s JOIN a ON s.label = a.label WHERE k < 2 * m)),
+p AS (SELECT ids[pick] AS vec_id, CASE WHEN k <= m THEN 'test' ELSE 'valid' END AS subset FROM s JOIN a ON s.label = a.label) SELECT vec_id, coalesce(subset, 'train') AS subset FROM v LEFT JOIN p USING (vec_id)"""
+#: Leaders one after the other; free tells which vectors none covers.
+SPLIT_BUTINA_SQL = f"""WITH RECURSIVE {V}, a AS (SELECT list(b ORDER BY vec_id) AS vs, list(vec_id ORDER BY vec_id) AS ids, count(*) AS n FROM v),
+s(k, pick, free) AS (SELECT 1, 1::BIGINT, list_transform(vs, lambda b, i: {_apart("b", "vs[1]")} > 0.65) FROM a UNION ALL SELECT k + 1, p, list_transform(free, lambda f, i: f AND {_apart("vs[i]", "vs[p]")} > 0.65) FROM (SELECT k, free, list_position(free, true)::BIGINT AS p FROM s WHERE list_contains(free, true)), a),
+l AS (SELECT k, ids[pick] AS leader, vs[pick] AS lb FROM s, a), c AS (SELECT vec_id, leader AS cluster FROM (SELECT vec_id, leader, row_number() OVER (PARTITION BY vec_id ORDER BY {_apart("b", "lb")}, k) AS r FROM v, l) WHERE r = 1),
+g AS (SELECT cluster, count(*) AS size, min(vec_id) AS f FROM c GROUP BY cluster), o AS (SELECT cluster, size, coalesce(sum(size) OVER (ORDER BY size, f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g), t AS (SELECT coalesce(sum(size), 0) AS tested FROM o, a WHERE before < n // 5)
+SELECT vec_id, CASE WHEN before < n // 5 THEN 'test' WHEN before - tested < n // 10 THEN 'valid' ELSE 'train' END AS subset FROM c JOIN o USING (cluster), t, a"""
+
+
 def _fingerprint_query(kind: str) -> Query:
     return lambda spark, sf_dir: fingerprints.fingerprint(molecules.molecules(spark, sf_dir), "p_partkey", "smiles", kind, count=True)
 
@@ -371,7 +392,7 @@ def _all() -> tuple[dict[str, Query], dict[str, str]]:
         "knn_tanimoto": f"WITH {BITS_SQL}, d AS (SELECT i, j, round((1 - ({BINARY_SQL['tanimoto']}))::DOUBLE, 9) AS distance FROM t WHERE i <> j), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY distance, j)::INT AS rank FROM d) SELECT i, j, round(distance, 6) AS distance, rank FROM r WHERE rank <= 5",
         "tanimoto_threshold_join": f"WITH {V}, c AS (SELECT vec_id, b, list_sum(b) AS n, min(vec_id) OVER (PARTITION BY b) AS class_id FROM v), m AS (SELECT q.vec_id, q.class_id, q.n + r.n - list_inner_product(q.b, r.b) AS u, list_inner_product(q.b, r.b) AS a FROM c q, c r) SELECT vec_id, class_id, count(*) - 1 AS n_links FROM m WHERE CASE WHEN u = 0 THEN 1 ELSE a / u END >= 0.4 GROUP BY 1, 2",
         "metrics_confusion": CONFUSION_SQL, "metrics_regression": REGRESSION_SQL, "metrics_ranking": RANKING_SQL, "metrics_screening": SCREENING_SQL,
-        "ad_bounding_box": AD_BOX_SQL, "ad_centroid": AD_CENTROID_SQL, "ad_response_range": AD_RESPONSE_SQL, "split_group_fill": SPLIT_GROUPS_SQL, "split_time": SPLIT_TIME_SQL,
+        "ad_bounding_box": AD_BOX_SQL, "ad_centroid": AD_CENTROID_SQL, "ad_response_range": AD_RESPONSE_SQL, "split_group_fill": SPLIT_GROUPS_SQL, "split_maxmin": SPLIT_MAXMIN_SQL, "split_stratified_maxmin": SPLIT_STRATIFIED_SQL, "split_butina": SPLIT_BUTINA_SQL, "split_time": SPLIT_TIME_SQL,
     }
     return q, s
 

@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..chem import fingerprints, substructure
+from ..chem import fingerprints, shapes, substructure, vectors, writer
 from ..chem.tables import ATOM_TYPES
-from ..operators import rules, splits
+from ..functions.shingles import fold_shingles
+from ..operators import rules
 
 #: Family and length of a row's molecule, the same text in both engines.
 FAMILY, LENGTH = "(p_partkey % 6)", "(1 + (p_partkey // 6) % 30)"
@@ -187,7 +188,90 @@ def fragments(spark, sf_dir: str) -> DataFrame:
 
 FRAGMENTS_SQL = f"WITH {ROWS} SELECT p_partkey, {SMILES.format(f='f', n='n')} AS largest FROM r"
 
+#: The 42 quantum numbers of each family; those left out are 0.
+_NODES2 = _by_family("n-1", "n-1", "n-1", "n-1", "n", "3*n-1")  # acyclic atoms with two neighbours
+_ACCEPTORS = CLOSED["hba"]
+NUMBERS = {
+    0: _C, 2: _CL, 7: _N, 9: _O, 11: CLOSED["heavy_atoms"], 12: _by_family("n", "n", "n+1", "n", "n+1", "3*n"), 13: _by_family("0", "0", "1", "0", "0", "0"), 15: _by_family("0", "3", "0", "6", "0", "0"), 16: _by_family("0", "3", "0", "0", "0", "0"), 18: _FLEXIBLE,
+    19: _by_family("2", "0", "2", "0", "1", "2*(n+1)"), 20: _ACCEPTORS, 21: _by_family("1", "0", "1", "0", "2", "2"), 22: CLOSED["hbd"], 25: _by_family("2", "1", "3", "1", "2", "2"), 26: _NODES2, 27: _by_family("0", "0", "1", "0", "0", "0"),
+    29: _by_family("0", "5", "0", "5", "0", "0"), 30: _by_family("0", "1", "0", "1", "0", "0"), 35: _RINGS,
+}
+
+
+def quantum_numbers(spark, sf_dir: str) -> DataFrame:
+    return substructure.vector_fingerprint(molecules(spark, sf_dir), "p_partkey", "smiles", vectors.quantum_numbers)
+
+
+NUMBERS_SQL = f"WITH {ROWS} SELECT * FROM (" + " UNION ALL ".join(f"SELECT p_partkey, {i}::INT AS bit, ({v})::BIGINT AS count FROM r" for i, v in NUMBERS.items()) + ") WHERE count > 0"
+
+
+def states(spark, sf_dir: str) -> DataFrame:
+    """(p_partkey, bit, value): sums of electrotopological states by atom type."""
+    v = vectors.vector_descriptor(molecules(spark, sf_dir), "p_partkey", "smiles", vectors.state_sums)
+    return v.select("p_partkey", F.posexplode("vector").alias("bit", "value")).filter("value <> 0").select("p_partkey", "bit", F.round("value", 4).alias("value"))
+
+
+#: Type, outer electrons less hydrogens, row of the atom at each place: rings, ends and what lies between.
+_STATE = """CASE WHEN f = 0 THEN CASE WHEN i = a THEN 33 WHEN i = 1 THEN 6 ELSE 8 END WHEN f = 1 THEN CASE WHEN i = 6 THEN 16 WHEN i < 6 THEN 11 WHEN i = a THEN 6 ELSE 8 END
+WHEN f = 2 THEN CASE WHEN i = n+3 THEN 33 WHEN i = n+2 THEN 34 WHEN i = n+1 THEN 15 WHEN i = 1 THEN 6 ELSE 8 END WHEN f = 3 THEN CASE WHEN i = 6 THEN 12 WHEN i < 6 THEN 8 WHEN i = a THEN 6 ELSE 8 END
+WHEN f = 4 THEN CASE WHEN i = 1 THEN 20 WHEN i = a THEN 53 ELSE 8 END ELSE CASE WHEN i IN (1, a) THEN 33 WHEN i % 3 = 1 THEN 35 ELSE 8 END END"""
+_VALENT = "CASE t WHEN 33 THEN 5 WHEN 34 THEN 6 WHEN 35 THEN 6 WHEN 6 THEN 1 WHEN 8 THEN 2 WHEN 11 THEN 3 WHEN 12 THEN 3 WHEN 15 THEN 4 WHEN 16 THEN 4 WHEN 20 THEN 3 WHEN 53 THEN 7 END"
+STATES_SQL = f"""WITH {GRAPH}, q AS (SELECT v.f, v.n, v.i, {_STATE.replace(" a ", " v.a ").replace("= a", "= v.a").replace("(1, a)", "(1, v.a)").replace("f =", "v.f =").replace("n+", "v.n+").replace("i =", "v.i =").replace("i <", "v.i <").replace("i IN", "v.i IN").replace("i %", "v.i %")} AS t, deg FROM v JOIN e ON v.f = e.f AND v.n = e.n AND v.i = e.i),
+own AS (SELECT f, n, i, t, (CASE t WHEN 53 THEN 4.0/9 ELSE 1 END * ({_VALENT}) + 1) / deg::DOUBLE AS s FROM q), full_d AS (SELECT f, n, i, j, d FROM d UNION ALL SELECT f, n, j, i, d FROM d),
+every AS (SELECT x.f, x.n, x.i, any_value(x.t) AS t, any_value(x.s) + sum((x.s - y.s) / ((d + 1) * (d + 1))) AS s FROM full_d JOIN own x ON full_d.f = x.f AND full_d.n = x.n AND full_d.i = x.i JOIN own y ON full_d.f = y.f AND full_d.n = y.n AND full_d.j = y.i GROUP BY x.f, x.n, x.i),
+sums AS (SELECT f, n, t, sum(s) AS s FROM every GROUP BY f, n, t) SELECT p_partkey, t::INT AS bit, round(s, 4) AS value FROM r JOIN sums USING (f, n)"""
+
+
+def conformers(spark, sf_dir: str) -> DataFrame:
+    """(p_partkey, atoms, bonds): five atoms in a chain at places made of the key."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    atom = lambda k: F.struct(*(F.expr(e.format(k=k)).cast("double").alias(c) for c, e in PLACES.items()), F.lit(CHAIN[k][0]).alias("symbol"))
+    bonds = F.array(*(F.struct(F.lit(k).alias("i"), F.lit(k + 1).alias("j"), F.lit(1).alias("order")) for k in range(4)))
+    return part.select("p_partkey", F.array(*(atom(k) for k in range(5))).alias("atoms"), bonds.alias("bonds"))
+
+
+#: Coordinates in both engines, and the atoms with their intrinsic states.
+PLACES = {"x": "((p_partkey * ({k} + 3)) % 17) / 4.0D + {k}", "y": "((p_partkey * ({k} + 5)) % 13) / 3.0D", "z": "((p_partkey + {k} * {k}) % 11) / 2.0D"}
+CHAIN = (("C", 2.0), ("N", 2.5), ("C", 1.5), ("O", 3.5), ("C", 2.0))
+_PLACED = ", ".join(f"({e.format(k='k').replace('.0D', '.0::DOUBLE')})::DOUBLE AS {c}" for c, e in PLACES.items())
+_WEIGHED = ", ".join(f"({k}, {w}, {v}::DOUBLE)" for k, (s, state) in enumerate(CHAIN) for w, v in enumerate((1.0, *vectors.ELEMENT_WEIGHTS[s], state)))
+_PAIRS = f"""c AS (SELECT p_partkey, k, {_PLACED} FROM part, (SELECT range AS k FROM range(5))), w(k, w, v) AS (VALUES {_WEIGHED}),
+p AS (SELECT a.p_partkey, a.k AS i, b.k AS j, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS r FROM c a JOIN c b ON a.p_partkey = b.p_partkey AND a.k < b.k),
+o AS (SELECT p_partkey, u.w, u.v * q.v AS v, r FROM p JOIN w u ON u.k = i JOIN w q ON q.k = j AND q.w = u.w)"""
+
+
+def _shape(kind: str) -> Callable:
+    def run(spark, sf_dir: str) -> DataFrame:
+        out = shapes.shape_fingerprint(conformers(spark, sf_dir), "p_partkey", kind)
+        return out.select("p_partkey", F.posexplode("vector").alias("i", "value")).select("p_partkey", "i", F.round("value", 5).alias("value"))
+
+    return run
+
+
+RADIAL_SQL = f"WITH {_PAIRS} SELECT p_partkey, (w * 30 + k)::INT AS i, round(sum(v * exp(-100 * (1 + k / 2.0 - r) * (1 + k / 2.0 - r))), 5) AS value FROM o, (SELECT range AS k FROM range(30)) GROUP BY p_partkey, w, k"
+SCATTERING_SQL = f"WITH {_PAIRS} SELECT p_partkey, (w * 32 + k)::INT AS i, round(sum(v * CASE WHEN k = 0 OR r = 0 THEN 1 ELSE sin(k * r) / (k * r) END), 5) AS value FROM o, (SELECT range AS k FROM range(32)) GROUP BY p_partkey, w, k"
+_TO = "sqrt((c.x-{p}.x)*(c.x-{p}.x) + (c.y-{p}.y)*(c.y-{p}.y) + (c.z-{p}.z)*(c.z-{p}.z))"
+USR_SQL = f"""WITH {_PAIRS}, m AS (SELECT p_partkey, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM c GROUP BY p_partkey), d AS (SELECT c.p_partkey, c.k, c.x, c.y, c.z, {_TO.format(p="m")} AS d FROM c JOIN m ON c.p_partkey = m.p_partkey),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY d, k) AS o FROM d) WHERE o = 1), far AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY d DESC, k) AS o FROM d) WHERE o = 1),
+e AS (SELECT c.p_partkey, c.k, c.x, c.y, c.z, {_TO.format(p="far")} AS d FROM c JOIN far ON c.p_partkey = far.p_partkey), last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY d DESC, k) AS o FROM e) WHERE o = 1),
+a AS ({" UNION ALL ".join(f"SELECT c.p_partkey, {n} AS g, {_TO.format(p=t)} AS d FROM c JOIN {t} ON c.p_partkey = {t}.p_partkey" for n, t in enumerate(("m", "near", "far", "last")))}), b AS (SELECT *, avg(d) OVER (PARTITION BY p_partkey, g) AS mean FROM a),
+s AS (SELECT p_partkey, g, any_value(mean) AS m1, sqrt(avg((d-mean)*(d-mean))) AS m2, avg((d-mean)*(d-mean)*(d-mean)) AS t FROM b GROUP BY p_partkey, g), l AS (SELECT p_partkey, g, unnest([0, 1, 2]) AS q, unnest([m1, m2, sign(t) * pow(abs(t), 1.0/3)]) AS value FROM s)
+SELECT p_partkey, (g * 3 + q)::INT AS i, round(value, 5) AS value FROM l"""
+
+
+def _shingled(run: Callable) -> Callable:
+    return lambda spark, sf_dir: run(molecules(spark, sf_dir))
+
+
 QUERIES = {"molecule_properties": properties, "molecule_topology": topology, "fingerprint_patterns": patterns, "filter_patterns": pattern_filter, "split_scaffold": scaffolds, "molecule_largest_fragment": fragments}
 SQL = {"molecule_properties": PROPERTIES_SQL, "molecule_topology": TOPOLOGY_SQL, "fingerprint_patterns": PATTERNS_SQL, "filter_patterns": PATTERN_FILTER_SQL, "split_scaffold": SCAFFOLD_SQL, "molecule_largest_fragment": FRAGMENTS_SQL}
+QUERIES |= {"fingerprint_quantum_numbers": quantum_numbers, "fingerprint_states": states, "shape_usr": _shape("usr"), "shape_rdf": _shape("rdf"), "shape_morse": _shape("morse"), "shape_usrcat": _shape("usrcat"), "shape_electroshape": _shape("electroshape"), "shape_whim": _shape("whim")}
+SQL |= {"fingerprint_quantum_numbers": NUMBERS_SQL, "fingerprint_states": STATES_SQL, "shape_usr": USR_SQL, "shape_rdf": RADIAL_SQL, "shape_morse": SCATTERING_SQL}
+QUERIES |= {
+    "fingerprint_keys": _shingled(lambda m: substructure.key_fingerprint(m, "p_partkey", "smiles")), "fingerprint_atom_types": _shingled(lambda m: substructure.atom_type_fingerprint(m, "p_partkey", "smiles", count=True)),
+    "fingerprint_circular_shingles": _shingled(lambda m: writer.folded_circular(m, "p_partkey", "smiles")), "fingerprint_minhash": _shingled(lambda m: writer.minhash_circular(m, "p_partkey", "smiles")),
+    "fingerprint_pair_shingles": _shingled(lambda m: fold_shingles(writer.shingles(m, "p_partkey", "smiles", "pairs"), "p_partkey", "shingles")), "molecule_canonical": _shingled(lambda m: writer.canonical(m, "p_partkey", "smiles")),
+    "fingerprint_autocorrelation": _shingled(lambda m: vectors.vector_descriptor(m, "p_partkey", "smiles", vectors.autocorrelation)), "fingerprint_burden": _shingled(lambda m: vectors.vector_descriptor(m, "p_partkey", "smiles", vectors.burden_eigenvalues)),
+}
 for _name in rules.RULE_SETS:
     QUERIES[f"filter_{_name}"], SQL[f"filter_{_name}"] = _filter(_name)

@@ -5,7 +5,7 @@ import pytest
 
 from retort.chem import descriptors as D
 from retort.chem import fingerprints as P
-from retort.chem import properties, smarts, substructure
+from retort.chem import properties, shapes, smarts, substructure, vectors, writer
 from retort.chem.rings import molecule
 from retort.chem.smiles import SmilesError, largest_fragment, parse
 
@@ -48,8 +48,11 @@ def test_fingerprints_ignore_atom_order():
 
 def test_shapes_do_not_depend_on_place():
     x = np.random.default_rng(0).normal(size=(9, 3))
-    assert P.usr(x) == pytest.approx(P.usr(x + 5))
-    assert len(P.electroshape(x, np.zeros(9))) == 15 and not any(math.isnan(v) for v in P.electroshape(x, np.zeros(9)))
+    line = [(i, i + 1, 1) for i in range(8)]
+    assert shapes.shape(['C'] * 9, x, line) == pytest.approx(shapes.shape(['C'] * 9, x + 5, line))
+    for kind, n in (("usr", 12), ("usrcat", 60), ("electroshape", 15), ("rdf", 210), ("morse", 224), ("whim", 78)):
+        got = shapes.SHAPES[kind](['C'] * 9, x, line)
+        assert len(got) == n and not any(math.isnan(v) for v in got)
 
 
 def test_describe_gives_nulls(spark):
@@ -104,3 +107,36 @@ def test_burden_matrix_of_wrong_input():
         D.burden_matrix(molecule("O"), [1.0, 2.0, 3.0])
     with pytest.raises(ValueError):
         D.burden_matrix(molecule("[Rh-](Cl)(Cl)(Cl)(Cl)$[Rh-](Cl)(Cl)(Cl)Cl"))
+
+
+@pytest.mark.parametrize("one, two", [("CC(=O)Oc1ccccc1C(=O)O", "OC(=O)C1=CC=CC=C1OC(C)=O"), ("CN1C=NC2=C1C(=O)N(C(=O)N2C)C", "Cn1cnc2c1c(=O)n(C)c(=O)n2C"), ("C1CC2CCC1CC2", "C12CCC(CC1)CC2"), ("[NH4+].[Cl-]", "[Cl-].[NH4+]"), ("c1ccc2[nH]ccc2c1", "[nH]1ccc2ccccc12"), ("C1CC1c1ccccc1-c1ccccc1", "c1ccc(cc1)-c1ccccc1C1CC1"), ("[13CH3]C#N", "N#C[13CH3]")])
+def test_one_text_for_one_molecule(one, two):
+    text = writer.to_smiles(molecule(one))
+    assert text == writer.to_smiles(molecule(two)) == writer.to_smiles(molecule(text))
+    assert writer.circular_shingles(molecule(one)) == writer.circular_shingles(molecule(two))
+    assert writer.pair_shingles(molecule(one), duplicates=True) == writer.pair_shingles(molecule(two), duplicates=True)
+
+
+def test_charges_sum_to_the_charge():
+    q = vectors.partial_charges(molecule("CCO"), "gasteiger")
+    assert q[2] < q[0] < q[1] and -0.5 < q[2] < -0.3
+    with pytest.raises(ValueError):
+        vectors.partial_charges(molecule("[Fe]"), "gasteiger")
+    assert len(vectors.autocorrelation(molecule("c1ccccc1O"))) == 192 and len(vectors.burden_eigenvalues(molecule("CCO"))) == 8
+
+
+def test_minhash_of_shingles(spark):
+    df = spark.createDataFrame([(1, "CCO"), (2, "OCC"), (3, "c1ccccc1"), (4, "CCCO")], "id long, s string")
+    got = {}
+    for r in writer.minhash_circular(df, "id", "s", size=64).collect():
+        got.setdefault(r["id"], {})[r["slot"]] = r["value"]
+    assert got[1] == got[2] and got[1] != got[4] and len(got[3]) == 64
+    bits = {i: {r["bit"] for r in writer.folded_circular(df, "id", "s").collect() if r["id"] == i} for i in (1, 2, 3)}
+    assert bits[1] == bits[2] and not bits[1] & bits[3]
+
+
+def test_shape_operator(spark):
+    atoms = "array<struct<x: double, y: double, z: double, symbol: string>>"
+    df = spark.createDataFrame([(1, [(0.0, 0.0, 0.0, "C"), (1.0, 0.0, 0.0, "C"), (0.0, 1.0, 0.0, "O")], [(0, 1, 1), (0, 2, 1)]), (2, None, None), (3, [(0.0, 0.0, 0.0, "C")], [])], f"id long, atoms {atoms}, bonds array<struct<i: int, j: int, order: int>>")
+    got = {r["id"]: r["vector"] for r in shapes.shape_fingerprint(df, "id", "usr", errors="null").collect()}
+    assert len(got[1]) == 12 and got[2] is None and got[3] is None
