@@ -10,6 +10,7 @@ import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from ..operators.splits import group_fill_split, randomized_group_split
 from . import descriptors as D
 from . import properties as P
 from .rings import molecule
+from .smarts import pattern
 from .smiles import Molecule, SmilesError, largest_fragment
 from .substructure import by_text
 
@@ -33,9 +35,33 @@ def _atoms(m: Molecule) -> list[int]:
     return [number(m.symbols[i], len(near[i]), m.hydrogens[i], m.charges[i], m.aromatic[i], i in rings) for i in range(len(m.symbols))]
 
 
-def circular(m: Molecule, radius: int = 2, use_bond_types: bool = True) -> Counter:
-    """Environments of each atom up to ``radius`` bonds; equal atom sets of a radius count once."""
-    near, now = m.neighbours, _atoms(m)
+# Donor, acceptor, aromatic, halogen, basic and acidic atoms.
+FEATURES = (
+    "[$([N;!H0;v3,v4&+1]),$([O,S;H1;+0]),n&H1&+0]",
+    "[$([O,S;H1;v2;!$(*-*=[O,N,P,S])]),$([O,S;H0;v2]),$([O,S;-]),$([N;v3;!$(N-*=[O,N,P,S])]),n&H0&+0,$([o,s;+0;!$([o,s]:n);!$([o,s]:c:n)])]",
+    "[a]",
+    "[F,Cl,Br,I]",
+    "[#7;+,$([N;H2&+0][$([C,a]);!$([C,a](=O))]),$([N;H1&+0]([$([C,a]);!$([C,a](=O))])[$([C,a]);!$([C,a](=O))]),$([N;H0&+0]([C;!$(C(=O))])([C;!$(C(=O))])[C;!$(C(=O))])]",
+    "[$([C,S](=[O,S,P])-[O;H1,-1])]",
+)
+
+
+def features(m: Molecule) -> list[int]:
+    """A bit for each of FEATURES an atom has."""
+    view = P.view_of(m)
+    tests = [pattern(t).atoms[0] for t in FEATURES]
+    return [sum(1 << k for k, t in enumerate(tests) if t(view, i)) for i in range(len(m.symbols))]
+
+
+def circular(m: Molecule, radius: int = 2, use_bond_types: bool = True, use_features: bool = False, use_chirality: bool = False) -> Counter:
+    """Environments of each atom up to ``radius`` bonds; equal atom sets of a radius count once.
+
+    Atoms start from their elements and bonds, or with ``use_features`` from what they do; with
+    ``use_chirality`` marked centers are told apart.
+    """
+    near, now = m.neighbours, [number("features", x) for x in features(m)] if use_features else _atoms(m)
+    if use_chirality:
+        now = [number(x, m.chiral[i]) if m.chiral[i] else x for i, x in enumerate(now)]
     out, cover = Counter(now), [frozenset([i]) for i in range(len(now))]
     seen = set(cover)
     for r in range(1, radius + 1):
@@ -48,9 +74,17 @@ def circular(m: Molecule, radius: int = 2, use_bond_types: bool = True) -> Count
     return out
 
 
-def atom_pairs(m: Molecule, least: int = 1, most: int = 30) -> Counter:
-    d, own = D.distances(m), _types(m)
+def atom_pairs(m: Molecule, least: int = 1, most: int = 30, use_features: bool = False, places: np.ndarray | None = None, scale_by_atoms: bool = False) -> Counter:
+    """Pairs of atom types with the bonds between them, or with their distance in space, rounded
+    down, if ``places`` of a conformer are given. ``scale_by_atoms`` gives counts per heavy atom, in hundredths."""
+    d, own = D.distances(m), ([(x,) for x in features(m)] if use_features else _types(m))
     n = len(own)
+    if places is not None:
+        d = np.floor(np.sqrt(((places[:, None] - places[None]) ** 2).sum(-1)))
+    if scale_by_atoms:
+        plain = atom_pairs(m, least, most, use_features, places)
+        heavy = max(1, sum(s != "H" for s in m.symbols))
+        return Counter({k: -(-100 * v // heavy) for k, v in plain.items()})
     return Counter(number(*sorted((own[i], own[j])), int(d[i, j])) for i in range(n) for j in range(i + 1, n) if least <= d[i, j] <= most)
 
 

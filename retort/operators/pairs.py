@@ -22,10 +22,10 @@ def pair_join(x: DataFrame, y: DataFrame, x_id: str, y_id: str, x_vec: str, y_ve
     """
     left = x.select(F.col(x_id).alias("i"), F.col(x_vec).alias("_x"))
     right = y.select(F.col(y_id).alias("j"), F.col(y_vec).alias("_y"))
-    return _crossed(left, right, block_rows).select("i", "j", value(F.col("_x"), F.col("_y")).alias(name))
+    return crossed(left, right, block_rows).select("i", "j", value(F.col("_x"), F.col("_y")).alias(name))
 
 
-def _crossed(left: DataFrame, right: DataFrame, block_rows: int = BROADCAST_ROWS) -> DataFrame:
+def crossed(left: DataFrame, right: DataFrame, block_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Every row of ``left`` (with i) beside every row of ``right``, in blocks of ``left``."""
     rows = left.count()
     if rows <= block_rows:
@@ -46,7 +46,7 @@ def bulk_similarity(x: DataFrame, y: DataFrame, x_id: str, y_id: str, vec: str,
     left = x.select(F.col(x_id).alias("i"), F.col(vec).alias("_x"), own(F.col(vec)).cast("double").alias("_p"))
     right = y.select(F.col(y_id).alias("j"), F.col(vec).alias("_y"), own(F.col(vec)).cast("double").alias("_q"))
     both = (similarity.dot if counts else similarity.shared_ones)(F.col("_x"), F.col("_y"), width).cast("double")
-    met = _crossed(left, right).select("i", "j", "_p", "_q", both.alias("_a"))
+    met = crossed(left, right).select("i", "j", "_p", "_q", both.alias("_a"))
     if counts:
         sim = similarity.COUNT[family](F.col("_a"), F.col("_p"), F.col("_q"))
         return met.select("i", "j", sim.alias("similarity")).withColumn("distance", 1 - F.col("similarity"))

@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..chem import fingerprints, shapes, substructure, vectors, writer
+from ..chem import common as common_parts
+from ..chem import fingerprints, sequences, shapes, substructure, vectors, writer
 from ..chem.tables import ATOM_TYPES
 from ..functions.shingles import fold_shingles
-from ..operators import rules
+from ..operators import pairs, rules
 
 #: Family and length of a row's molecule, the same text in both engines.
 FAMILY, LENGTH = "(p_partkey % 6)", "(1 + (p_partkey // 6) % 30)"
@@ -205,6 +206,15 @@ def quantum_numbers(spark, sf_dir: str) -> DataFrame:
 NUMBERS_SQL = f"WITH {ROWS} SELECT * FROM (" + " UNION ALL ".join(f"SELECT p_partkey, {i}::INT AS bit, ({v})::BIGINT AS count FROM r" for i, v in NUMBERS.items()) + ") WHERE count > 0"
 
 
+#: Atom types found in each family; those left out are not.
+TYPED = {
+    1: _by_family("(n > 1)::INT", "(n > 1)::INT", "1", "1", "0", "0"), 2: _by_family("greatest(n-2, 0)", "greatest(n-2, 0)", "n-1", "n+4", "greatest(n-2, 0)", "0"), 3: _by_family("0", "0", "0", "1", "0", "0"), 5: _by_family("(n = 1)::INT", "0", "0", "0", "0", "0"),
+    6: _by_family("(n > 1)::INT", "0", "0", "0", "least(n, 2)", "2*n"), 9: _by_family("0", "0", "1", "0", "0", "0"), 15: _by_family("0", "(n = 1)::INT", "0", "0", "0", "0"), 16: _by_family("0", "(n = 1)::INT", "0", "0", "0", "0"), 17: _by_family("0", "(n > 1)::INT", "0", "0", "0", "0"),
+    25: _by_family("0", "5", "0", "0", "0", "0"), 28: _by_family("0", "1", "0", "0", "0", "0"), 38: _C, 48: _N, 67: _N, 69: _by_family("1", "0", "1", "0", "0", "2"), 70: _by_family("0", "0", "0", "0", "0", "n-1"), 80: _by_family("0", "0", "1", "0", "0", "0"), 88: _O, 90: _CL,
+}
+TYPES_SQL = f"WITH {ROWS} SELECT * FROM (" + " UNION ALL ".join(f"SELECT p_partkey, {i}::INT AS bit, ({v})::BIGINT AS count FROM r" for i, v in TYPED.items()) + ") WHERE count > 0"
+
+
 def states(spark, sf_dir: str) -> DataFrame:
     """(p_partkey, bit, value): sums of electrotopological states by atom type."""
     v = vectors.vector_descriptor(molecules(spark, sf_dir), "p_partkey", "smiles", vectors.state_sums)
@@ -259,12 +269,55 @@ s AS (SELECT p_partkey, g, any_value(mean) AS m1, sqrt(avg((d-mean)*(d-mean))) A
 SELECT p_partkey, (g * 3 + q)::INT AS i, round(value, 5) AS value FROM l"""
 
 
+#: Lengths of 2 to 7 for pairs of molecules.
+SHORT = "(2 + (p_partkey // 6) % 6)"
+
+
+def common(spark, sf_dir: str) -> DataFrame:
+    """(i, j, similarity, distance): molecules whose key is divisible by 100 against all, by their largest common substructure."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    m = part.select("p_partkey", F.expr(SMILES.format(f=FAMILY, n=f"cast({SHORT.replace('//', 'div')} as int)")).alias("smiles"))
+    each = m.groupBy("smiles").agg(F.collect_list("p_partkey").alias("keys"))
+    asked = m.filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("i"), F.col("smiles").alias("one"))
+    out = common_parts.pair_similarity(pairs.crossed(asked, each), "one", "smiles")
+    return out.select("i", F.explode("keys").alias("j"), F.round("similarity", 6).alias("similarity"), F.round("distance", 6).alias("distance"))
+
+
+#: Atoms in common of two families of lengths n and m, the lesser family first.
+_SHARED = {
+    (0, 0): "least(n, m) + 1", (0, 1): "least(n, m+1)", (0, 2): "least(n, m+1) + 1", (0, 3): "least(n, m+6)", (0, 4): "least(n, m)", (0, 5): "3", (1, 1): "6 + least(n, m)", (1, 2): "least(n+1, m+1)", (1, 3): "least(n+1, m+6)", (1, 4): "least(n+1, m)", (1, 5): "2",
+    (2, 2): "least(n, m) + 3", (2, 3): "least(n+1, m+6)", (2, 4): "least(n+1, m)", (2, 5): "3", (3, 3): "6 + least(n, m)", (3, 4): "least(n+6, m)", (3, 5): "2", (4, 4): "least(n, m) + 1 + (n = m)::INT", (4, 5): "2", (5, 5): "3 * least(n, m) + 1",
+}
+COMMON_SQL = f"""WITH r AS (SELECT p_partkey AS k, {FAMILY} AS f, {SHORT} AS n FROM part), s AS (SELECT *, CASE f WHEN 0 THEN n+1 WHEN 1 THEN n+6 WHEN 2 THEN n+3 WHEN 3 THEN n+6 WHEN 4 THEN n+2 ELSE 3*n+1 END AS a FROM r),
+p AS (SELECT q.k AS i, t.k AS j, q.a + t.a AS atoms, least(q.f, t.f) AS f, greatest(q.f, t.f) AS g, CASE WHEN q.f <= t.f THEN q.n ELSE t.n END AS n, CASE WHEN q.f <= t.f THEN t.n ELSE q.n END AS m FROM s q, s t WHERE q.k % 100 = 0),
+c AS (SELECT i, j, atoms, (CASE f * 6 + g {" ".join(f"WHEN {f * 6 + g} THEN {e}" for (f, g), e in _SHARED.items())} END)::DOUBLE AS c FROM p) SELECT i, j, round(c / (atoms - c), 6) AS similarity, round(1 - c / (atoms - c), 6) AS distance FROM c"""
+
+
+def peptides(spark, sf_dir: str) -> DataFrame:
+    """(p_partkey, carbons, nitrogens, oxygens, sulphurs, rings) of sequences made of the letters of a part's name."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.expr(f"translate(upper(substring(replace(p_name, ' ', ''), 1, 12)), 'BJOUXZ', 'AAAAAA')").alias("seq"))
+    text = sequences.peptide_smiles(part, "seq")
+    out = fingerprints.describe(text, "p_partkey", "smiles", ("carbons", "nitrogens", "oxygens", "sulphurs", "number_of_rings", "stereo_centers"))
+    return out.select("p_partkey", *(F.col(c).cast("int").alias(c) for c in out.columns if c != "p_partkey"))
+
+
+#: Carbon, nitrogen, oxygen, sulphur, rings and chiral atoms of a residue in a chain.
+_RESIDUES = {
+    "A": (3, 1, 1, 0, 0, 1), "C": (3, 1, 1, 1, 0, 1), "D": (4, 1, 3, 0, 0, 1), "E": (5, 1, 3, 0, 0, 1), "F": (9, 1, 1, 0, 1, 1), "G": (2, 1, 1, 0, 0, 0), "H": (6, 3, 1, 0, 1, 1), "I": (6, 1, 1, 0, 0, 2), "K": (6, 2, 1, 0, 0, 1), "L": (6, 1, 1, 0, 0, 1),
+    "M": (5, 1, 1, 1, 0, 1), "N": (4, 2, 2, 0, 0, 1), "P": (5, 1, 1, 0, 1, 1), "Q": (5, 2, 2, 0, 0, 1), "R": (6, 4, 1, 0, 0, 1), "S": (3, 1, 2, 0, 0, 1), "T": (4, 1, 2, 0, 0, 2), "V": (5, 1, 1, 0, 0, 1), "W": (11, 2, 1, 0, 2, 1), "Y": (9, 1, 2, 0, 1, 1),
+}
+PEPTIDES_SQL = f"""WITH s AS (SELECT p_partkey, unnest(string_split(translate(upper(substr(replace(p_name, ' ', ''), 1, 12)), 'BJOUXZ', 'AAAAAA'), '')) AS a FROM part), v(a, c, n, o, t, r, h) AS (VALUES {", ".join(f"('{a}', {', '.join(map(str, v))})" for a, v in _RESIDUES.items())})
+SELECT p_partkey, sum(c)::INT AS carbons, sum(n)::INT AS nitrogens, (sum(o) + 1)::INT AS oxygens, sum(t)::INT AS sulphurs, sum(r)::INT AS number_of_rings, sum(h)::INT AS stereo_centers FROM s JOIN v USING (a) GROUP BY p_partkey"""
+
+
 def _shingled(run: Callable) -> Callable:
     return lambda spark, sf_dir: run(molecules(spark, sf_dir))
 
 
 QUERIES = {"molecule_properties": properties, "molecule_topology": topology, "fingerprint_patterns": patterns, "filter_patterns": pattern_filter, "split_scaffold": scaffolds, "molecule_largest_fragment": fragments}
 SQL = {"molecule_properties": PROPERTIES_SQL, "molecule_topology": TOPOLOGY_SQL, "fingerprint_patterns": PATTERNS_SQL, "filter_patterns": PATTERN_FILTER_SQL, "split_scaffold": SCAFFOLD_SQL, "molecule_largest_fragment": FRAGMENTS_SQL}
+QUERIES |= {"bulk_common_substructure": common, "molecule_from_sequence": peptides}
+SQL |= {"fingerprint_atom_types": TYPES_SQL, "bulk_common_substructure": COMMON_SQL, "molecule_from_sequence": PEPTIDES_SQL}
 QUERIES |= {"fingerprint_quantum_numbers": quantum_numbers, "fingerprint_states": states, "shape_usr": _shape("usr"), "shape_rdf": _shape("rdf"), "shape_morse": _shape("morse"), "shape_usrcat": _shape("usrcat"), "shape_electroshape": _shape("electroshape"), "shape_whim": _shape("whim")}
 SQL |= {"fingerprint_quantum_numbers": NUMBERS_SQL, "fingerprint_states": STATES_SQL, "shape_usr": USR_SQL, "shape_rdf": RADIAL_SQL, "shape_morse": SCATTERING_SQL}
 QUERIES |= {
