@@ -53,7 +53,7 @@ def paths(w: Words, k: int, m: int, with_edges: bool = True) -> tuple[np.ndarray
 
 
 def digests(w: Words, start: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """BLAKE2 digests (two numbers each) of runs of words as they stand, joined by single spaces."""
+    """BLAKE2 digests of runs of words as they stand, joined by single spaces."""
     held = w.bytes.tobytes().translate(_BLANKS)
     wide = np.zeros(len(w.starts) + 1, np.int64)  # gaps of more than one byte before each word
     np.cumsum(w.starts[1:] > w.ends[:-1] + 1, out=wide[1:-1])
@@ -63,8 +63,8 @@ def digests(w: Words, start: np.ndarray, words: np.ndarray) -> np.ndarray:
     out = bytearray()
     for a, b, single in zip(w.starts[start].tolist(), w.ends[last].tolist(), plain.tolist(), strict=True):
         run = held[a:b]
-        out += hashlib.blake2b(run if single else b" ".join(run.split()), digest_size=16).digest()
-    return np.frombuffer(bytes(out), np.int64).reshape(-1, 2)
+        out += hashlib.blake2b(run if single else b" ".join(run.split()), digest_size=8).digest()
+    return np.frombuffer(bytes(out), np.int64)
 
 
 def _ids(batch: pa.RecordBatch, rows: np.ndarray) -> list[pa.Array]:
@@ -78,8 +78,8 @@ def repeated_windows(docs: DataFrame, stage: Staging, k: int, m: int) -> DataFra
 
     ``docs`` has _id, _t (a hash of the text) and text. First the minimizers are counted. Paths
     whose minimizer is repeated (by a bitmap of bounded size, which may let others pass) are
-    written with their edges; paths compact to one with its first source if a BLAKE2 digest of
-    the very words agrees; edges of the compacted paths meet on (minimizer, edge), two
+    written with their edges; paths compact to one with its first source if the minimizer and a
+    BLAKE2 digest of the very words agree; edges of the compacted paths meet on (minimizer, edge), two
     independent 64-bit hashes of the words, and the least source of each wins; joins carry what
     is not first back to the paths and their sources. The few hot paths are joined by broadcast.
     """
@@ -103,27 +103,30 @@ def repeated_windows(docs: DataFrame, stage: Staging, k: int, m: int) -> DataFra
             inside = np.repeat(start - cut[:-1], count) + np.arange(cut[-1])
             held = edges[inside]
             own = digests(w, start, count + k - 1)
-            columns = [*_ids(batch, row), pa.array((start - w.first[row]).astype(np.int32)), pa.array(mini.view(np.int64)), pa.array(np.ascontiguousarray(own[:, 0])), pa.array(np.ascontiguousarray(own[:, 1])), pa.ListArray.from_arrays(cut, pa.array(held.view(np.int64)))]
-            yield pa.RecordBatch.from_arrays(columns, ["_id", "_t", "start", "mini", "path", "path2", "edges"])
+            columns = [*_ids(batch, row), pa.array((start - w.first[row]).astype(np.int32)), pa.array(mini.view(np.int64)), pa.array(own), pa.ListArray.from_arrays(cut, pa.array(held.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "_t", "start", "mini", "path", "edges"])
 
-    found = T.StructType([docs.schema["_id"], docs.schema["_t"], *T._parse_datatype_string("start int, mini long, path long, path2 long, edges array<long>").fields])
+    found = T.StructType([docs.schema["_id"], docs.schema["_t"], *T._parse_datatype_string("start int, mini long, path long, edges array<long>").fields])
     record = stage.put(docs.select("_id", "_t", "text").mapInArrow(records, found), "records")
     stage.sweep()
-    path = record.groupBy("mini", "path", "path2").agg(F.min(F.struct("_id", "start")).alias("source"), F.min("edges").alias("edges"), F.count("*").alias("times"))
+    path = record.groupBy("mini", "path").agg(F.min(F.struct("_id", "start")).alias("source"), F.min("edges").alias("edges"), F.count("*").alias("times"))
     path = stage.put(path, "paths")
     stage.sweep()
-    record = stage.put(record.select("_id", "_t", "start", "mini", "path", "path2", F.size("edges").alias("n")), "occurrences")
+    record = stage.put(record.select("_id", "_t", "start", "mini", "path", F.size("edges").alias("n")), "occurrences")
     stage.drop("records")
     several = path.groupBy("mini").agg(F.count("*").alias("n")).filter("n > 1").select("mini")  # else no edge is in two paths
-    edge = path.join(several, "mini").select("mini", "path", "path2", "source", F.posexplode("edges").alias("i", "edge"))
-    edge = edge.select("mini", "path", "path2", "edge", "i", F.col("source._id").alias("_id"), (F.col("source.start") + F.col("i")).alias("at"))
+    edge = path.join(several, "mini").select("mini", "path", "source", F.posexplode("edges").alias("i", "edge"))
+    edge = edge.select("mini", "path", "edge", "i", F.col("source._id").alias("_id"), (F.col("source.start") + F.col("i")).alias("at"))
     least = edge.groupBy("mini", "edge").agg(F.min(F.struct("_id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = edge.join(least, ["mini", "edge"]).filter(~(F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("at") == F.col("first.at"))))
-    own = ["mini", "path", "path2"]
+    own = ["mini", "path"]
     masks = stage.put(later.groupBy(*own).agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask")), "masks")
     stage.sweep()
     judged = path.select(*own, "source", "times").join(masks, own, "left")
     judged = stage.put(judged.select(*own, "times", F.col("source._id").alias("s_id"), F.col("source.start").alias("s_start"), F.coalesce("mask", F.lit(0).cast("long")).alias("mask")), "judged")
+    for name in ("paths", "masks"):
+        stage.drop(name)
+    stage.sweep()
     total = judged.agg(F.sum("times")).first()[0] or 0
     hot = judged.filter(F.col("times") > max(total / HOT, HOT)).drop("times")  # fewer than HOT rows
     cold = record.join(F.broadcast(hot.select(*own)), own, "left_anti").join(judged.drop("times"), own)
@@ -157,7 +160,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stage = Staging(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_t"), F.col(text_col).alias("text"))
     spans = stage.put(repeated_windows(source, stage, k, m), "spans")
-    for name in ("minimizers", "occurrences", "paths", "masks", "judged"):
+    for name in ("minimizers", "occurrences", "judged"):
         stage.drop(name)
     stage.sweep()
     s, g = source.alias("s"), spans.alias("g")
