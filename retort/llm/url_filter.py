@@ -65,18 +65,34 @@ def templates(urls: DataFrame, stage: Staging, depth: int = DEPTH, variable_at:
     return now
 
 
+def _apart(branches: DataFrame, by: list[str], z: float) -> DataFrame:
+    """``branches`` (n, bad, known) with ``apart``: whether a branch's bad share differs by ``z`` standard
+    errors from that of all others with the same ``by``, and ``above``: whether it is higher."""
+    totals = branches.groupBy(*by).agg(F.sum("bad").alias("pb"), F.sum("known").alias("pk"))
+    both = branches.join(totals, by)
+    rest, share = F.col("pk") - F.col("known"), F.try_divide(F.col("pb"), F.col("pk"))
+    gap = F.try_divide("bad", "known") - F.try_divide(F.col("pb") - F.col("bad"), rest)
+    error = F.sqrt(share * (1 - share) * (F.try_divide(F.lit(1.0), F.col("known")) + F.try_divide(F.lit(1.0), rest)))
+    apart = F.coalesce((F.abs(gap) > z * error) & (F.col("known") >= 5), F.lit(False))
+    return both.select(*(F.col(c) for c in branches.columns), apart.alias("apart"), F.coalesce(gap > 0, F.lit(False)).alias("above"))
+
+
 def merged(tree: DataFrame, stage: Staging, z: float = 1.96) -> DataFrame:
-    """(host, template, branch, n, bad, known): sibling templates whose bad shares do not differ
-    by ``z`` standard errors from their parent's other branches share one branch."""
+    """(host, template, branch, n, bad, known): sibling templates with similar bad shares share a branch.
+
+    Templates whose share does not differ by ``z`` standard errors from their parent's others go
+    together (``~``). Those that stand out upwards are then held against each other the same way,
+    and so are those that stand out downwards (``~+`` and ``~-``); only what still differs is a
+    branch of its own.
+    """
     leaves = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("known").alias("known"))
     leaves = leaves.withColumn("parent", F.regexp_replace("template", r"/[^/]*\z", ""))
-    parents = leaves.groupBy("host", "parent").agg(F.sum("bad").alias("pb"), F.sum("known").alias("pk"))
-    both = leaves.join(parents, ["host", "parent"])
-    rest, share = F.col("pk") - F.col("known"), F.try_divide(F.col("pb"), F.col("pk"))
-    difference = F.abs(F.try_divide("bad", "known") - F.try_divide(F.col("pb") - F.col("bad"), rest))
-    error = F.sqrt(share * (1 - share) * (F.try_divide(F.lit(1.0), F.col("known")) + F.try_divide(F.lit(1.0), rest)))
-    apart = F.coalesce((difference > z * error) & (F.col("known") >= 5), F.lit(False))
-    return stage.put(both.select("host", "template", F.when(apart, F.col("template")).otherwise(F.concat("parent", F.lit("/~"))).alias("branch"), "n", "bad", "known"), "merged")
+    first = _apart(leaves, ["host", "parent"], z).withColumnRenamed("apart", "out")
+    side = F.when(~F.col("out"), F.lit("/~")).when(F.col("above"), F.lit("/~+")).otherwise(F.lit("/~-"))
+    first = stage.put(first.withColumn("side", F.concat("parent", side)).drop("above"), "sides")
+    second = _apart(first, ["host", "side"], z)
+    branch = F.when(F.col("out") & F.col("apart"), F.col("template")).otherwise(F.col("side"))
+    return stage.put(second.select("host", "template", branch.alias("branch"), "n", "bad", "known"), "merged")
 
 
 def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label: str = "quality", strength: float = 10.0, reject: float = 0.5) -> DataFrame:
@@ -85,7 +101,8 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     A fixed rule decides where one fits. Elsewhere the page's template does: bad labels of its
     branch (label 0), smoothed by the host's share, itself smoothed by the corpus's, each with
     the weight of ``strength`` labelled pages, block it at ``reject`` or more, if the branch has
-    a bad label of its own.
+    a bad label of its own. ``labels`` tells which pages are good (1) or bad (0), by ``label_id``,
+    which is held against the pages' id; with several labels of a page the least counts.
 
     Cases: a null url or one without ``://`` has empty host and path and one template of its
     own; unlabelled pages count for the shape of the tree only; without labels nothing is
@@ -125,4 +142,5 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:
+    """All pages. The tables tie no label to a page but by number, so the label with a page's number is taken as its own."""
     return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), RULES)

@@ -226,3 +226,72 @@ def test_queries_hold_their_contract(spark, name, tmp_path):
         assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= limit) for r in got)
     if name != "op6_packing":
         assert len(got) == (4 if name == "op1_url_filter" else 60)
+
+
+def plain_branches(leaves, z=1.96):
+    """{(host, template): branch} of {(host, template): (bad, known)} by loops."""
+
+    def apart(group):
+        pb, pk = sum(b for b, _ in group.values()), sum(k for _, k in group.values())
+        out = {}
+        for key, (b, k) in group.items():
+            rest = pk - k
+            if not k or not rest:
+                out[key] = (False, False)
+                continue
+            share = pb / pk
+            gap = b / k - (pb - b) / rest
+            out[key] = (abs(gap) > z * math.sqrt(share * (1 - share) * (1 / k + 1 / rest)) and k >= 5, gap > 0)
+        return out
+
+    groups = {}
+    for (host, t), v in leaves.items():
+        groups.setdefault((host, t.rsplit("/", 1)[0] if "/" in t else t), {})[host, t] = v
+    sides, out = {}, {}
+    for (host, parent), group in groups.items():
+        for key, (far, above) in apart(group).items():
+            side = parent + ("/~" if not far else "/~+" if above else "/~-")
+            sides.setdefault((host, side), {})[key] = (leaves[key], far)
+    for (_, side), group in sides.items():
+        for key, (far, _) in apart({k: v for k, (v, _) in group.items()}).items():
+            out[key] = key[1] if far and group[key][1] else side
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_url_filter_against_plain_loops(spark, seed):
+    from retort.llm import url_filter
+
+    rng = random.Random(seed)
+    shares = {(h, s): rng.choice([0.05, 0.1, 0.6, 0.9]) for h in ("a.net", "b.net") for s in ("news", "spam", "shop", "wiki", "tags")}
+    pages, labels = [(None, None), (10_000, "http://a.net/news/1"), (10_000, "http://a.net/news/1"), (10_001, ""), (10_002, "x://"), (10_003, "http://a.net/" + "long/" * 500)], []
+    for i in range(1500):
+        h, s = rng.choice(sorted(shares))
+        pages.append((i, f"http://{h}/{s}/{rng.randrange(900)}{rng.choice(['', '?q', '.html'])}"))
+        if rng.random() < 0.4:
+            labels.append((i, int(rng.random() >= shares[h, s])))
+    columns = spark.createDataFrame([(*p, 1, "x") for p in pages], "page_id long, url string, template int, n string")
+    got = url_filter.url_filter(columns, spark.createDataFrame(labels, "doc_id long, quality int"), [])
+    got = [r.asDict() for r in got.collect()]
+    assert len(got) == len(pages)
+    known = dict(labels)
+    leaves, hosts = {}, {}
+    for r in got:
+        b, k = leaves.get((r["host"], r["template"]), (0, 0))
+        if r["page_id"] in known:
+            b, k = b + (known[r["page_id"]] == 0), k + 1
+        leaves[r["host"], r["template"]] = (b, k)
+    branch = plain_branches(leaves)
+    overall = sum(b for b, _ in leaves.values()) / sum(k for _, k in leaves.values())
+    sums = {}
+    for key, (b, k) in leaves.items():
+        for table, name in ((sums, (key[0], branch[key])), (hosts, key[0])):
+            x, y = table.get(name, (0, 0))
+            table[name] = (x + b, y + k)
+    for r in got:
+        b, k = sums[r["host"], branch[r["host"], r["template"]]]
+        hb, hk = hosts[r["host"]]
+        impurity = (b + 10 * (hb + 10 * overall) / (hk + 10)) / (k + 10)
+        assert r["impurity"] == pytest.approx(impurity)
+        assert r["verdict"] == ("block" if b and impurity >= 0.5 else "allow")
+    assert {r["template"] for r in got if r["host"] == "a.net"} >= {"/news/#", "/spam/#.html"}
