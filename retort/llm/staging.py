@@ -26,6 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Rows of an Arrow batch while a table is written.
+BATCH_ROWS = 2_000
+
+
 class Staging:
     """Tables of one operator call, written once so that lost executors cost no recomputation."""
 
@@ -33,8 +37,15 @@ class Staging:
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/retort-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("error").option("compression", "zstd").parquet(path)
+        """Writes ``df`` and reads it again. Texts are long, so Arrow batches are kept small meanwhile."""
+        path, rows = f"{self.root}/{name}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(rows)
+        if not 0 < int(before) <= BATCH_ROWS:
+            self.spark.conf.set(rows, str(BATCH_ROWS))
+        try:
+            df.write.mode("error").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(rows, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def sweep(self) -> None:
