@@ -101,7 +101,7 @@ def spearman(df: DataFrame, task: str = "task", y: str = "y", p: str = "p", equa
     clean = _clean(df, y, p).select(F.col(task).alias("task"), F.col(y).cast("double").alias("y"), F.col(p).cast("double").alias("p"))
     ranked = _average_rank(_average_rank(clean, "task", "y", "ry"), "task", "p", "rp")
     close = F.min((F.abs(F.col("y") - F.col("p")) <= 1e-8 + 1e-5 * F.abs(F.col("p"))).cast("int"))
-    got = ranked.groupBy("task").agg(close.alias("close"), F.corr("ry", "rp").alias("rho"), F.count("*").alias("n"), F.min("y").alias("a"), F.max("y").alias("b"), F.min("p").alias("c"), F.max("p").alias("d"))
+    got = ranked.groupBy("task").agg(close.alias("close"), F.try_divide(F.covar_pop("ry", "rp"), F.stddev_pop("ry") * F.stddev_pop("rp")).alias("rho"), F.count("*").alias("n"), F.min("y").alias("a"), F.max("y").alias("b"), F.min("p").alias("c"), F.max("p").alias("d"))
     rho = F.when(F.col("close") == 1, F.lit(float(equal_values_result))).when((F.col("a") == F.col("b")) | (F.col("c") == F.col("d")), F.lit(None)).otherwise(F.col("rho"))
     out = got.select(F.col("task").alias(task), rho.cast("double").alias("spearman"), "n")
     if not p_value:

@@ -6,13 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Up to so many rows one window does, as a task can sort them all.
+ONE_WINDOW = 200_000
+
+
 def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column], descending: bool = False, buckets: int = 64) -> DataFrame:
     """``df`` with each of ``sums`` added up over the rows before, by a number column ``order`` within ``keys``.
 
-    Approximate quantiles cut each key into buckets of values, so equal values share one; a bucket is
+    Few rows take a plain window. Beyond ONE_WINDOW approximate quantiles cut each key into buckets of values, so equal values share one; a bucket is
     summed by itself and starts where the buckets before it end. Rows equal in ``order`` count each
     other in an unspecified order: give rows of different values, or sum them up before.
     """
+    if df.limit(ONE_WINDOW + 1).count() <= ONE_WINDOW:
+        plain = Window.partitionBy(*keys).orderBy(F.col(order).desc() if descending else F.col(order)).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({n: F.coalesce(F.sum(c).over(plain), F.lit(0)) for n, c in sums.items()})
     value = F.col(order).cast("double")
     marks = F.percentile_approx(value, [k / buckets for k in range(1, buckets)], 1000).alias("_marks")
     bounds = (df.groupBy(*keys).agg(marks) if keys else df.agg(marks)).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})

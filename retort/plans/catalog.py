@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..chem import fingerprints
 from ..functions import similarity
 from ..functions.shingles import fold_shingles, lingo
-from ..operators import domain, metrics, pairs, splits
+from ..operators import domain, metrics, pairs, search, splits
 from . import molecules, sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,6 +165,57 @@ e AS (SELECT hits/(0.05*a) AS ef, (n/a)*w/((1-exp(-20.0))/(exp(20.0/n)-1)) AS ri
 SELECT round(ef::DOUBLE, 6) AS enrichment_factor, round(rie::DOUBLE, 6) AS rie, round(((rie-lo)/(hi-lo))::DOUBLE, 6) AS bedroc FROM e"""
 
 
+def metrics_means(spark, sf_dir):
+    """(metric, value): the mean of every metric over the tasks where it is defined, one task having one class only."""
+    l = labelled(spark, sf_dir)
+    l = l.unionByName(l.filter("task = 'toxic'").withColumns({"task": F.lit("none"), "y": F.lit(0)}))
+    tables = {
+        **dict.fromkeys(("accuracy", "balanced_accuracy", "cohen_kappa", "f1", "matthews", "precision", "recall"), metrics.confusion_metrics(l)),
+        **dict.fromkeys(("mae", "mse", "rmse"), metrics.regression_metrics(l)), "auroc": metrics.auroc(l, p="s"), "auprc": metrics.auprc(l, p="s"), "spearman": metrics.spearman(l, p="s"),
+    }
+    one = [metrics.mean_over_tasks(t, m).select(F.lit(m).alias("metric"), F.round(m, 6).alias("value")) for m, t in tables.items()]
+    out = one[0]
+    for more in one[1:]:
+        out = out.unionAll(more)
+    return out
+
+
+MEANS_SQL = f"""WITH {L}, k AS (SELECT * FROM l UNION ALL SELECT doc_id, 'none', 0, p, s FROM l WHERE task = 'toxic'), c AS (SELECT task, sum((y=1 AND p=1)::INT)::DOUBLE tp, sum((y=0 AND p=1)::INT)::DOUBLE fp, sum((y=1 AND p=0)::INT)::DOUBLE fn, sum((y=0 AND p=0)::INT)::DOUBLE tn, avg(abs(y-p)) AS mae, avg((y-p)*(y-p)) AS mse FROM k GROUP BY task),
+e AS (SELECT *, tp+fp+fn+tn AS n, (tp+tn)/(tp+fp+fn+tn) AS po, ((tp+fp)*(tp+fn)+(fn+tn)*(fp+tn))/((tp+fp+fn+tn)*(tp+fp+fn+tn)) AS pe FROM c),
+h AS (SELECT task, po AS accuracy, CASE WHEN tp+fn = 0 THEN tn/(tn+fp) ELSE (tp/(tp+fn)+tn/(tn+fp))/2 END AS balanced_accuracy, CASE WHEN pe <> 1 THEN (po-pe)/(1-pe) END AS cohen_kappa, CASE WHEN 2*tp+fp+fn = 0 THEN 0 ELSE 2*tp/(2*tp+fp+fn) END AS f1,
+CASE WHEN (tp+fp)*(tp+fn)*(tn+fp)*(tn+fn) = 0 THEN 0 ELSE (tp*tn-fp*fn)/sqrt((tp+fp)*(tp+fn)*(tn+fp)*(tn+fn)) END AS matthews, CASE WHEN tp+fp = 0 THEN 0 ELSE tp/(tp+fp) END AS precision, CASE WHEN tp+fn = 0 THEN 0 ELSE tp/(tp+fn) END AS recall, mae, mse, sqrt(mse) AS rmse FROM e),
+g AS (SELECT task, s, sum(y)::DOUBLE AS pos, sum(1-y)::DOUBLE AS neg FROM k GROUP BY task, s), w AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY task ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under, sum(pos) OVER (PARTITION BY task ORDER BY s DESC) AS tp, sum(neg) OVER (PARTITION BY task ORDER BY s DESC) AS fp FROM g),
+a AS (SELECT task, CASE WHEN sum(pos)*sum(neg) > 0 THEN sum(pos*(under+neg/2))/(sum(pos)*sum(neg)) END AS auroc, CASE WHEN sum(pos) > 0 THEN sum(pos*tp/(tp+fp))/sum(pos) END AS auprc FROM w GROUP BY task),
+r AS (SELECT task, rank() OVER (PARTITION BY task ORDER BY y) + (count(*) OVER (PARTITION BY task, y) - 1) / 2.0 AS ry, rank() OVER (PARTITION BY task ORDER BY s) + (count(*) OVER (PARTITION BY task, s) - 1) / 2.0 AS rs FROM k WHERE task <> 'none'),
+x AS (SELECT avg(accuracy) AS accuracy, avg(balanced_accuracy) AS balanced_accuracy, avg(cohen_kappa) AS cohen_kappa, avg(f1) AS f1, avg(matthews) AS matthews, avg(precision) AS precision, avg(recall) AS recall, avg(mae) AS mae, avg(mse) AS mse, avg(rmse) AS rmse FROM h),
+y AS (SELECT avg(auroc) AS auroc, avg(auprc) AS auprc FROM a), z AS (SELECT avg(q) AS spearman FROM (SELECT corr(ry, rs) AS q FROM r GROUP BY task))
+SELECT metric, round(value, 6) AS value FROM (UNPIVOT (SELECT * FROM x, y, z) ON COLUMNS(*) INTO NAME metric VALUE value)"""
+
+
+def metrics_probabilities(spark, sf_dir):
+    """(doc_id, task, y, p): labels beside the positive one of two class probabilities, by their keys."""
+    l = labelled(spark, sf_dir)
+    share = F.col("n") / (F.col("n") + 1000)
+    scored = l.select("doc_id", "task", F.col("s").alias("n")).withColumn("classes", F.array(1 - share, share))
+    out = metrics.aligned(l.select("doc_id", "task", "y"), metrics.positive_probability(scored, "classes"), ["doc_id", "task"])
+    return out.select("doc_id", "task", "y", F.round("p", 6).alias("p"))
+
+
+def search_grid(spark, sf_dir):
+    """(threshold, score): two settings of features from vectors, a cross-validated classifier of the first label for each."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    e = table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("x"), (F.col("label") < 5).cast("double").alias("label"))
+    bits = lambda df, threshold: df.select("label", array_to_vector(F.transform("x", lambda v: (v > threshold).cast("double"))).alias("features"))
+    model = LogisticRegression(maxIter=5)
+    inner = CrossValidator(estimator=model, estimatorParamMaps=ParamGridBuilder().addGrid(model.regParam, [0.1, 1.0]).build(), evaluator=BinaryClassificationEvaluator(), numFolds=2, seed=1)
+    found = search.search(e, bits, search.grid({"threshold": [0.0, 0.5]}), inner)
+    return spark.createDataFrame([(s["threshold"], round(float(v), 6)) for s, v in found.scores], "threshold double, score double")
+
+
 def _train_test(spark, sf_dir):
     v = vectors(spark, sf_dir)
     return v.filter("label < 5"), v.filter("label >= 5")
@@ -374,7 +425,7 @@ def _fingerprint_query(kind: str) -> Query:
 
 def _all() -> tuple[dict[str, Query], dict[str, str]]:
     q, s = _similarity_queries()
-    q |= {"lingo": lingo_names, "folded_shingles": folded_words, "knn_tanimoto": knn_tanimoto, "tanimoto_threshold_join": threshold_join, "metrics_confusion": confusion, "metrics_regression": regression, "metrics_ranking": ranking, "metrics_screening": screening}
+    q |= {"lingo": lingo_names, "folded_shingles": folded_words, "knn_tanimoto": knn_tanimoto, "tanimoto_threshold_join": threshold_join, "metrics_confusion": confusion, "metrics_regression": regression, "metrics_ranking": ranking, "metrics_screening": screening, "metrics_means": metrics_means, "metrics_probabilities": metrics_probabilities, "search_grid": search_grid}
     q |= {"ad_bounding_box": ad_bounding_box, "ad_centroid": ad_centroid, "ad_response_range": ad_response_range, "ad_knn": ad_knn}
     q |= {"ad_leverage": _matrix_domain(lambda t: domain.leverage(t, "x")), "ad_hotelling_t2": _matrix_domain(lambda t: domain.hotelling_t2(t, "x"), inside=False), "ad_topkat": _matrix_domain(lambda t: domain.topkat(t, "x"))}
     q |= {"ad_pca_box": _matrix_domain(lambda t: domain.pca_box(t, "x"), score=False), "ad_ensemble_spread": ad_ensemble_spread, "ad_prob_std": ad_prob_std, "ad_convex_hull": ad_convex_hull}
@@ -391,7 +442,7 @@ def _all() -> tuple[dict[str, Query], dict[str, str]]:
         "folded_shingles": "WITH g AS (SELECT p_partkey, sha256(unnest(string_split(p_name, ' '))) AS h FROM part) SELECT p_partkey, (('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2])::BIGINT % 1024)::INT AS bit, count(*) AS count FROM g GROUP BY 1, 2",
         "knn_tanimoto": f"WITH {BITS_SQL}, d AS (SELECT i, j, round((1 - ({BINARY_SQL['tanimoto']}))::DOUBLE, 9) AS distance FROM t WHERE i <> j), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY distance, j)::INT AS rank FROM d) SELECT i, j, round(distance, 6) AS distance, rank FROM r WHERE rank <= 5",
         "tanimoto_threshold_join": f"WITH {V}, c AS (SELECT vec_id, b, list_sum(b) AS n, min(vec_id) OVER (PARTITION BY b) AS class_id FROM v), m AS (SELECT q.vec_id, q.class_id, q.n + r.n - list_inner_product(q.b, r.b) AS u, list_inner_product(q.b, r.b) AS a FROM c q, c r) SELECT vec_id, class_id, count(*) - 1 AS n_links FROM m WHERE CASE WHEN u = 0 THEN 1 ELSE a / u END >= 0.4 GROUP BY 1, 2",
-        "metrics_confusion": CONFUSION_SQL, "metrics_regression": REGRESSION_SQL, "metrics_ranking": RANKING_SQL, "metrics_screening": SCREENING_SQL,
+        "metrics_confusion": CONFUSION_SQL, "metrics_means": MEANS_SQL, "metrics_probabilities": f"WITH {L} SELECT doc_id, task, y, round(s / (s + 1000), 6) AS p FROM l", "metrics_regression": REGRESSION_SQL, "metrics_ranking": RANKING_SQL, "metrics_screening": SCREENING_SQL,
         "ad_bounding_box": AD_BOX_SQL, "ad_centroid": AD_CENTROID_SQL, "ad_response_range": AD_RESPONSE_SQL, "split_group_fill": SPLIT_GROUPS_SQL, "split_maxmin": SPLIT_MAXMIN_SQL, "split_stratified_maxmin": SPLIT_STRATIFIED_SQL, "split_butina": SPLIT_BUTINA_SQL, "split_time": SPLIT_TIME_SQL,
     }
     return q, s

@@ -149,3 +149,24 @@ def test_threshold_links_of_all_vectors(spark, tmp_path):
     links = (np.where(union == 0, 1, both / np.maximum(union, 1)) >= 0.4).sum(1) - 1
     want = {(i + 1, min(j + 1 for j in range(120) if (bits[j] == bits[i]).all()), int(links[i])) for i in range(120)}
     assert {tuple(r) for r in catalog.queries()["tanimoto_threshold_join"](spark, str(tmp_path)).collect()} == want
+
+
+def test_running_sums_and_percentiles_by_buckets(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from retort.operators import running
+
+    rng = np.random.default_rng(4)
+    rows = [(int(k), float(v), int(n)) for k, v, n in zip(rng.integers(0, 3, 3000), rng.permutation(3000) / 7, rng.integers(0, 9, 3000), strict=True)]
+    df = spark.createDataFrame(rows, "k int, v double, n long")
+    plain = running.running_sums(df, ["k"], "v", {"s": F.col("n")}, descending=True).collect()
+    monkeypatch.setattr(running, "ONE_WINDOW", 10)
+    dealt = running.running_sums(df, ["k"], "v", {"s": F.col("n")}, descending=True).collect()
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, dealt))
+    alone = running.running_sums(df, [], "v", {"s": F.col("n")}).collect()
+    order = sorted(rows, key=lambda r: r[1])
+    assert [r["s"] for r in sorted(alone, key=lambda r: r["v"])] == np.concatenate(([0], np.cumsum([r[2] for r in order])[:-1])).tolist()
+    got = {r["k"]: (r["p0"], r["p1"], r["p2"]) for r in running.exact_percentiles(df, "k", "v", [0.0, 0.37, 0.99]).collect()}
+    for k in range(3):
+        values = [r[1] for r in rows if r[0] == k]
+        assert got[k] == pytest.approx(np.percentile(values, [0, 37, 99]))
