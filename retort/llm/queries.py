@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.OP3_SQL}
+    return {"op2_sharding": sharding.OP2_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL, "op5_near_dedup": near_dedup.OP5_SQL, "op9_substring_dedup": substring_dedup.OP9_SQL}
