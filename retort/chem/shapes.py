@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import rings as R
+from .descriptors import distances
+from .fingerprints import number
 from .properties import view_of
 from .smarts import pattern
 from .smiles import VALENCES, Molecule
@@ -129,6 +131,77 @@ def principal(symbols: list[str], x: np.ndarray, bonds: list) -> list[float]:
     return out
 
 
+def spatial_autocorrelation(symbols: list[str], x: np.ndarray, bonds: list, lags: int = 10) -> list[float]:
+    """Mean over pairs at 1 to ``lags`` bonds of the product of weights and the distance in space, plain, by five element weights and by states."""
+    steps = distances(graph(symbols, bonds))
+    i, j, r = _pairs(x)
+    at = steps[i, j]
+    out = []
+    for w in _weights(symbols, bonds):
+        for lag in range(1, lags + 1):
+            near = at == lag
+            out.append(float((w[i] * w[j] * r)[near].mean()) if near.any() else 0.0)
+    return out
+
+
+def influence(symbols: list[str], x: np.ndarray, bonds: list, lags: int = 8) -> list[float]:
+    """Descriptors of the influence matrix H of the centered coordinates and of the matrix R of
+    sqrt(h_i h_j) / r: entropies, means and eigenvalues, then for each weighting autocorrelations of
+    H's diagonal and of R by bonds between atoms, with their sums and greatest parts."""
+    n = len(symbols)
+    centered = x - x.mean(0)
+    h = centered @ np.linalg.pinv(centered.T @ centered) @ centered.T
+    lever = np.clip(np.diag(h), 0, None)
+    steps = distances(graph(symbols, bonds))
+    r = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        tied = np.where(r > 1e-9, np.sqrt(np.outer(lever, lever)) / r, 0.0)
+    share = lever / lever.sum() if lever.sum() else lever
+    times = np.unique(np.round(lever, 4), return_counts=True)[1] / n
+    heavy = [i for i, s in enumerate(symbols) if s != "H"]
+    entropy = float(-(times * np.log2(times)).sum())
+    held = lever[heavy] if heavy else lever
+    geometric = float(100 * np.exp(np.log(np.maximum(held, 1e-12)).mean()))
+    positive = share[share > 0]
+    bonded = steps == 1
+    out = [n * entropy, entropy / np.log2(n) if n > 1 else 0.0, float(-(positive * np.log2(positive)).sum()), geometric, float(np.sqrt(np.outer(tied.sum(1), tied.sum(1)))[np.triu(bonded, 1)].sum()), float(tied.sum(1).mean()), float(np.linalg.eigvalsh(tied)[-1])]
+    for w in _weights(symbols, bonds):
+        blocks: list[list[float]] = [[], [], [], []]
+        for lag in range(lags + 1):
+            i, j = np.nonzero(np.triu(steps == lag))
+            both = w[i] * w[j]
+            blocks[0].append(float((both * h[i, j] * (h[i, j] > 0)).sum()))
+            blocks[1].append(float((both * lever[i] * lever[j]).sum()))
+            if lag:
+                parts = both * tied[i, j]
+                blocks[2].append(float(parts.sum()))
+                blocks[3].append(float(parts.max()) if len(parts) else 0.0)
+        out += [*blocks[0], blocks[0][0] + 2 * sum(blocks[0][1:]), *blocks[1], blocks[1][0] + 2 * sum(blocks[1][1:]), *blocks[2], 2 * sum(blocks[2]), *blocks[3], max(blocks[3])]
+    return [float(v) for v in out]
+
+
+def shells(symbols: list[str], x: np.ndarray, bonds: list, levels: int = 5, multiplier: float = 1.718, size: int = 1024) -> list[float]:
+    """Counts of atoms' surroundings in spheres that grow by ``multiplier``: what an atom sees at a
+    level is hashed with what those atoms saw at the level before; folded to ``size`` slots."""
+    m = graph(symbols, bonds)
+    tie = {frozenset((i, j)): o for i, j, o in m.bonds}
+    now = [number("shell", s, len(near), m.hydrogens[i], m.aromatic[i]) for i, (s, near) in enumerate(zip(m.symbols, m.neighbours, strict=True))]
+    r = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    out, seen = np.zeros(size), set()
+    for level in range(levels + 1):
+        if level:
+            inside = r <= multiplier * level
+            cover = [frozenset(np.flatnonzero(row).tolist()) for row in inside]
+            now = [number(level, now[i], sorted((tie.get(frozenset((i, j)), 0.0), now[j]) for j in cover[i] if j != i)) for i in range(len(now))]
+            fresh = [n for c, n in sorted(zip(cover, now, strict=True), key=lambda p: p[1]) if c not in seen]
+            seen |= set(cover)
+        else:
+            fresh = now
+        for n in fresh:
+            out[n % size] += 1
+    return out.tolist()
+
+
 def graph(symbols: list[str], bonds: list) -> Molecule:
     """The molecule of atoms and bonds (i, j, order) as they stand in a file, aromatic rings marked;
     missing hydrogens fill usual valences."""
@@ -142,7 +215,7 @@ def graph(symbols: list[str], bonds: list) -> Molecule:
     return m
 
 
-SHAPES: dict[str, Callable] = {"usr": shape, "usrcat": shape_by_class, "electroshape": charged_shape, "rdf": radial, "morse": scattering, "whim": principal}
+SHAPES: dict[str, Callable] = {"usr": shape, "usrcat": shape_by_class, "electroshape": charged_shape, "rdf": radial, "morse": scattering, "whim": principal, "autocorr3d": spatial_autocorrelation, "getaway": influence, "shells": shells}
 
 
 def shape_fingerprint(df: DataFrame, id_col: str, kind: str, atoms: str = "atoms", bonds: str = "bonds", out: str = "vector", errors: str = "raise") -> DataFrame:

@@ -13,7 +13,7 @@ from . import properties as P
 from .rings import molecule
 from .smarts import View, pattern
 from .smiles import Molecule, SmilesError
-from .tables import ATOM_TYPES, KEYS
+from .tables import ATOM_TYPES, GROUPS, KEYS
 
 
 def counted(patterns: Iterable[str], view: View, most: int | None = None) -> list[int]:
@@ -102,6 +102,11 @@ def key_fingerprint(df: DataFrame, id_col: str, smiles: str, count: bool = True,
     return vector_fingerprint(df, id_col, smiles, key_counts, errors, count)
 
 
+def group_fingerprint(df: DataFrame, id_col: str, smiles: str, count: bool = True, errors: str = "raise") -> DataFrame:
+    """Functional groups as a pattern fingerprint; bits stand for GROUPS in their order."""
+    return pattern_fingerprint(df, id_col, smiles, [p for _, p in GROUPS], count, errors)
+
+
 def read_patterns(spark: SparkSession, path: str) -> list[tuple[str, str, int, bool]]:
     """(name, smarts, min_count, exclude) of a CSV with such a header; it may have one to a few thousand rows."""
     rows = spark.read.option("header", True).csv(path)

@@ -389,3 +389,15 @@ KEYS: tuple[str | None, ...] = (
     "*!@[CH2]!@*",
     "[#7]~*(~*)~*",
 )
+
+# Published functional groups by name, counted as a fingerprint.
+GROUPS: tuple[tuple[str, str], ...] = (
+    ("C=O", "[CX3]=[OX1]"), ("C=O but no acid", "[C!$(C-[OH])]=O"), ("aliphatic hydroxyl", "[C!$(C=O)]-[OH]"), ("aromatic hydroxyl", "c[OH1]"), ("methoxy", "[OX2](-[#6])-[CH3]"), ("oxime", "[CX3]=[NX2]-[OX2]"), ("ester", "[#6][CX3](=O)[OX2H0][#6]"),
+    ("aliphatic acid", "C-C(=O)[O;H1,-]"), ("aromatic acid", "c-C(=O)[O;H1,-]"), ("acid", "[#6]C(=O)[O;H,-1]"), ("acid or carboxylate", "[CX3](=O)[OX1H0-,OX2H1]"), ("ketone", "[#6][CX3](=O)[#6]"), ("ether", "[OD2]([#6])[#6]"), ("phenol", "[OX2H]-c1ccccc1"), ("aldehyde", "[CX3H1](=O)[#6]"),
+    ("quaternary nitrogen", "[$([NX4+]),$([NX4]=*)]"), ("primary amine", "[NH2,nH2]"), ("secondary amine", "[NH1,nH1]"), ("tertiary amine", "[NH0,nH0]"), ("aromatic nitrogen", "n"), ("aromatic NH", "[nH]"), ("aniline", "c-[NX3;!$(N=*)]"), ("imine", "[Nv3](=C)-[#6]"), ("nitrile", "[NX1]#[CX2]"),
+    ("hydrazine", "[NX3]-[NX3]"), ("hydrazone", "C=N-[NX3]"), ("nitroso", "[N!$(N-O)]=O"), ("hydroxylamine", "[N!$(N=O)](-O)-C"), ("nitro", "[$([NX3](=O)=O),$([NX3+](=O)[O-])][!#8]"), ("azo", "[#6]-N=N-[#6]"), ("diazo", "[N+]#N"), ("azide", "[$(*-[NX2-]-[NX2+]#[NX1]),$(*-[NX2]=[NX2+]=[NX1-])]"),
+    ("amide", "C(=O)-N"), ("primary amide", "C(=O)-[NH2]"), ("amidine", "C(=N)(-N)-[!#7]"), ("guanidine", "C(=N)(N)N"), ("imide", "N(-C(=O))-C=O"), ("isocyanate", "N=C=O"), ("isothiocyanate", "N=C=S"), ("thiocyanate", "S-C#N"), ("halogen", "[#9,#17,#35,#53]"), ("alkyl halide", "[CX4]-[Cl,Br,I,F]"),
+    ("sulfide", "[SX2](-[#6])-C"), ("thiol", "[SH]"), ("thiocarbonyl", "C=[SX1]"), ("sulfone", "S(=,-[OX1;+0,-1])(=,-[OX1;+0,-1])(-[#6])-[#6]"), ("sulfonamide", "N-S(=,-[OX1;+0,-1])(=,-[OX1;+0,-1])-[#6]"), ("primary sulfonamide", "[NH2]-S(=,-[OX1;+0,-1])(=,-[OX1;+0,-1])-[#6]"),
+    ("barbiturate", "C1C(=O)NC(=O)NC1=O"), ("urea", "C(=O)(-N)-N"), ("terminal acetylene", "C#[CH]"), ("imidazole", "n1cncc1"), ("furan", "o1cccc1"), ("thiophene", "s1cccc1"), ("thiazole", "c1scnc1"), ("oxazole", "c1ocnc1"), ("pyridine", "n1ccccc1"), ("piperidine", "N1CCCCC1"), ("piperazine", "N1CCNCC1"),
+    ("morpholine", "O1CCNCC1"), ("beta lactam", "N1C(=O)CC1"), ("lactone", "[C&R1](=O)[O&R1][C&R1]"), ("tetrazole", "c1nnnn1"), ("epoxide", "O1CC1"), ("unbranched alkane", "[R0;D2][R0;D2][R0;D2][R0;D2]"), ("bicyclic", "[R2][R2]"), ("benzene", "c1ccccc1"), ("alkyl carbamate", "C[NH1]C(=O)OC"),
+)

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..chem import common as common_parts
-from ..chem import fingerprints, sequences, shapes, substructure, vectors, writer
-from ..chem.tables import ATOM_TYPES
+from ..chem import fingerprints, pharmacophores, sequences, shapes, substructure, vectors, writer
+from ..chem.tables import GROUPS
 from ..functions.shingles import fold_shingles
 from ..operators import pairs, rules
 
@@ -215,6 +215,14 @@ TYPED = {
 TYPES_SQL = f"WITH {ROWS} SELECT * FROM (" + " UNION ALL ".join(f"SELECT p_partkey, {i}::INT AS bit, ({v})::BIGINT AS count FROM r" for i, v in TYPED.items()) + ") WHERE count > 0"
 
 
+#: Functional groups found in each family by name; those left out are not.
+GROUPED = {
+    "C=O": _by_family("0", "0", "1", "0", "0", "0"), "aliphatic hydroxyl": _by_family("1", "0", "0", "0", "0", "2"), "aliphatic acid": _by_family("0", "0", "1", "0", "0", "0"), "acid": _by_family("0", "0", "1", "0", "0", "0"), "acid or carboxylate": _by_family("0", "0", "1", "0", "0", "0"),
+    "ether": _by_family("0", "0", "0", "0", "0", "n-1"), "primary amine": _N, "halogen": _CL, "alkyl halide": _CL, "benzene": _by_family("0", "1", "0", "0", "0", "0"), "unbranched alkane": _by_family("n-4", "n-4", "n-4", "n-4", "n-3", "3*n-4"),
+}
+GROUPS_SQL = f"WITH {ROWS} SELECT * FROM (" + " UNION ALL ".join(f"SELECT p_partkey, {[n for n, _ in GROUPS].index(name)}::INT AS bit, ({v})::BIGINT AS count FROM r" for name, v in GROUPED.items()) + ") WHERE count > 0"
+
+
 def states(spark, sf_dir: str) -> DataFrame:
     """(p_partkey, bit, value): sums of electrotopological states by atom type."""
     v = vectors.vector_descriptor(molecules(spark, sf_dir), "p_partkey", "smiles", vectors.state_sums)
@@ -253,13 +261,16 @@ o AS (SELECT p_partkey, u.w, u.v * q.v AS v, r FROM p JOIN w u ON u.k = i JOIN w
 def _shape(kind: str) -> Callable:
     def run(spark, sf_dir: str) -> DataFrame:
         out = shapes.shape_fingerprint(conformers(spark, sf_dir), "p_partkey", kind)
-        return out.select("p_partkey", F.posexplode("vector").alias("i", "value")).select("p_partkey", "i", F.round("value", 5).alias("value"))
+        return out.select("p_partkey", F.posexplode("vector").alias("i", "value")).filter(F.lit(kind != "shells") | (F.col("value") != 0)).select("p_partkey", "i", F.round("value", 5).alias("value"))
 
     return run
 
 
 RADIAL_SQL = f"WITH {_PAIRS} SELECT p_partkey, (w * 30 + k)::INT AS i, round(sum(v * exp(-100 * (1 + k / 2.0 - r) * (1 + k / 2.0 - r))), 5) AS value FROM o, (SELECT range AS k FROM range(30)) GROUP BY p_partkey, w, k"
 SCATTERING_SQL = f"WITH {_PAIRS} SELECT p_partkey, (w * 32 + k)::INT AS i, round(sum(v * CASE WHEN k = 0 OR r = 0 THEN 1 ELSE sin(k * r) / (k * r) END), 5) AS value FROM o, (SELECT range AS k FROM range(32)) GROUP BY p_partkey, w, k"
+#: In a chain the bonds between two atoms are their places' difference.
+SPATIAL_SQL = f"""WITH {_PAIRS}, g AS (SELECT p.p_partkey, u.w, p.j - p.i AS lag, avg(u.v * q.v * r) AS value FROM p JOIN w u ON u.k = i JOIN w q ON q.k = j AND q.w = u.w GROUP BY p.p_partkey, u.w, p.j - p.i), a AS (SELECT p_partkey, w, k FROM part, (SELECT range AS w FROM range(7)), (SELECT range AS k FROM range(10)))
+SELECT a.p_partkey, (a.w * 10 + a.k)::INT AS i, round(coalesce(value, 0), 5) AS value FROM a LEFT JOIN g ON a.p_partkey = g.p_partkey AND a.w = g.w AND g.lag = a.k + 1"""
 _TO = "sqrt((c.x-{p}.x)*(c.x-{p}.x) + (c.y-{p}.y)*(c.y-{p}.y) + (c.z-{p}.z)*(c.z-{p}.z))"
 USR_SQL = f"""WITH {_PAIRS}, m AS (SELECT p_partkey, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM c GROUP BY p_partkey), d AS (SELECT c.p_partkey, c.k, c.x, c.y, c.z, {_TO.format(p="m")} AS d FROM c JOIN m ON c.p_partkey = m.p_partkey),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY d, k) AS o FROM d) WHERE o = 1), far AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY d DESC, k) AS o FROM d) WHERE o = 1),
@@ -318,12 +329,13 @@ QUERIES = {"molecule_properties": properties, "molecule_topology": topology, "fi
 SQL = {"molecule_properties": PROPERTIES_SQL, "molecule_topology": TOPOLOGY_SQL, "fingerprint_patterns": PATTERNS_SQL, "filter_patterns": PATTERN_FILTER_SQL, "split_scaffold": SCAFFOLD_SQL, "molecule_largest_fragment": FRAGMENTS_SQL}
 QUERIES |= {"bulk_common_substructure": common, "molecule_from_sequence": peptides}
 SQL |= {"fingerprint_atom_types": TYPES_SQL, "bulk_common_substructure": COMMON_SQL, "molecule_from_sequence": PEPTIDES_SQL}
-QUERIES |= {"fingerprint_quantum_numbers": quantum_numbers, "fingerprint_states": states, "shape_usr": _shape("usr"), "shape_rdf": _shape("rdf"), "shape_morse": _shape("morse"), "shape_usrcat": _shape("usrcat"), "shape_electroshape": _shape("electroshape"), "shape_whim": _shape("whim")}
-SQL |= {"fingerprint_quantum_numbers": NUMBERS_SQL, "fingerprint_states": STATES_SQL, "shape_usr": USR_SQL, "shape_rdf": RADIAL_SQL, "shape_morse": SCATTERING_SQL}
+QUERIES |= {"fingerprint_quantum_numbers": quantum_numbers, "fingerprint_states": states, "shape_usr": _shape("usr"), "shape_rdf": _shape("rdf"), "shape_morse": _shape("morse"), "shape_usrcat": _shape("usrcat"), "shape_electroshape": _shape("electroshape"), "shape_whim": _shape("whim"), "shape_autocorr3d": _shape("autocorr3d"), "shape_getaway": _shape("getaway"), "shape_shells": _shape("shells")}
+SQL |= {"fingerprint_quantum_numbers": NUMBERS_SQL, "fingerprint_states": STATES_SQL, "shape_usr": USR_SQL, "shape_rdf": RADIAL_SQL, "shape_morse": SCATTERING_SQL, "shape_autocorr3d": SPATIAL_SQL, "fingerprint_groups": GROUPS_SQL}
 QUERIES |= {
     "fingerprint_keys": _shingled(lambda m: substructure.key_fingerprint(m, "p_partkey", "smiles")), "fingerprint_atom_types": _shingled(lambda m: substructure.atom_type_fingerprint(m, "p_partkey", "smiles", count=True)),
     "fingerprint_circular_shingles": _shingled(lambda m: writer.folded_circular(m, "p_partkey", "smiles")), "fingerprint_minhash": _shingled(lambda m: writer.minhash_circular(m, "p_partkey", "smiles")),
     "fingerprint_pair_shingles": _shingled(lambda m: fold_shingles(writer.shingles(m, "p_partkey", "smiles", "pairs"), "p_partkey", "shingles")), "molecule_canonical": _shingled(lambda m: writer.canonical(m, "p_partkey", "smiles")),
+    "fingerprint_groups": _shingled(lambda m: substructure.group_fingerprint(m, "p_partkey", "smiles")), "fingerprint_fuzzy_pairs": _shingled(lambda m: vectors.vector_descriptor(m, "p_partkey", "smiles", pharmacophores.fuzzy_pairs)),
     "fingerprint_autocorrelation": _shingled(lambda m: vectors.vector_descriptor(m, "p_partkey", "smiles", vectors.autocorrelation)), "fingerprint_burden": _shingled(lambda m: vectors.vector_descriptor(m, "p_partkey", "smiles", vectors.burden_eigenvalues)),
 }
 for _name in rules.RULE_SETS:
