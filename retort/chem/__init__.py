@@ -1 +1 @@
-"""Molecules from SMILES, graph descriptors and graph fingerprints (aromaticity as written)."""
+"""Molecules from SMILES: descriptors, patterns, filters, fingerprints, shapes and common substructures."""

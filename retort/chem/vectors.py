@@ -197,6 +197,49 @@ def autocorrelation(m: Molecule, lags: int = 8) -> list[float]:
     return [x for b in blocks for x in b]
 
 
+# Bonding radii, by how much bonds of an order shorten, and the upper edges of the bins.
+RADII = {"H": 0.33, "B": 0.88, "C": 0.77, "N": 0.70, "O": 0.66, "F": 0.619, "Si": 1.17, "P": 1.07, "S": 1.04, "Cl": 0.997, "Se": 1.17, "Br": 1.14, "I": 1.33}
+SHORTER = {1.5: 0.1, 1.0: 0.0, 2.0: 0.2, 3.0: 0.3}
+SURFACE_BINS = {
+    "logp": (-0.4, -0.2, 0.0, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6),
+    "refractivity": (1.29, 1.82, 2.24, 2.45, 2.75, 3.05, 3.63, 3.8, 4.0),
+    "charge": (-0.3, -0.25, -0.2, -0.15, -0.1, -0.05, 0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3),
+    "state": (-0.39, 0.29, 0.717, 1.165, 1.54, 1.807, 2.05, 4.69, 9.17, 15.0),
+}
+
+
+def atom_surfaces(m: Molecule) -> np.ndarray:
+    """Labute's share of each atom in the surface of the molecule: its sphere less what its neighbours cover, one hydrogen among them."""
+    radius = np.array([RADII.get(s, 0.77) for s in m.symbols])
+    covered = np.zeros(len(radius))
+
+    def cover(i: float, j: float, shorter: float) -> float:
+        d = min(max(abs(i - j), i + j - shorter), i + j)
+        return j * j - (i - d) ** 2 / d
+
+    for i, j, o in m.bonds:
+        covered[i] += cover(radius[i], radius[j], SHORTER.get(o, 0.0))
+        covered[j] += cover(radius[j], radius[i], SHORTER.get(o, 0.0))
+    covered += [cover(r, RADII["H"], 0.0) for r in radius]
+    return 4 * np.pi * radius**2 - np.pi * radius * covered
+
+
+def surface_bins(m: Molecule, kinds: tuple[str, ...] = ("logp", "refractivity", "charge", "state")) -> list[float]:
+    """Surfaces of the atoms, summed in bins of a property: 12 numbers by partition, 10 by refractivity, 14 by charge, 11 by state."""
+    surface, out = atom_surfaces(m), []
+    for kind in kinds:
+        if kind == "charge":
+            value = np.array(partial_charges(m, "gasteiger"))
+        elif kind == "state":
+            value = states(m)
+        else:
+            column = 1 if kind == "logp" else 2
+            value = np.array([ATOM_TYPES[k][column] if k >= 0 else 0.0 for k in P.atom_types(m)[: len(m.symbols)]])
+        edges = SURFACE_BINS[kind]
+        out += np.bincount(np.searchsorted(edges, value, side="right"), surface, len(edges) + 1).tolist()
+    return out
+
+
 def vector_descriptor(df: DataFrame, id_col: str, smiles: str, make: Callable[[Molecule], list], out: str = "vector", errors: str = "null") -> DataFrame:
     """(id, array<double>) of ``make(molecule)``; null for a text that is no SMILES, or an error with "raise"."""
 

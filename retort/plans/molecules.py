@@ -335,6 +335,7 @@ QUERIES |= {
     "fingerprint_keys": _shingled(lambda m: substructure.key_fingerprint(m, "p_partkey", "smiles")), "fingerprint_atom_types": _shingled(lambda m: substructure.atom_type_fingerprint(m, "p_partkey", "smiles", count=True)),
     "fingerprint_circular_shingles": _shingled(lambda m: writer.folded_circular(m, "p_partkey", "smiles")), "fingerprint_minhash": _shingled(lambda m: writer.minhash_circular(m, "p_partkey", "smiles")),
     "fingerprint_pair_shingles": _shingled(lambda m: fold_shingles(writer.shingles(m, "p_partkey", "smiles", "pairs"), "p_partkey", "shingles")), "molecule_canonical": _shingled(lambda m: writer.canonical(m, "p_partkey", "smiles")),
+    "fingerprint_surface_bins": _shingled(lambda m: vectors.vector_descriptor(m, "p_partkey", "smiles", vectors.surface_bins)),
     "fingerprint_groups": _shingled(lambda m: substructure.group_fingerprint(m, "p_partkey", "smiles")), "fingerprint_fuzzy_pairs": _shingled(lambda m: vectors.vector_descriptor(m, "p_partkey", "smiles", pharmacophores.fuzzy_pairs)),
     "fingerprint_autocorrelation": _shingled(lambda m: vectors.vector_descriptor(m, "p_partkey", "smiles", vectors.autocorrelation)), "fingerprint_burden": _shingled(lambda m: vectors.vector_descriptor(m, "p_partkey", "smiles", vectors.burden_eigenvalues)),
 }

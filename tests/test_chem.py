@@ -140,3 +140,15 @@ def test_shape_operator(spark):
     df = spark.createDataFrame([(1, [(0.0, 0.0, 0.0, "C"), (1.0, 0.0, 0.0, "C"), (0.0, 1.0, 0.0, "O")], [(0, 1, 1), (0, 2, 1)]), (2, None, None), (3, [(0.0, 0.0, 0.0, "C")], [])], f"id long, atoms {atoms}, bonds array<struct<i: int, j: int, order: int>>")
     got = {r["id"]: r["vector"] for r in shapes.shape_fingerprint(df, "id", "usr", errors="null").collect()}
     assert len(got[1]) == 12 and got[2] is None and got[3] is None
+
+
+def test_surface_of_benzene():
+    bins = vectors.surface_bins(molecule("c1ccccc1"), ("logp", "refractivity"))
+    assert len(vectors.surface_bins(molecule("CCO"))) == 47 and bins[5] == pytest.approx(36.398, abs=1e-3) and sum(bins) == pytest.approx(2 * bins[5])
+
+
+def test_parts_of_a_molecule_pass_the_screen():
+    from retort.chem import pharmacophores
+
+    whole, part = pharmacophores.screening_paths(molecule("CC(=O)Oc1ccccc1C(=O)O")), pharmacophores.screening_paths(molecule("CC(=O)O"))
+    assert set(part) <= set(whole) and not set(whole) <= set(part)
