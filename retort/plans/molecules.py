@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..chem import common as common_parts
-from ..chem import fingerprints, pharmacophores, sequences, shapes, substructure, vectors, writer
+from ..chem import common, fingerprints, pharmacophores, sequences, shapes, substructure, vectors, writer
+from ..chem import fragments as parts
 from ..chem.tables import GROUPS
 from ..functions.shingles import fold_shingles
 from ..operators import pairs, rules
@@ -284,14 +284,19 @@ SELECT p_partkey, (g * 3 + q)::INT AS i, round(value, 5) AS value FROM l"""
 SHORT = "(2 + (p_partkey // 6) % 6)"
 
 
-def common(spark, sf_dir: str) -> DataFrame:
-    """(i, j, similarity, distance): molecules whose key is divisible by 100 against all, by their largest common substructure."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    m = part.select("p_partkey", F.expr(SMILES.format(f=FAMILY, n=f"cast({SHORT.replace('//', 'div')} as int)")).alias("smiles"))
-    each = m.groupBy("smiles").agg(F.collect_list("p_partkey").alias("keys"))
-    asked = m.filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("i"), F.col("smiles").alias("one"))
-    out = common_parts.pair_similarity(pairs.crossed(asked, each), "one", "smiles")
-    return out.select("i", F.explode("keys").alias("j"), F.round("similarity", 6).alias("similarity"), F.round("distance", 6).alias("distance"))
+def _against_all(measure: Callable) -> Callable:
+    """(i, j, similarity, distance): molecules whose key is divisible by 100 against all, each different text once."""
+
+    def run(spark, sf_dir: str) -> DataFrame:
+        part = spark.read.parquet(f"{sf_dir}/part.parquet")
+        m = part.select("p_partkey", F.expr(SMILES.format(f=FAMILY, n=f"cast({SHORT.replace('//', 'div')} as int)")).alias("smiles"))
+        each = m.select("smiles").distinct()
+        asked = m.filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("i"), F.col("smiles").alias("one"))
+        out = measure(pairs.crossed(asked, each), "one", "smiles")
+        out = out.select("i", "smiles", F.round("similarity", 6).alias("similarity"), F.round("distance", 6).alias("distance"))
+        return out.join(m.withColumnRenamed("p_partkey", "j"), "smiles").select("i", "j", "similarity", "distance")
+
+    return run
 
 
 #: Atoms in common of two families of lengths n and m, the lesser family first.
@@ -327,7 +332,7 @@ def _shingled(run: Callable) -> Callable:
 
 QUERIES = {"molecule_properties": properties, "molecule_topology": topology, "fingerprint_patterns": patterns, "filter_patterns": pattern_filter, "split_scaffold": scaffolds, "molecule_largest_fragment": fragments}
 SQL = {"molecule_properties": PROPERTIES_SQL, "molecule_topology": TOPOLOGY_SQL, "fingerprint_patterns": PATTERNS_SQL, "filter_patterns": PATTERN_FILTER_SQL, "split_scaffold": SCAFFOLD_SQL, "molecule_largest_fragment": FRAGMENTS_SQL}
-QUERIES |= {"bulk_common_substructure": common, "molecule_from_sequence": peptides}
+QUERIES |= {"bulk_common_substructure": _against_all(common.pair_similarity), "bulk_fragments": _against_all(parts.pair_fragment_similarity), "molecule_from_sequence": peptides}
 SQL |= {"fingerprint_atom_types": TYPES_SQL, "bulk_common_substructure": COMMON_SQL, "molecule_from_sequence": PEPTIDES_SQL}
 QUERIES |= {"fingerprint_quantum_numbers": quantum_numbers, "fingerprint_states": states, "shape_usr": _shape("usr"), "shape_rdf": _shape("rdf"), "shape_morse": _shape("morse"), "shape_usrcat": _shape("usrcat"), "shape_electroshape": _shape("electroshape"), "shape_whim": _shape("whim"), "shape_autocorr3d": _shape("autocorr3d"), "shape_getaway": _shape("getaway"), "shape_shells": _shape("shells")}
 SQL |= {"fingerprint_quantum_numbers": NUMBERS_SQL, "fingerprint_states": STATES_SQL, "shape_usr": USR_SQL, "shape_rdf": RADIAL_SQL, "shape_morse": SCATTERING_SQL, "shape_autocorr3d": SPATIAL_SQL, "fingerprint_groups": GROUPS_SQL}

@@ -5,7 +5,7 @@ import pytest
 
 from retort.chem import descriptors as D
 from retort.chem import fingerprints as P
-from retort.chem import properties, shapes, smarts, substructure, vectors, writer
+from retort.chem import common, properties, shapes, smarts, substructure, vectors, writer
 from retort.chem.rings import molecule
 from retort.chem.smiles import SmilesError, largest_fragment, parse
 
@@ -152,3 +152,13 @@ def test_parts_of_a_molecule_pass_the_screen():
 
     whole, part = pharmacophores.screening_paths(molecule("CC(=O)Oc1ccccc1C(=O)O")), pharmacophores.screening_paths(molecule("CC(=O)O"))
     assert set(part) <= set(whole) and not set(whole) <= set(part)
+
+
+def test_common_substructure_and_fragments():
+    from retort.chem import fragments
+
+    one, two = molecule("COc1cc(CN2CCC(NC(=O)c3cncc(C)c3)CC2)c(OC)c2ccccc12"), molecule("COc1ccccc1")
+    assert 1 - common.similarity(one, two) == pytest.approx(0.7419354838709677)
+    assert common.similarity(two, two) == fragments.fragment_similarity(two, two) == 1.0
+    plain = fragments._tanimoto({f for f, _ in fragments.path_features(one)}, {f for f, _ in fragments.path_features(two)})
+    assert plain <= fragments.fragment_similarity(one, two) < 1

@@ -47,6 +47,6 @@ def test_every_query_without_sql_is_named():
     """So that one whose SQL gets lost is noticed."""
     none = set(catalog.queries()) - set(catalog.oracle_sql())
     assert none == {
-        "ad_pca_box", "split_randomized_groups", "search_grid", "shape_usrcat", "shape_electroshape", "shape_whim", "shape_getaway", "shape_shells", "molecule_canonical", "fingerprint_property_pairs", "fingerprint_feature_sets", "fingerprint_screening", "fingerprint_fuzzy_pairs", "fingerprint_surface_bins", "fingerprint_circular", "fingerprint_atom_pairs", "fingerprint_torsions", "fingerprint_linear_paths",
+        "ad_pca_box", "bulk_fragments", "split_randomized_groups", "search_grid", "shape_usrcat", "shape_electroshape", "shape_whim", "shape_getaway", "shape_shells", "molecule_canonical", "fingerprint_property_pairs", "fingerprint_feature_sets", "fingerprint_screening", "fingerprint_fuzzy_pairs", "fingerprint_surface_bins", "fingerprint_circular", "fingerprint_atom_pairs", "fingerprint_torsions", "fingerprint_linear_paths",
         "fingerprint_layered", "fingerprint_keys", "fingerprint_circular_shingles", "fingerprint_minhash", "fingerprint_pair_shingles", "fingerprint_autocorrelation", "fingerprint_burden",
     }
