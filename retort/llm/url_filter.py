@@ -62,6 +62,7 @@ def templates(urls: DataFrame, stage: Staging, depth: int = DEPTH, variable_at:
         joined = now.join(varies, ["host", "template"], "left")
         step = F.when(segment.isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.when(F.col("_varies"), F.lit("*")).otherwise(segment)))
         now = stage.put(joined.withColumn("template", F.concat("template", step)).drop("_varies"), f"level-{level + 1}")
+        stage.drop(f"level-{level}")
     return now
 
 
@@ -120,6 +121,8 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     overall = (total[0] or 0) / (total[1] or 1)
     tree = templates(urls, stage)
     leaves = merged(tree, stage)
+    for name in ("urls", "sides"):
+        stage.drop(name)
     hosts = leaves.groupBy("host").agg(((F.sum("bad") + strength * overall) / (F.sum("known") + strength)).alias("_host_share"))
     branches = leaves.groupBy("host", "branch").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known")).join(hosts, "host")
     impure = branches.select("host", "branch", ((F.col("bad") + strength * F.col("_host_share")) / (F.col("known") + strength)).alias("impurity"), (F.col("bad") > 0).alias("seen_bad"))
