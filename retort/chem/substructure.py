@@ -13,7 +13,7 @@ from . import properties as P
 from .rings import molecule
 from .smarts import View, pattern
 from .smiles import Molecule, SmilesError
-from .tables import ATOM_TYPES, GROUPS, KEYS
+from .tables import ATOM_TYPES, GROUPS, KEYS, REACTIVE
 
 
 def counted(patterns: Iterable[str], view: View, most: int | None = None) -> list[int]:
@@ -115,6 +115,11 @@ def read_patterns(spark: SparkSession, path: str) -> list[tuple[str, str, int, b
     return [tuple(r) for r in rows.select("name", "smarts", least, drop).limit(100_000).collect()]
 
 
+def filter_reactive(df: DataFrame, id_col: str, smiles: str, **options) -> DataFrame:
+    """Molecules without a reactive group or a long chain; options are those of ``filter_by_patterns``."""
+    return filter_by_patterns(df, id_col, smiles, [(name, p, 1, True) for name, p in REACTIVE], **options)
+
+
 def filter_by_patterns(df: DataFrame, id_col: str, smiles: str, patterns: list[tuple[str, str, int, bool]], allow_one_violation: bool = False, severity: int = 10, return_type: str = "mol", errors: str = "raise") -> DataFrame:
     """Molecules without unwanted substructures: rows that pass (``mol``), all rows with ``passed``
     (``indicators``), or beside it the names of the patterns found (``condition_indicators``).

@@ -401,3 +401,12 @@ GROUPS: tuple[tuple[str, str], ...] = (
     ("barbiturate", "C1C(=O)NC(=O)NC1=O"), ("urea", "C(=O)(-N)-N"), ("terminal acetylene", "C#[CH]"), ("imidazole", "n1cncc1"), ("furan", "o1cccc1"), ("thiophene", "s1cccc1"), ("thiazole", "c1scnc1"), ("oxazole", "c1ocnc1"), ("pyridine", "n1ccccc1"), ("piperidine", "N1CCCCC1"), ("piperazine", "N1CCNCC1"),
     ("morpholine", "O1CCNCC1"), ("beta lactam", "N1C(=O)CC1"), ("lactone", "[C&R1](=O)[O&R1][C&R1]"), ("tetrazole", "c1nnnn1"), ("epoxide", "O1CC1"), ("unbranched alkane", "[R0;D2][R0;D2][R0;D2][R0;D2]"), ("bicyclic", "[R2][R2]"), ("benzene", "c1ccccc1"), ("alkyl carbamate", "C[NH1]C(=O)OC"),
 )
+
+# Published reactive groups that screening sets leave out, by name.
+REACTIVE: tuple[tuple[str, str], ...] = (
+    ("reactive alkyl halide", "[Br,Cl,I][CX4;CH,CH2]"), ("acid halide", "[S,C](=[O,S])[F,Br,Cl,I]"), ("carbazide", "O=CN=[N+]=[N-]"), ("sulphate ester", "COS(=O)O[C,c]"), ("sulphonate", "COS(=O)(=O)[C,c]"), ("acid anhydride", "C(=O)OC(=O)"), ("peroxide", "OO"),
+    ("pentafluorophenyl ester", "C(=O)Oc1c(F)c(F)c(F)c(F)c1(F)"), ("paranitrophenyl ester", "C(=O)Oc1ccc(N(=O)=O)cc1"), ("benzotriazole ester", "C(=O)Onnn"), ("isocyanate or isothiocyanate", "N=C=[S,O]"), ("triflate", "OS(=O)(=O)C(F)(F)F"), ("thionating agent", "P(=S)(S)S"),
+    ("phosphoramide", "NP(=O)(N)N"), ("aromatic azide", "cN=[N+]=[N-]"), ("beta carbonyl quaternary nitrogen", "C(=O)C[N+,n+]"), ("acylhydrazide", "[N;R0][N;R0]C(=O)"), ("quaternary carbon, chlorine, iodine, phosphorus or sulphur", "[C+,Cl+,I+,P+,S+]"), ("phosphorane", "C=P"),
+    ("chloramidine", "[Cl]C([C&R0])=N"), ("nitroso", "[N&D2](=O)"), ("phosphorus or sulphur halide", "[P,S][Cl,Br,F,I]"), ("carbodiimide", "N=C=N"), ("isonitrile", "[N+]#[C-]"), ("triacyloxime", "C(=O)N(C(=O))OC(=O)"), ("cyanohydrin", "N#CC[OH]"), ("acyl cyanide", "N#CC(=O)"),
+    ("sulfonyl cyanide", "S(=O)(=O)C#N"), ("cyanophosphonate", "P(OCC)(OCC)(=O)C#N"), ("azocyanamide", "[N;R0]=[N;R0]C#N"), ("azoalkanal", "[N;R0]=[N;R0]CC=O"), ("disulphide", "SS"), ("thiol", "[SH]"), ("epoxide, thioepoxide or aziridine", "C1[O,S,N]C1"), ("thiocyanate", "SC#N"), ("long methylene chain", "[CD2;R0][CD2;R0][CD2;R0][CD2;R0][CD2;R0][CD2;R0][CD2;R0]"),
+)

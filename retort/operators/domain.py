@@ -245,14 +245,17 @@ class Neighbours:
         return self.score(df, id_col, vector).withColumn("inside", F.col("score") <= self.limit)
 
 
-def knn_domain(train: DataFrame, id_col: str, vector: str, metric: Callable[[Column, Column], Column], k: int = 1, agg: str = "mean", threshold: float = 95) -> Neighbours:
+def knn_domain(train: DataFrame, id_col: str, vector: str, metric: Callable[[Column, Column], Column], k: int = 1, agg: str = "mean", threshold: float = 95, fit_rows: int | None = None) -> Neighbours:
     """Inside if the mean, max or min distance to the nearest training rows is at most the
     ``threshold`` percentile of training rows' own. k+1 neighbours are taken in training, where the
-    row itself is dropped, and for queries, where all count; "min" takes two."""
+    row itself is dropped, and for queries, where all count; "min" takes two. The limit comes from
+    all training rows, or from ``fit_rows`` of them, those with the least hash of their id, each
+    held against all, as every pair of a large training set is too much."""
     if k < 1 or agg not in ("mean", "max", "min") or not 0 <= threshold <= 100:
         raise ValueError("k must be at least 1, agg mean, max or min, threshold 0 to 100")
     used = 2 if agg == "min" else k + 1
-    near = knn_join(train, train, id_col, id_col, vector, vector, metric, used).filter("rank > 1")
+    asked = train if fit_rows is None else train.orderBy(F.xxhash64(id_col), id_col).limit(fit_rows)
+    near = knn_join(asked, train, id_col, id_col, vector, vector, metric, used).filter("rank > 1")
     own = near.groupBy("i").agg(getattr(F, {"mean": "avg"}.get(agg, agg))("distance").alias("d"))
     limit = _percentile(own.select(F.col("d").alias("v")), threshold / 100)
     return Neighbours(train, id_col, vector, metric, used, agg, float(limit))

@@ -167,6 +167,16 @@ def pattern_filter(spark, sf_dir: str) -> DataFrame:
 PATTERN_FILTER_SQL = f"WITH {ROWS} SELECT p_partkey, f = 0 OR (f = 5 AND n-1 < 4) AS passed, CASE WHEN f = 2 THEN 'acid' WHEN f = 5 AND n-1 >= 4 THEN 'ethers' WHEN f = 4 THEN 'chloride' WHEN f IN (1, 3) THEN 'ring' ELSE '' END AS found FROM r"
 
 
+def reactive_filter(spark, sf_dir: str) -> DataFrame:
+    out = substructure.filter_reactive(molecules(spark, sf_dir), "p_partkey", "smiles", return_type="condition_indicators", allow_one_violation=True)
+    return out.select("p_partkey", "passed", F.array_join("found", ",").alias("found"))
+
+
+#: Seven methylene groups in a row, not next to a ring's bond, and chlorides; only a long chloride breaks two rules.
+REACTIVE_SQL = f"""WITH {ROWS}, q AS (SELECT p_partkey, f = 4 AS halide, {_by_family("n-1", "n-1", "n-1", "n-1", "n", "0")} >= 7 AS long FROM r)
+SELECT p_partkey, NOT (halide AND long) AS passed, CASE WHEN halide AND long THEN 'reactive alkyl halide,long methylene chain' WHEN halide THEN 'reactive alkyl halide' WHEN long THEN 'long methylene chain' ELSE '' END AS found FROM q"""
+
+
 def scaffolds(spark, sf_dir: str) -> DataFrame:
     """Scaffold split: chains share the empty scaffold, rings of one kind theirs."""
     m = molecules(spark, sf_dir)
@@ -330,8 +340,8 @@ def _shingled(run: Callable) -> Callable:
     return lambda spark, sf_dir: run(molecules(spark, sf_dir))
 
 
-QUERIES = {"molecule_properties": properties, "molecule_topology": topology, "fingerprint_patterns": patterns, "filter_patterns": pattern_filter, "split_scaffold": scaffolds, "molecule_largest_fragment": fragments}
-SQL = {"molecule_properties": PROPERTIES_SQL, "molecule_topology": TOPOLOGY_SQL, "fingerprint_patterns": PATTERNS_SQL, "filter_patterns": PATTERN_FILTER_SQL, "split_scaffold": SCAFFOLD_SQL, "molecule_largest_fragment": FRAGMENTS_SQL}
+QUERIES = {"molecule_properties": properties, "molecule_topology": topology, "fingerprint_patterns": patterns, "filter_patterns": pattern_filter, "filter_reactive": reactive_filter, "split_scaffold": scaffolds, "molecule_largest_fragment": fragments}
+SQL = {"molecule_properties": PROPERTIES_SQL, "molecule_topology": TOPOLOGY_SQL, "fingerprint_patterns": PATTERNS_SQL, "filter_patterns": PATTERN_FILTER_SQL, "filter_reactive": REACTIVE_SQL, "split_scaffold": SCAFFOLD_SQL, "molecule_largest_fragment": FRAGMENTS_SQL}
 QUERIES |= {"bulk_common_substructure": _against_all(common.pair_similarity), "bulk_fragments": _against_all(parts.pair_fragment_similarity), "molecule_from_sequence": peptides}
 SQL |= {"fingerprint_atom_types": TYPES_SQL, "bulk_common_substructure": COMMON_SQL, "molecule_from_sequence": PEPTIDES_SQL}
 QUERIES |= {"fingerprint_quantum_numbers": quantum_numbers, "fingerprint_states": states, "shape_usr": _shape("usr"), "shape_rdf": _shape("rdf"), "shape_morse": _shape("morse"), "shape_usrcat": _shape("usrcat"), "shape_electroshape": _shape("electroshape"), "shape_whim": _shape("whim"), "shape_autocorr3d": _shape("autocorr3d"), "shape_getaway": _shape("getaway"), "shape_shells": _shape("shells")}
