@@ -147,8 +147,11 @@ def layered(m: Molecule, least: int = 1, most: int = 7) -> Counter:
 KINDS: dict[str, Callable[..., Counter]] = {"circular": circular, "atom_pairs": atom_pairs, "torsions": torsions, "linear_paths": linear_paths, "layered": layered}
 
 
-def fingerprint(df: DataFrame, id_col: str, smiles: str, kind: str = "circular", fp_size: int = 2048, count: bool = False, errors: str = "raise", **options) -> DataFrame:
-    """(id, bit, count) of every non-zero slot; a text that is no SMILES raises or is left out."""
+def fingerprint(df: DataFrame, id_col: str, smiles: str, kind: str = "circular", fp_size: int = 2048, count: bool = False, errors: str = "raise", count_simulation: bool = False, **options) -> DataFrame:
+    """(id, bit, count) of every non-zero slot; a text that is no SMILES raises or is left out.
+
+    With ``count_simulation`` a feature has four slots, set if it is found 1, 2, 4 and 8 times or more.
+    """
     if kind not in KINDS or fp_size < 1 or errors not in ("raise", "ignore"):
         raise ValueError("unknown kind, size or errors")
     make = KINDS[kind]
@@ -156,7 +159,11 @@ def fingerprint(df: DataFrame, id_col: str, smiles: str, kind: str = "circular",
     def folded(m: Molecule) -> list[tuple[int, int]]:
         slots: Counter = Counter()
         for n, k in make(m, **options).items():
-            slots[n % fp_size] += k
+            if count_simulation:
+                base = n % max(1, fp_size // 4) * 4
+                slots.update({base + t: 1 for t, least in enumerate((1, 2, 4, 8)) if k >= least})
+            else:
+                slots[n % fp_size] += k
         return sorted(slots.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,6 +180,26 @@ def fingerprint(df: DataFrame, id_col: str, smiles: str, kind: str = "circular",
     return df.select(id_col, smiles).mapInArrow(run, schema)
 
 
+MOLECULE = "atoms array<struct<symbol: string, charge: int, hydrogens: int, aromatic: boolean>>, bonds array<struct<i: int, j: int, order: double>>"
+
+
+def read_molecules(df: DataFrame, id_col: str, smiles: str, errors: str = "raise") -> DataFrame:
+    """(id, atoms, bonds) of each SMILES: elements, charges, hydrogens and aromaticity of the atoms, ends
+    and order of the bonds (1.5 if aromatic). What is no SMILES raises, or gives nulls with errors "null"."""
+    kinds = [pa.list_(pa.struct([("symbol", pa.string()), ("charge", pa.int32()), ("hydrogens", pa.int32()), ("aromatic", pa.bool_())])), pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32()), ("order", pa.float64())]))]
+
+    def made(m: Molecule) -> tuple[list[dict], list[dict]]:
+        atoms = zip(m.symbols, m.charges, m.hydrogens, m.aromatic, strict=True)
+        return [{"symbol": s, "charge": q, "hydrogens": h, "aromatic": a} for s, q, h, a in atoms], [{"i": i, "j": j, "order": o} for i, j, o in m.bonds]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = by_text(b, 1, made, errors)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] if r else None for r in rows], kind) for k, kind in enumerate(kinds))], [id_col, "atoms", "bonds"])
+
+    return df.select(id_col, smiles).mapInArrow(run, T.StructType([df.schema[id_col], *T._parse_datatype_string(MOLECULE).fields]))
+
+
 #: All descriptors by name.
 DESCRIPTORS = {**D.DESCRIPTORS, **P.PROPERTIES}
 #: Other names of descriptors.

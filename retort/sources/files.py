@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def read_sdf(spark: SparkSession, path: str) -> DataFrame:
-    """(title, atoms, bonds, block): one row for each molecule block of an SDF file or folder.
+    """(title, atoms, bonds, properties, block): one row for each molecule block of an SDF file or folder;
+    properties are the data items behind a block, as an array of name and value.
 
     The text source splits at ``$$$$``, so a file is read in parallel; fields stand at fixed
     places of the V2000 format.
@@ -19,7 +20,9 @@ def read_sdf(spark: SparkSession, path: str) -> DataFrame:
     number = lambda s, at, n, kind: F.trim(F.substring(s, at, n)).cast(kind)
     atom = lambda s: F.struct(number(s, 1, 10, "double").alias("x"), number(s, 11, 10, "double").alias("y"), number(s, 21, 10, "double").alias("z"), F.trim(F.substring(s, 32, 3)).alias("symbol"))
     bond = lambda s: F.struct((number(s, 1, 3, "int") - 1).alias("i"), (number(s, 4, 3, "int") - 1).alias("j"), number(s, 7, 3, "int").alias("order"))
-    return rows.select(F.trim(F.get("lines", F.lit(0))).alias("title"), F.transform(F.slice("lines", F.lit(5), F.col("na")), atom).alias("atoms"), F.transform(F.slice("lines", F.col("na") + 5, F.col("nb")), bond).alias("bonds"), "block")
+    item = lambda k: F.regexp_extract_all("block", F.lit(r"(?m)^> +(?:\([^)]*\) *)?<([^>]+)>[^\r\n]*\r?\n([^\r\n]*)"), F.lit(k))
+    properties = F.transform(F.arrays_zip(item(1).alias("name"), item(2).alias("value")), lambda p: F.struct(p["name"].alias("name"), F.trim(p["value"]).alias("value"))).alias("properties")
+    return rows.select(F.trim(F.get("lines", F.lit(0))).alias("title"), F.transform(F.slice("lines", F.lit(5), F.col("na")), atom).alias("atoms"), F.transform(F.slice("lines", F.col("na") + 5, F.col("nb")), bond).alias("bonds"), properties, "block")
 
 
 def sdf_block(title: Column, atoms: Column, bonds: Column) -> Column:

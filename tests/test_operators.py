@@ -87,7 +87,7 @@ def test_sdf_round_trip(spark, tmp_path):
     atoms = [(0.0, 1.5, -2.25, "C"), (1.0, 0.0, 0.0, "Cl")]
     df = spark.createDataFrame([("m1", atoms, [(0, 1, 1)]), ("m2", atoms[:1], [])], "title string, atoms array<struct<x: double, y: double, z: double, symbol: string>>, bonds array<struct<i: int, j: int, order: int>>")
     files.write_sdf(df, str(tmp_path / "out"))
-    back = files.read_sdf(spark, str(tmp_path / "out")).drop("block")
+    back = files.read_sdf(spark, str(tmp_path / "out")).drop("block", "properties")
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
 
 
@@ -170,3 +170,11 @@ def test_running_sums_and_percentiles_by_buckets(spark, monkeypatch):
     for k in range(3):
         values = [r[1] for r in rows if r[0] == k]
         assert got[k] == pytest.approx(np.percentile(values, [0, 37, 99]))
+
+
+def test_sdf_data_items(spark, tmp_path):
+    block = "name\n  x\n\n  1  0  0  0  0  0  0  0  0  0999 V2000\n    1.0000    2.0000    3.0000 C   0  0\nM  END\n> <LogP>\n1.5\n\n>  <NAME> (1)\nab c\n\n$$$$\n"
+    (tmp_path / "a.sdf").write_text(block * 2)
+    got = files.read_sdf(spark, str(tmp_path / "a.sdf")).collect()
+    assert len(got) == 2 and all([tuple(p) for p in r["properties"]] == [("LogP", "1.5"), ("NAME", "ab c")] for r in got)
+    assert got[0]["title"] == "name" and got[0]["atoms"][0]["z"] == 3.0
