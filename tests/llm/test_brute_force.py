@@ -295,3 +295,50 @@ def test_url_filter_against_plain_loops(spark, seed):
         assert r["impurity"] == pytest.approx(impurity)
         assert r["verdict"] == ("block" if b and impurity >= 0.5 else "allow")
     assert {r["template"] for r in got if r["host"] == "a.net"} >= {"/news/#", "/spam/#.html"}
+
+
+def plain_terms(texts, reach=8, least=3, probability=0.5, npmi=0.5):
+    """Places of disclosing words by loops over documents."""
+    low = lambda w: w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    held, near, spans = [], set(), []
+    for t in texts:
+        words = [(m.start(), m.end(), low(m[0])) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+        base = pii.base_spans(t or "")
+        free = [w for w in words if not any(w[0] < b and a < w[1] for _, a, b, _ in base)]
+        held.append(({w for _, _, w in words}, {(k, v) for k, _, _, v in base}))
+        spans.append(free)
+        for k, a, b, v in base:
+            first = max((i for i, w in enumerate(words) if w[0] <= a), default=-1)
+            last = next((i for i, w in enumerate(words) if w[0] >= b), len(words))
+            near |= {((k, v), w[2]) for i, w in enumerate(words) if first - reach <= i < last + reach and w in free}
+    total = sum(bool(w) for w, _ in held)
+    terms = set()
+    for e, t in near:
+        n_e, n_t = sum(e in x for _, x in held), sum(t in w for w, _ in held)
+        n_et = sum(e in x and t in w for w, x in held)
+        if n_e >= least and n_et >= least and n_et / n_t >= probability:
+            p = n_et / total
+            if p == 1 or math.log(n_et * total / (n_t * n_e)) / -math.log(p) >= npmi:
+                terms.add(t)
+    return [{(a, b) for a, b, w in free if w in terms} for free in spans]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_pii_terms_against_plain_counts(spark, seed):
+    rng = random.Random(seed)
+    names = [f"person{i}" for i in range(12)]
+    texts = [None, "", " "]
+    for _ in range(250):
+        words = [rng.choice(["alpha", "beta", "gamma", "delta", "Omega"]) for _ in range(rng.randrange(3, 40))]
+        for _ in range(rng.randrange(3)):
+            n = rng.choice(names)
+            at = rng.randrange(len(words))
+            words[at:at] = [n] * (rng.random() < 0.8) + [f"{n}@mail.org"] * (rng.random() < 0.8) + [rng.choice(["filler"] * 3 + [n.upper()])]
+        texts.append(" ".join(words))
+    texts += texts[5:8] * 5
+    got = {r["doc_id"]: r for r in pii.pii(frame(spark, texts)).collect()}
+    want = plain_terms(texts)
+    assert any(want)
+    for i in range(len(texts)):
+        found = {tuple(map(int, s.split(":")[1:])) for s in got[i]["spans"].split(",") if s.startswith("term")}
+        assert found == want[i], (i, texts[i])
