@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -191,6 +192,10 @@ def folded_circular(df: DataFrame, id_col: str, smiles: str, fp_size: int = 2048
 PRIME = (1 << 31) - 1
 
 
+def _seed(name: str, slot: int) -> int:
+    return int.from_bytes(hashlib.sha1(f"{name}{slot}".encode()).digest()[:4], "little") % (PRIME - 1) + 1
+
+
 def minhash_circular(df: DataFrame, id_col: str, smiles: str, size: int = 128, **options) -> DataFrame:
     """(id, slot, value): MinHash of circular shingles, for each slot the least permuted hash.
 
@@ -198,7 +203,7 @@ def minhash_circular(df: DataFrame, id_col: str, smiles: str, size: int = 128, *
     """
     made = shingles(df, id_col, smiles, "circular", **options).select(id_col, F.explode("shingles").alias("s"))
     x = F.pmod(shingle_hash(F.col("s")), F.lit(PRIME))
-    slots = made.select(id_col, x.alias("x")).distinct().select(id_col, "x", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("slot"))
-    seed = lambda name: F.pmod(shingle_hash(F.concat(F.lit(name), F.col("slot").cast("string"))), F.lit(PRIME - 1)) + 1
-    value = F.pmod(seed("a") * F.col("x") + seed("b"), F.lit(PRIME).cast("bigint"))  # below 2**62 before
+    factors = [F.split(F.lit(",".join(str(_seed(name, k)) for k in range(size))), ",").cast("array<bigint>") for name in "ab"]
+    slots = made.select(id_col, x.alias("x")).distinct().select(id_col, "x", F.posexplode(F.arrays_zip(factors[0].alias("a"), factors[1].alias("b"))).alias("slot", "f"))
+    value = F.pmod(F.col("f.a") * F.col("x") + F.col("f.b"), F.lit(PRIME).cast("bigint"))  # below 2**62 before
     return slots.groupBy(id_col, "slot").agg(F.min(value).alias("value"))
