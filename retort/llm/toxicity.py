@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -224,10 +224,10 @@ def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     """
     docs = fresh(docs, out)
     names = docs.columns
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(getattr(model, f.name) for f in fields(model)))  # two dictionaries of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Model(*shared.value)
         a, b = compressor(m.ordinary, m.window, m.level), compressor(m.toxic, m.window, m.level)
         for batch in pieces(batches):
             x = (statistics(batch.column("text"), a, b, m.window) - m.means) / m.scales
