@@ -63,6 +63,24 @@ def by_text(batch: pa.RecordBatch, column: int, make: Callable[[Molecule], objec
     return out
 
 
+def ensure_molecules(df: DataFrame, smiles: str, out: str = "is_molecule") -> DataFrame:
+    """``df`` with whether a text column is a SMILES that the reader takes; null and empty texts are none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = by_text(b, b.schema.get_field_index(smiles), lambda m: True, "null")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([bool(x) for x in found], pa.bool_())], [*b.schema.names, out])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BooleanType())]))
+
+
+def require_molecules(df: DataFrame, smiles: str) -> DataFrame:
+    """``df`` as it is; a row whose text is no SMILES is an error when it is read."""
+    checked = ensure_molecules(df, smiles, "_is_molecule")
+    fault = F.raise_error(F.concat(F.lit("no molecule: "), F.coalesce(F.col(smiles), F.lit("null")))).cast("boolean")
+    return checked.filter(F.when(F.col("_is_molecule"), F.lit(True)).otherwise(fault)).select(*df.columns)
+
+
 def vector_fingerprint(df: DataFrame, id_col: str, smiles: str, make: Callable[[Molecule], list], errors: str = "raise", count: bool = True) -> DataFrame:
     """(id, bit, count) of the entries of ``make(molecule)`` that are not 0; without ``count`` they are 1."""
     if errors not in ("raise", "ignore"):

@@ -189,6 +189,15 @@ def parsed(spark, sf_dir: str) -> DataFrame:
 PARSED_SQL = f"""WITH {ROWS} SELECT p_partkey, ({_C})::INT AS carbons, ({_H})::INT AS hydrogens, ({_by_family("0", "6", "0", "0", "0", "0")})::INT AS flat, ({_by_family("n", "n", "n+1", "n+6", "n+1", "3*n")})::INT AS single, ({_by_family("0", "0", "1", "0", "0", "0")})::INT AS double FROM r"""
 
 
+def ensured(spark, sf_dir: str) -> DataFrame:
+    """(p_partkey, is_molecule): every third text has an open branch, every fifth is null."""
+    broken = molecules(spark, sf_dir).withColumn("smiles", F.expr("CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN concat(smiles, '(C') ELSE smiles END"))
+    return substructure.ensure_molecules(broken, "smiles").select("p_partkey", "is_molecule")
+
+
+ENSURED_SQL = "SELECT p_partkey, p_partkey % 5 <> 0 AND p_partkey % 3 <> 0 AS is_molecule FROM part"
+
+
 def scaffolds(spark, sf_dir: str) -> DataFrame:
     """Scaffold split: chains share the empty scaffold, rings of one kind theirs."""
     m = molecules(spark, sf_dir)
@@ -352,8 +361,8 @@ def _shingled(run: Callable) -> Callable:
     return lambda spark, sf_dir: run(molecules(spark, sf_dir))
 
 
-QUERIES = {"molecule_properties": properties, "molecule_topology": topology, "fingerprint_patterns": patterns, "filter_patterns": pattern_filter, "filter_reactive": reactive_filter, "molecule_parse": parsed, "split_scaffold": scaffolds, "molecule_largest_fragment": fragments}
-SQL = {"molecule_properties": PROPERTIES_SQL, "molecule_topology": TOPOLOGY_SQL, "fingerprint_patterns": PATTERNS_SQL, "filter_patterns": PATTERN_FILTER_SQL, "filter_reactive": REACTIVE_SQL, "molecule_parse": PARSED_SQL, "split_scaffold": SCAFFOLD_SQL, "molecule_largest_fragment": FRAGMENTS_SQL}
+QUERIES = {"molecule_properties": properties, "molecule_topology": topology, "fingerprint_patterns": patterns, "filter_patterns": pattern_filter, "filter_reactive": reactive_filter, "molecule_parse": parsed, "molecule_ensure": ensured, "split_scaffold": scaffolds, "molecule_largest_fragment": fragments}
+SQL = {"molecule_properties": PROPERTIES_SQL, "molecule_topology": TOPOLOGY_SQL, "fingerprint_patterns": PATTERNS_SQL, "filter_patterns": PATTERN_FILTER_SQL, "filter_reactive": REACTIVE_SQL, "molecule_parse": PARSED_SQL, "molecule_ensure": ENSURED_SQL, "split_scaffold": SCAFFOLD_SQL, "molecule_largest_fragment": FRAGMENTS_SQL}
 QUERIES |= {"bulk_common_substructure": _against_all(common.pair_similarity), "bulk_fragments": _against_all(parts.pair_fragment_similarity), "molecule_from_sequence": peptides}
 SQL |= {"fingerprint_atom_types": TYPES_SQL, "bulk_common_substructure": COMMON_SQL, "molecule_from_sequence": PEPTIDES_SQL}
 QUERIES |= {"fingerprint_quantum_numbers": quantum_numbers, "fingerprint_states": states, "shape_usr": _shape("usr"), "shape_rdf": _shape("rdf"), "shape_morse": _shape("morse"), "shape_usrcat": _shape("usrcat"), "shape_electroshape": _shape("electroshape"), "shape_whim": _shape("whim"), "shape_autocorr3d": _shape("autocorr3d"), "shape_getaway": _shape("getaway"), "shape_shells": _shape("shells")}

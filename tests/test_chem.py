@@ -162,3 +162,10 @@ def test_common_substructure_and_fragments():
     assert common.similarity(two, two) == fragments.fragment_similarity(two, two) == 1.0
     plain = fragments._tanimoto({f for f, _ in fragments.path_features(one)}, {f for f, _ in fragments.path_features(two)})
     assert plain <= fragments.fragment_similarity(one, two) < 1
+
+
+def test_required_molecules(spark):
+    df = spark.createDataFrame([(1, "CCO"), (2, "c1ccccc1")], "id long, s string")
+    assert substructure.require_molecules(df, "s").collect() == df.collect()
+    with pytest.raises(Exception, match="no molecule: C\\("):
+        substructure.require_molecules(df.union(spark.createDataFrame([(3, "C(")], df.schema)), "s").collect()
