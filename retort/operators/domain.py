@@ -226,6 +226,10 @@ def topkat(train: DataFrame, vector: str, threshold: float | None = None) -> Sco
     return Scored(lambda x: inner(scaled(x)), lambda s: s < limit)
 
 
+def _nearest(df: DataFrame, train: DataFrame, id_col: str, train_id: str, one: str, two: str, metric: Callable[[Column, Column], Column], k: int, nearest: Callable[..., DataFrame] | None) -> DataFrame:
+    return nearest(df, train, id_col, train_id, one, two, k) if nearest else knn_join(df, train, id_col, train_id, one, two, metric, k)
+
+
 @dataclass
 class Neighbours:
     train: DataFrame
@@ -235,30 +239,32 @@ class Neighbours:
     k: int
     agg: str
     limit: float
+    nearest: Callable[..., DataFrame] | None = None
 
     def score(self, df: DataFrame, id_col: str, vector: str) -> DataFrame:
         """(id, score): the aggregated distance of the k+1 nearest training rows."""
-        near = knn_join(df, self.train, id_col, self.train_id, vector, self.vector, self.metric, self.k)
+        near = _nearest(df, self.train, id_col, self.train_id, vector, self.vector, self.metric, self.k, self.nearest)
         return near.groupBy(F.col("i").alias(id_col)).agg(getattr(F, {"mean": "avg"}.get(self.agg, self.agg))("distance").alias("score"))
 
     def predict(self, df: DataFrame, id_col: str, vector: str) -> DataFrame:
         return self.score(df, id_col, vector).withColumn("inside", F.col("score") <= self.limit)
 
 
-def knn_domain(train: DataFrame, id_col: str, vector: str, metric: Callable[[Column, Column], Column], k: int = 1, agg: str = "mean", threshold: float = 95, fit_rows: int | None = None) -> Neighbours:
+def knn_domain(train: DataFrame, id_col: str, vector: str, metric: Callable[[Column, Column], Column], k: int = 1, agg: str = "mean", threshold: float = 95, fit_rows: int | None = None, nearest: Callable[..., DataFrame] | None = None) -> Neighbours:
     """Inside if the mean, max or min distance to the nearest training rows is at most the
     ``threshold`` percentile of training rows' own. k+1 neighbours are taken in training, where the
     row itself is dropped, and for queries, where all count; "min" takes two. The limit comes from
     all training rows, or from ``fit_rows`` of them, those with the least hash of their id, each
-    held against all, as every pair of a large training set is too much."""
+    held against all, as every pair of a large training set is too much. ``nearest`` takes the place
+    of ``knn_join`` where a metric has a faster search of the same results, as ``packed.tanimoto_knn``."""
     if k < 1 or agg not in ("mean", "max", "min") or not 0 <= threshold <= 100:
         raise ValueError("k must be at least 1, agg mean, max or min, threshold 0 to 100")
     used = 2 if agg == "min" else k + 1
     asked = train if fit_rows is None else train.orderBy(F.xxhash64(id_col), id_col).limit(fit_rows)
-    near = knn_join(asked, train, id_col, id_col, vector, vector, metric, used).filter("rank > 1")
+    near = _nearest(asked, train, id_col, id_col, vector, vector, metric, used, nearest).filter("rank > 1")
     own = near.groupBy("i").agg(getattr(F, {"mean": "avg"}.get(agg, agg))("distance").alias("d"))
     limit = _percentile(own.select(F.col("d").alias("v")), threshold / 100)
-    return Neighbours(train, id_col, vector, metric, used, agg, float(limit))
+    return Neighbours(train, id_col, vector, metric, used, agg, float(limit), nearest)
 
 
 def ensemble_spread(members: DataFrame, id_col: str, value: str, threshold: float = 1.0) -> DataFrame:

@@ -173,6 +173,28 @@ def test_links_of_packed_vectors_in_blocks(spark, monkeypatch):
         assert got == {i: int(n) for i, n in enumerate(((near >= 0.25) * weight).sum(1))}
 
 
+def test_nearest_packed_vectors_are_those_of_the_plain_join(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from retort.functions import similarity
+    from retort.operators import domain, packed, pairs
+
+    monkeypatch.setattr(packed, "LEAST", 30)
+    monkeypatch.setattr(packed, "WIDE", 7)
+    rng = np.random.default_rng(22)
+    for width in (64, 130):
+        bits = rng.random((90, width)) < 0.3
+        bits[40:60], bits[60:63], bits[63:70] = bits[:20], False, bits[5]
+        df = spark.createDataFrame([(i, bits[i].tolist()) for i in range(90)] + [(200, None)], "id long, on array<boolean>").select("id", similarity.pack_bits(F.col("on"), width).alias("bits"))
+        metric = lambda x, y: F.round(similarity.binary_distance("tanimoto", x, y, width), 9)  # noqa: B023, E731
+        fast = lambda *a: packed.tanimoto_knn(*a, width).withColumn("distance", F.round("distance", 9))  # noqa: B023, E731
+        held = df.filter("id < 100")
+        want = {tuple(r) for r in pairs.knn_join(held.filter("id % 3 = 0"), held, "id", "id", "bits", "bits", metric, 4).collect()}
+        assert {tuple(r) for r in fast(df.filter("id % 3 = 0"), df, "id", "id", "bits", "bits", 4).collect()} == want
+    one, two = (domain.knn_domain(held, "id", "bits", metric, k=2, nearest=n) for n in (None, fast))
+    assert one.limit == two.limit
+
+
 def test_running_sums_and_percentiles_by_buckets(spark, monkeypatch):
     from pyspark.sql import functions as F
 
