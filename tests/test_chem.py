@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -135,6 +136,24 @@ def test_minhash_of_shingles(spark):
     assert bits[1] == bits[2] and not bits[1] & bits[3]
 
 
+def test_minhash_against_plain_hashes_without_a_shuffle_of_slots(spark):
+    df = spark.createDataFrame([(1, "CCO"), (1, "c1ccccc1"), (1, "CCO"), (2, "C1CCCCC1CC"), (3, "no molecule"), (4, None), (None, "CCN")], "id long, s string")
+    want = {}
+    for i, text in [(1, "CCO"), (1, "c1ccccc1"), (2, "C1CCCCC1CC"), (None, "CCN")]:
+        for x in writer.circular_shingles(molecule(text)):
+            h = int.from_bytes(hashlib.sha1(x.encode()).digest()[:4], "little") % writer.PRIME
+            for k in range(16):
+                v = (writer._seed("a", k) * h + writer._seed("b", k)) % writer.PRIME
+                want[i, k] = min(want.get((i, k), v), v)
+    out = writer.minhash_circular(df, "id", "s", size=16, errors="null")
+    assert out.dtypes == [("id", "bigint"), ("slot", "int"), ("value", "bigint")]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(((i, k, v) for (i, k), v in want.items()), key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate") and plan.count("Aggregate") == 1  # texts are grouped, slots are not
+    with pytest.raises(Exception, match="(?i)smiles"):
+        writer.minhash_circular(df, "id", "s").collect()
+
+
 def test_shape_operator(spark):
     atoms = "array<struct<x: double, y: double, z: double, symbol: string>>"
     df = spark.createDataFrame([(1, [(0.0, 0.0, 0.0, "C"), (1.0, 0.0, 0.0, "C"), (0.0, 1.0, 0.0, "O")], [(0, 1, 1), (0, 2, 1)]), (2, None, None), (3, [(0.0, 0.0, 0.0, "C")], [])], f"id long, atoms {atoms}, bonds array<struct<i: int, j: int, order: int>>")
