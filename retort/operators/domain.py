@@ -263,7 +263,11 @@ def knn_domain(train: DataFrame, id_col: str, vector: str, metric: Callable[[Col
     asked = train if fit_rows is None else train.orderBy(F.xxhash64(id_col), id_col).limit(fit_rows)
     near = _nearest(asked, train, id_col, id_col, vector, vector, metric, used, nearest).filter("rank > 1")
     own = near.groupBy("i").agg(getattr(F, {"mean": "avg"}.get(agg, agg))("distance").alias("d"))
-    limit = _percentile(own.select(F.col("d").alias("v")), threshold / 100)
+    own = own.select(F.col("d").alias("v")).cache()  # a number a row; the percentile reads it more than once
+    try:
+        limit = _percentile(own, threshold / 100)
+    finally:
+        own.unpersist()
     return Neighbours(train, id_col, vector, metric, used, agg, float(limit), nearest)
 
 

@@ -195,6 +195,27 @@ def test_nearest_packed_vectors_are_those_of_the_plain_join(spark, monkeypatch):
     assert one.limit == two.limit
 
 
+def test_neighbour_domain_judges_every_test_vector(spark, tmp_path):
+    from retort.plans import catalog
+
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(150, 64)).astype(np.float32)
+    x[60:70], x[70:73] = x[:10], -1  # some rows have equal bits, three have none
+    label = np.arange(150) % 10
+    rows = [(i + 1, x[i].tolist(), int(label[i])) for i in range(150)] + [(151, None, 3), (152, None, 7)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    bits = (x > 0).astype(int)
+    both = bits @ bits.T
+    union = bits.sum(1)[:, None] + bits.sum(1) - both
+    near = np.sort((1 - np.where(union == 0, 1, both / np.maximum(union, 1)))[:, label < 5], 1)
+    limit = np.percentile(near[label < 5, 1:3].mean(1), 95)
+    score = near[:, :3].mean(1)
+    want = {i + 1: (round(score[i], 6), bool(score[i] <= limit)) for i in range(150) if label[i] >= 5} | {152: (None, None)}
+    got = catalog.queries()["ad_knn"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) == 76 and {r["vec_id"]: (r["score"], r["inside"]) for r in got} == {k: (v and pytest.approx(v), w) for k, (v, w) in want.items()}
+    assert {w for _, w in want.values()} == {True, False, None}
+
+
 def test_running_sums_and_percentiles_by_buckets(spark, monkeypatch):
     from pyspark.sql import functions as F
 
