@@ -216,6 +216,23 @@ def test_neighbour_domain_judges_every_test_vector(spark, tmp_path):
     assert {w for _, w in want.values()} == {True, False, None}
 
 
+def test_neighbour_domain_rounds_halves_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    from retort.plans import catalog
+
+    x = -np.ones((4, 64), np.float32)
+    for i, (shared, more) in enumerate([(32, 0), (25, 15), (23, 12), (25, 16)]):  # distances 22/47, 21/44 and 23/48, whose mean is 0.4748415
+        x[i, :shared], x[i, 32 : 32 + more] = 1, 1
+    rows = [(i + 1, x[i].tolist(), 0 if i else 9) for i in range(4)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(catalog.oracle_sql()["ad_knn"]).fetchall()
+    assert want[0][:2] == (1, 0.474842)
+    assert [tuple(r) for r in catalog.queries()["ad_knn"](spark, str(tmp_path)).collect()] == want
+
+
 def test_running_sums_and_percentiles_by_buckets(spark, monkeypatch):
     from pyspark.sql import functions as F
 
